@@ -11,6 +11,27 @@ crc_table AS (
 """
 
 ORACLES: dict[str, str] = {
+    # the pages of these tables have one article element of headings and paragraphs, which SQL can cut out
+    "op4_line_block_extraction": r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages
+),
+parts AS (
+  SELECT page_id, url, unnest(string_split_regex(body, '</?p>|</?h1>')) AS part,
+    generate_subscripts(string_split_regex(body, '</?p>|</?h1>'), 1) AS i
+  FROM articles
+),
+plain AS (
+  SELECT page_id, url, i, trim(regexp_replace(
+    replace(replace(replace(replace(replace(part, '<b>', ''), '</b>', ''), '<br>', ' '), '&quot;', '"'), '&#x27;', chr(39)), '\s+', ' ', 'g')) AS line
+  FROM parts
+),
+texts AS (
+  SELECT page_id, url, coalesce(string_agg(regexp_replace(line, '&amp;?', '&', 'g'), chr(10) || chr(10) ORDER BY i) FILTER (WHERE line <> ''), '') AS text
+  FROM plain GROUP BY ALL
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+""",
     "op9_rendezvous_sharding": f"""
 WITH {_CRC}
 docs AS (

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterweave.llm.bpe import digests
+from rasterweave.llm.html_blocks import extract
 from rasterweave.llm.oracles import ORACLES
 from rasterweave.llm.sharding import shard
 
@@ -15,12 +17,26 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("main_text")
+    return extract(_read(spark, sf_dir, "pages")).select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
+
+
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = digests(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, F.col("text"))
+    return _read(spark, sf_dir, "documents").select("doc_id", found.alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+
+
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(_read(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_block_extraction": op4_line_block_extraction,
+    "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_rendezvous_sharding": op9_rendezvous_sharding,
 }
 
