@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterweave.llm import langid, toxicity
 from rasterweave.llm.bpe import digests
 from rasterweave.llm.html_blocks import extract
 from rasterweave.llm.oracles import ORACLES
@@ -17,11 +18,25 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    score = toxicity.scorer(spark, toxicity.train(docs, labels))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op4_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("main_text")
     return extract(_read(spark, sf_dir, "pages")).select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    predict = langid.predictor(spark, langid.train(docs))
+    found = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +50,9 @@ def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity_machine": op2_toxicity_machine,
     "op4_line_block_extraction": op4_line_block_extraction,
+    "op5_language_id": op5_language_id,
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_rendezvous_sharding": op9_rendezvous_sharding,
 }

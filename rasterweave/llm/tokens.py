@@ -57,6 +57,11 @@ class TokenTable:
             self.ids.fresh = []
         return out
 
+    def of(self, tokens: list) -> np.ndarray:
+        """The rows of the tokens; there has to be one."""
+        ids = self(tokens)
+        return self.rows[ids]
+
 
 _MASK = (1 << 64) - 1
 
