@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import langid, toxicity
+from rasterweave.llm import langid, secrets_crf, toxicity
 from rasterweave.llm.bpe import digests
 from rasterweave.llm.html_blocks import extract
 from rasterweave.llm.oracles import ORACLES
@@ -49,12 +49,26 @@ def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scan = secrets_crf.scanner(spark, secrets_crf.train(docs))
+    found = docs.select("doc_id", scan("text").alias("found"))
+    of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint")
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("found", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("found")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_machine": op2_toxicity_machine,
     "op4_line_block_extraction": op4_line_block_extraction,
     "op5_language_id": op5_language_id,
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_rendezvous_sharding": op9_rendezvous_sharding,
+    "op10_secret_crf": op10_secret_crf,
 }
 
 
