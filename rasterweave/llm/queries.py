@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterweave.llm import langid, secrets_crf, toxicity
 from rasterweave.llm.bpe import digests
+from rasterweave.llm.fingerprints import fingerprints
 from rasterweave.llm.html_blocks import extract
 from rasterweave.llm.oracles import ORACLES
 from rasterweave.llm.sharding import shard
@@ -37,6 +38,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op7_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_machine": op2_toxicity_machine,
     "op4_line_block_extraction": op4_line_block_extraction,
     "op5_language_id": op5_language_id,
+    "op7_weighted_fingerprints": op7_weighted_fingerprints,
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_rendezvous_sharding": op9_rendezvous_sharding,
     "op10_secret_crf": op10_secret_crf,
