@@ -11,6 +11,44 @@ crc_table AS (
 """
 
 ORACLES: dict[str, str] = {
+    "op1_cross_entropy_difference": """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS body,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS own FROM documents
+),
+chars AS (
+  SELECT r, own, unnest(range(len(cs))) AS i, unnest(cs) AS ch FROM (SELECT r, own, string_split(body, '') AS cs FROM docs WHERE body <> '')
+),
+kept AS (
+  SELECT ch FROM (SELECT ch, count(*) AS n FROM chars GROUP BY ch) ORDER BY n DESC, unicode(ch) LIMIT 94
+),
+tokens AS (
+  SELECT c.r, c.own, c.i, coalesce(k.ch, 'other') AS t FROM chars c LEFT JOIN kept k USING (ch)
+),
+grams AS (
+  SELECT r, own, coalesce(lag(t, 2) OVER w, 'pad') AS a, coalesce(lag(t) OVER w, 'pad') AS b, t AS c
+  FROM tokens WINDOW w AS (PARTITION BY r ORDER BY i)
+),
+totals AS (SELECT count(*) AS n_all, count(*) FILTER (WHERE own) AS n_own, (SELECT count(*) + 1 FROM kept) AS v FROM grams),
+n3 AS (
+  SELECT a, b, c, count(*) FILTER (WHERE own) AS t, count(*) * (SELECT n_own / n_all FROM totals) AS g FROM grams GROUP BY a, b, c
+),
+n2 AS (SELECT b, c, sum(t) AS t, sum(g) AS g FROM n3 GROUP BY b, c),
+n1 AS (SELECT c, sum(t) AS t, sum(g) AS g FROM n3 GROUP BY c),
+h2 AS (SELECT a, b, sum(t) AS t, sum(g) AS g FROM n3 GROUP BY a, b),
+h1 AS (SELECT b, sum(t) AS t, sum(g) AS g FROM n3 GROUP BY b),
+p AS (
+  SELECT n3.a, n3.b, n3.c,
+    -ln((n3.t + 10 * (n2.t + 10 * (n1.t + 1) / (n_own + v)) / (h1.t + 10)) / (h2.t + 10)) AS lt,
+    -ln((n3.g + 10 * (n2.g + 10 * (n1.g + 1) / (n_own + v)) / (h1.g + 10)) / (h2.g + 10)) AS lb
+  FROM n3 JOIN n2 USING (b, c) JOIN n1 USING (c) JOIN h2 USING (a, b) JOIN h1 USING (b), totals
+),
+scored AS (
+  SELECT r, count(*) AS n, avg(lt) AS ct, avg(lb) AS cb, avg(lt - lb) AS d FROM grams JOIN p USING (a, b, c) GROUP BY r
+)
+SELECT doc_id, coalesce(n, 0) AS n_tokens, round(ct, 6) AS ce_target, round(cb, 6) AS ce_background, round(d, 6) AS score
+FROM docs LEFT JOIN scored USING (r)
+""",
     # the pages of these tables have one article element of headings and paragraphs, which SQL can cut out
     "op4_line_block_extraction": r"""
 WITH articles AS (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import langid, secrets_crf, toxicity
+from rasterweave.llm import langid, lm, secrets_crf, toxicity
 from rasterweave.llm.bpe import digests
 from rasterweave.llm.fingerprints import fingerprints
 from rasterweave.llm.html_blocks import extract
@@ -19,6 +19,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents that labels call good."""
+    good = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    found = lm.score(spark, _read(spark, sf_dir, "documents"), good)
+    return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("ce_target", "ce_background", "score")])
+
+
 def op2_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     score = toxicity.scorer(spark, toxicity.train(docs, labels))
@@ -68,6 +75,7 @@ def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cross_entropy_difference": op1_cross_entropy_difference,
     "op2_toxicity_machine": op2_toxicity_machine,
     "op4_line_block_extraction": op4_line_block_extraction,
     "op5_language_id": op5_language_id,
