@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import langid, lm, secrets_crf, toxicity
+from rasterweave.llm import decontam, langid, lm, secrets_crf, toxicity
 from rasterweave.llm.bpe import digests
 from rasterweave.llm.fingerprints import fingerprints
 from rasterweave.llm.html_blocks import extract
@@ -33,6 +33,12 @@ def op2_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
+def op3_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it leaks."""
+    found = decontam.with_leaks(spark, _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("_leaks").alias("x")).select("doc_id", "x.*")
+
+
 def op4_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("main_text")
     return extract(_read(spark, sf_dir, "pages")).select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
@@ -77,6 +83,7 @@ def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cross_entropy_difference": op1_cross_entropy_difference,
     "op2_toxicity_machine": op2_toxicity_machine,
+    "op3_greedy_string_tiling": op3_greedy_string_tiling,
     "op4_line_block_extraction": op4_line_block_extraction,
     "op5_language_id": op5_language_id,
     "op7_weighted_fingerprints": op7_weighted_fingerprints,
