@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import decontam, langid, lm, secrets_crf, toxicity
+from rasterweave.llm import decontam, jaccard, langid, lm, secrets_crf, toxicity
 from rasterweave.llm.bpe import digests
 from rasterweave.llm.fingerprints import fingerprints
 from rasterweave.llm.html_blocks import extract
@@ -51,6 +51,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(spark, _read(spark, sf_dir, "documents"))
+
+
 def op7_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_greedy_string_tiling": op3_greedy_string_tiling,
     "op4_line_block_extraction": op4_line_block_extraction,
     "op5_language_id": op5_language_id,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_weighted_fingerprints": op7_weighted_fingerprints,
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_rendezvous_sharding": op9_rendezvous_sharding,
