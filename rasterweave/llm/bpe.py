@@ -250,6 +250,22 @@ def coder(spark: SparkSession, path: str, pattern: str):
     return encode, decode
 
 
+def checked(spark: SparkSession, path: str, pattern: str, text: Column) -> Column:
+    """struct(ids array<int>, intact boolean) of a text: its ids, and whether they decode to it."""
+    with open(path, "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+
+    @F.pandas_udf("ids array<int>, intact boolean")
+    def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = _coder(ranks, pattern)
+        for part in parts:
+            texts = part.tolist()
+            ids = list(bpe.encode(texts))
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "intact": [bpe.decode(i) == (t or "").encode("utf-8", "replace") for i, t in zip(ids, texts, strict=True)]})
+
+    return both(text)
+
+
 def digests(spark: SparkSession, path: str, pattern: str, text: Column) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256) of a text: it is encoded, its ids are decoded, and both are hashed in the same pass."""
     from hashlib import sha256

@@ -192,14 +192,8 @@ def _forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: int, left: np
     return out
 
 
-def join(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
-
-    component_id is the least doc_id that links reach, the row's own included. Null, empty and
-    blank texts have the empty set: they are linked with nothing, not even one another. A null
-    doc_id stays null in its row and is passed over in the least; repeated rows are linked.
-    Extra columns of docs are ignored; an empty table gives no rows.
-    """
+def _linked(spark: SparkSession, docs: DataFrame, size: int, similarity: int, id_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, nodes, (node, root) of nodes with links)."""
     sets = stored(sets_of(docs, size, similarity, id_col, text_col), "sets")
     nodes = sets.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n"), F.min("text_hash").alias("text_hash"))
     posted = sets.select("node", F.explode("keys").alias("key"))
@@ -243,11 +237,44 @@ def join(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, similarity:
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     links = full.groupBy("root", "x", "y").applyInPandas(compare, "a bigint, b bigint")
-    linked = components(links)
+    return sets, nodes, components(links)
+
 
+def join(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row.
+
+    component_id is the least doc_id that links reach, the row's own included. Null, empty and
+    blank texts have the empty set: they are linked with nothing, not even one another. A null
+    doc_id stays null in its row and is passed over in the least; repeated rows are linked.
+    Extra columns of docs are ignored; an empty table gives no rows.
+    """
+    sets, nodes, linked = _linked(spark, docs, size, similarity, id_col, text_col, block)
     least = nodes.select("node", "least")
     per_root = linked.join(least, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = least.join(linked, "node", "left").join(per_root, "root", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     return sets.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of docs, but of each group of linked documents only the one with the least id (nulls last), with the columns of docs.
+
+    Texts without shingles stay. Of rows that repeat an id and a text, one stays.
+    """
+    sets, _, linked = _linked(spark, docs, size, similarity, id_col, text_col, block)
+    named = sets.where("node <> 0").select("doc_id", "text_hash", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
+    first = named.groupBy("root").agg(F.min(place).alias("kept"), F.count("*").alias("c")).where("c > 1").select("root", "kept")
+    many = named.join(first, "root")
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    drop = many.where(~is_kept).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct().withColumn("_what", F.lit(0))
+    again = many.where(is_kept).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("c")).where("c > 1").select("_id", "_hash", F.lit(1).alias("_what"))
+    marks = stored(drop.unionByName(again), "marks")
+    side = F.broadcast(marks) if marks.count() <= BROADCAST_TEXTS else marks
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(f"`{text_col}`")))
+    joined = hashed.join(side, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").where("_what IS NULL OR _what = 1")
+    if not marks.where("_what = 1").head(1):
+        return joined.select(docs.columns)
+    once = joined.where("_what = 1").dropDuplicates([id_col, "_text_hash"])
+    return joined.where("_what IS NULL").unionByName(once).select(docs.columns)
