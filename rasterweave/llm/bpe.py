@@ -22,7 +22,7 @@ NONE = np.int32(2**31 - 1)
 #: Upper ends of the buckets of piece lengths in bytes; longer pieces are merged one by one.
 BUCKETS = (4, 6, 8, 12, 16, 24, 32, 48, 64)
 #: Characters that are encoded together, and pieces that a worker remembers.
-CHARS, PIECES = 2_000_000, 400_000
+CHARS, PIECES = 1_000_000, 250_000
 
 
 def parse_ranks(blob: bytes) -> dict[bytes, int]:
@@ -95,16 +95,16 @@ class BPE:
         self.token = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.token[rank] = token
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each piece."""
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, as the bytes of int32."""
+        out: list[bytes] = [b""] * len(pieces)
         by: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             rank = self.ranks.get(p)
             if rank is not None:
-                out[i] = (rank,)
+                out[i] = np.int32(rank).tobytes()
             elif p:
                 by.setdefault(next((b for b in BUCKETS if len(p) <= b), 0), []).append(i)
         for width, rows in by.items():
@@ -128,8 +128,9 @@ class BPE:
             best = rank[each, at]
             done = best == NONE
             if done.any():
-                for i, row in zip(who[done].tolist(), ids[done].tolist(), strict=True):
-                    out[i] = tuple(x for x in row if x >= 0)
+                ended = ids[done]
+                for i, row, n in zip(who[done].tolist(), ended, (ended >= 0).sum(1).tolist(), strict=True):
+                    out[i] = row[:n].tobytes()
                 on = ~done
                 who, ids, rank, at, best = who[on], ids[on], rank[on], at[on], best[on]
                 each = np.arange(len(who))
@@ -140,8 +141,8 @@ class BPE:
             keep[each, at + 1] = False
             ids = ids[keep].reshape(len(who), -1)
             if ids.shape[1] == 1:
-                for i, x in zip(who.tolist(), ids[:, 0].tolist(), strict=True):
-                    out[i] = (x,)
+                for i, row in zip(who.tolist(), ids, strict=True):
+                    out[i] = row.tobytes()
                 return
             keep = np.ones(rank.shape, bool)  # the merged pair's rank goes, its neighbours' change
             keep[each, at] = False
@@ -152,7 +153,7 @@ class BPE:
             r = each[right]
             rank[r, at[right]] = self.pairs(best[right], ids[r, at[right] + 1])
 
-    def _long(self, piece: bytes) -> tuple[int, ...]:
+    def _long(self, piece: bytes) -> bytes:
         """One long row: all its pairs of least rank at once, from the left, unless a merge can make a pair that comes first."""
         ids = self.byte[np.frombuffer(piece, np.uint8)]
         rank = self.pairs(ids[:-1], ids[1:])
@@ -178,7 +179,7 @@ class BPE:
             if len(ids) > 1:
                 rank[left - 1] = self.pairs(ids[left - 1], ids[left])
                 rank[right] = self.pairs(ids[right], ids[right + 1])
-        return tuple(ids.tolist())
+        return ids.tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
         if pieces:
@@ -204,10 +205,7 @@ class BPE:
             self._learn(fresh.difference(known))
             get = known.__getitem__
             for pieces in some:
-                ids: list[int] = []
-                for x in map(get, pieces):
-                    ids += x
-                yield np.array(ids, np.int32)
+                yield np.frombuffer(b"".join(map(get, pieces)), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for."""
