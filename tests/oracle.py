@@ -6,6 +6,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
@@ -24,7 +25,7 @@ def duck(sf_dir: str = SF):
 def norm(frame) -> list:
     cols = sorted(frame.columns)
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return "~"
         if hasattr(v, "item"):
             v = v.item()
