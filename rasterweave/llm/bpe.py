@@ -10,19 +10,26 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+
+from rasterweave.llm.tokens import release
 
 #: No merge. Ranks are below it.
 NONE = np.int32(2**31 - 1)
 #: Upper ends of the buckets of piece lengths in bytes; longer pieces are merged one by one.
 BUCKETS = (4, 6, 8, 12, 16, 24, 32, 48, 64)
 #: Characters that are encoded together, and pieces that a worker remembers.
-CHARS, PIECES = 1_000_000, 250_000
+CHARS, PIECES = 1_000_000, 150_000
+#: Rows whose ids a worker holds at once.
+ROWS = 256
 
 
 def parse_ranks(blob: bytes) -> dict[bytes, int]:
@@ -248,36 +255,53 @@ def coder(spark: SparkSession, path: str, pattern: str):
     return encode, decode
 
 
-def checked(spark: SparkSession, path: str, pattern: str, text: Column) -> Column:
-    """struct(ids array<int>, intact boolean) of a text: its ids, and whether they decode to it."""
+def _pieces(batches: Iterator[pa.RecordBatch], text_col: str, bpe: BPE) -> Iterator[tuple[pa.RecordBatch, list[str | None], list[np.ndarray]]]:
+    """(rows, texts, ids) of ROWS rows at a time, so that a worker never holds the ids of a whole Arrow batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            texts = part.column(text_col).to_pylist()
+            yield part, texts, list(bpe.encode(texts))
+    bpe.known.clear()
+    release()
+
+
+def encoded(spark: SparkSession, docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """docs without text_col, with ids (array<int>; null: none) and intact: whether the ids decode to the text. Columns of these names are replaced."""
     with open(path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
+    docs = docs.select(text_col, *[c for c in docs.columns if c not in (text_col, "ids", "intact")])
+    kept = docs.columns[1:]
 
-    @F.pandas_udf("ids array<int>, intact boolean")
-    def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _coder(ranks, pattern)
-        for part in parts:
-            texts = part.tolist()
-            ids = list(bpe.encode(texts))
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "intact": [bpe.decode(i) == (t or "").encode("utf-8", "replace") for i, t in zip(ids, texts, strict=True)]})
+        for part, texts, ids in _pieces(batches, text_col, bpe):
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            intact = pa.array([bpe.decode(x) == (t or "").encode("utf-8", "replace") for x, t in zip(ids, texts, strict=True)])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists, intact], names=[*kept, "ids", "intact"])
 
-    return both(text)
+    schema = StructType([*[docs.schema[c] for c in kept], StructField("ids", ArrayType(IntegerType())), StructField("intact", BooleanType())])
+    return docs.mapInArrow(run, schema)
 
 
-def digests(spark: SparkSession, path: str, pattern: str, text: Column) -> Column:
-    """struct(n_tokens, ids_sha256, decoded_sha256) of a text: it is encoded, its ids are decoded, and both are hashed in the same pass."""
-    from hashlib import sha256
-
+def digests(spark: SparkSession, docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """docs without text_col, with n_tokens, ids_sha256 and decoded_sha256: each text is encoded, its ids are decoded, and both are hashed in the same pass."""
     with open(path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    docs = docs.select(text_col, *[c for c in docs.columns if c not in (text_col, *names)])
+    kept = docs.columns[1:]
 
-    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _coder(ranks, pattern)
-        for part in parts:
-            rows = []
-            for ids in bpe.encode(part.tolist()):
-                rows.append((len(ids), sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest(), sha256(bpe.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return both(text)
+        for part, _, ids in _pieces(batches, text_col, bpe):
+            found = [
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([sha256(" ".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]),
+                pa.array([sha256(bpe.decode(x)).hexdigest() for x in ids]),
+            ]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *found], names=[*kept, *names])
+
+    schema = StructType([*[docs.schema[c] for c in kept], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+    return docs.mapInArrow(run, schema)

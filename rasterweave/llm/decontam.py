@@ -13,6 +13,7 @@ benchmark's, and only the pairs that share one meet.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,14 +184,17 @@ def _large(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: fl
         return np.unique(Rolling(ids).windows(SEED)) if len(words) >= SEED else np.zeros(0, np.uint64)
 
     def item_bits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros(bitmap // 8, np.uint8)
         for part in parts:
-            h = [seeds_of(t) for t in part["_item"]]
-            yield pd.DataFrame({"bit": np.unique((np.concatenate(h) if h else np.zeros(0, np.uint64)) % np.uint64(BITMAP)).astype(np.int64)})
-
-    bits = np.zeros(BITMAP // 8, np.uint8)
-    words = items.select("_item").mapInPandas(item_bits, "bit bigint").select((F.col("bit") / 8).cast("int").alias("at"), F.shiftleft(F.lit(1), (F.col("bit") % 8).cast("int")).alias("v"))
-    for r in words.groupBy("at").agg(F.bit_or("v").alias("v")).toLocalIterator():  # BITMAP / 8 rows at most
-        bits[r["at"]] = r["v"]
+            for text in part["_item"]:
+                bit = seeds_of(text) % np.uint64(bitmap)
+                np.bitwise_or.at(own, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+        yield pd.DataFrame({"bits": [zlib.compress(own.tobytes(), 1)]})
+
+    bitmap = BITMAP
+    bits = np.zeros(bitmap // 8, np.uint8)
+    for r in items.select("_item").coalesce(64).mapInPandas(item_bits, "bits binary").toLocalIterator():  # one bitmap at a time
+        bits |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     sent = spark.sparkContext.broadcast(bits)
 
     def emit(column: str):
@@ -200,7 +204,7 @@ def _large(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: fl
                 keys, seeds = [], []
                 for key, text in zip(part["_key"], part[column], strict=True):
                     h = seeds_of(text or "")
-                    bit = h % np.uint64(BITMAP)
+                    bit = h % np.uint64(bitmap)
                     h = h[(own[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                     keys.append(np.full(len(h), key))
                     seeds.append(h.astype(np.int64))

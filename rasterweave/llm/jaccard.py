@@ -144,9 +144,10 @@ def sets_of(docs: DataFrame, size: int, similarity: int, id_col: str, text_col:
                 nodes.append(node_of(h))
                 keys.append(none if nodes[-1] in posted else postings(h, bands).view(np.int64))
                 posted.add(nodes[-1])
-            if len(posted) > 1_000_000:
+            if len(posted) > 500_000:
                 posted.clear()
             yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": sizes, "node": nodes, "text_hash": part["text_hash"], "keys": keys})
+        table.done()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("_text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))

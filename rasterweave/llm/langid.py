@@ -216,5 +216,6 @@ def predictor(spark: SparkSession, model: Model):
                 words = words_of(text)
                 out.append(own.decide(table.of(words).sum(0)) if words else (UNDETERMINED, 0.0))
             yield pd.DataFrame(out, columns=["lang", "score"])
+        table.done()
 
     return predict

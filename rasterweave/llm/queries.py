@@ -62,8 +62,7 @@ def op7_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = digests(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, F.col("text"))
-    return _read(spark, sf_dir, "documents").select("doc_id", found.alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+    return digests(spark, _read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

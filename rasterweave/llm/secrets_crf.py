@@ -338,6 +338,7 @@ def scanner(spark: SparkSession, crf: CRF):
         table = TokenTable(own.rows)
         for part in parts:
             yield pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in spans(text, own, table)] for text in part], dtype=object)
+        table.done()
 
     return scan
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -29,7 +31,7 @@ class TokenTable:
     by limit and the largest text; what it returns does not depend on when that happens.
     """
 
-    def __init__(self, compute: Callable[[list], np.ndarray], limit: int = 250_000):
+    def __init__(self, compute: Callable[[list], np.ndarray], limit: int = 120_000):
         self.compute, self.limit = compute, limit
         self._clear()
 
@@ -57,13 +59,24 @@ class TokenTable:
             self.ids.fresh = []
         return out
 
+    def done(self) -> None:
+        """Empty the table at the end of a task."""
+        self._clear()
+        release()
+
     def of(self, tokens: list) -> np.ndarray:
         """The rows of the tokens; there has to be one."""
         ids = self(tokens)
         return self.rows[ids]
 
 
-_MASK = (1 << 64) - 1
+def release() -> None:
+    """Give freed memory back, so that a worker that is used again does not keep what its last task needed."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -143,5 +143,6 @@ def scorer(spark: SparkSession, machine: Machine):
                 words = words_of(text)
                 out.append(_sigmoid(own.logit(terms_of(table.of(words)) if words else np.zeros(0, np.int32))))
             yield pd.Series(out, dtype="float64")
+        table.done()
 
     return score
