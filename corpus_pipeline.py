@@ -47,9 +47,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and intact: whether the ids decode to the text."""
     import public_tokenizers
 
-    coded = bpe.checked(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, F.col("text"))
-    found = docs.select("doc_id", "lang", "source", coded.alias("c"))
-    return found.select("doc_id", "lang", "source", F.size("c.ids").cast("bigint").alias("n_tokens"), F.col("c.ids").alias("ids"), F.col("c.intact").alias("intact"))
+    coded = bpe.encoded(spark, docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
 STAGES = [
