@@ -279,6 +279,10 @@ def encode(data: bytes, compression: int, layout: Layout, lines: int) -> bytes:
         out = pxr24(data, layout)
     elif compression in (B44, B44A):
         out = b44(data, layout, lines, compression == B44A)
+    elif compression == PIZ:
+        from rasterweave.sources import wavelet
+
+        out = wavelet.encode(data, layout, lines)
     else:
         raise NotImplementedError(f"compression {compression} can't be written")
     return out if len(out) < len(data) else data
@@ -298,4 +302,8 @@ def decode(data: bytes, size: int, compression: int, layout: Layout, lines: int)
         return from_pxr24(data, layout)
     if compression in (B44, B44A):
         return from_b44(data, layout, lines)
+    if compression == PIZ:
+        from rasterweave.sources import wavelet
+
+        return wavelet.decode(data, layout, lines)
     raise NotImplementedError(f"compression {compression} can't be read")

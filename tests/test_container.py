@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterweave.sources import codecs, container
+from rasterweave.sources import codecs, container, wavelet
 
 HALF, FLOAT, UINT = 1, 2, 0
 KINDS = {"A": HALF, "B": HALF, "Z": FLOAT, "id": UINT}
@@ -31,7 +31,7 @@ def grid(f, name):
     return out
 
 
-@pytest.mark.parametrize("compression", [codecs.NONE, codecs.RLE, codecs.ZIPS, codecs.ZIP])
+@pytest.mark.parametrize("compression", [codecs.NONE, codecs.RLE, codecs.ZIPS, codecs.ZIP, codecs.PIZ])
 @pytest.mark.parametrize("origin", [(0, 0), (13, -7)])
 def test_scanlines(spark, tmp_path, compression, origin):
     p = planes()
@@ -176,3 +176,27 @@ def test_sinks(spark, tmp_path):
     parts = spark.createDataFrame([(1, 0, "a"), (1, 1, "a")], "image int, part int, part_name string")
     with pytest.raises(ValueError):
         container.write_parts(parts, str(tmp_path / "parts"))
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 7), (2, 2), (5, 3), (32, 29), (16, 64)])
+@pytest.mark.parametrize("top", [2, 900, 1 << 14, 1 << 16])
+def test_wavelets_are_undone(shape, top):
+    r = np.random.default_rng(shape[0])
+    v = r.integers(0, top, shape).astype(np.uint16)
+    for signed in {top <= 1 << 14, False}:
+        assert np.array_equal(wavelet.inverse(wavelet.forward(v, signed), signed), v)
+    assert np.array_equal(wavelet.from_huffman(wavelet.huffman(v.ravel()), v.size), v.ravel())
+
+
+def test_a_wavelet_by_hand():
+    """Four values: means and differences along the rows, then along the columns."""
+    assert wavelet.forward(np.array([[10, 4], [6, 2]], np.uint16), True).tolist() == [[5, 5], [3, 2]]
+    assert wavelet.forward(np.array([[10, 4, 9]], np.uint16), True).tolist() == [[10, 4, 9]]
+
+
+def test_codes_by_hand():
+    """Three symbols and the run: a prefix code that satisfies Kraft's equality, canonical in order of symbol."""
+    lengths = wavelet.code_lengths({5: 8, 6: 4, 9: 2, 10: 1})
+    assert lengths == {5: 1, 6: 2, 9: 3, 10: 3} and wavelet.canonical(lengths) == {5: 1, 6: 1, 9: 0, 10: 1}
+    with pytest.raises(codecs.Damaged):
+        wavelet.from_huffman(wavelet.huffman(np.array([5, 5, 6], np.uint16))[:-1], 3)
