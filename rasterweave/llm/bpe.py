@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from rasterweave.llm.tokens import release
+from rasterweave.llm.tokens import bounded_batches, release
 
 #: No merge. Ranks are below it.
 NONE = np.int32(2**31 - 1)
@@ -237,6 +237,7 @@ def coder(spark: SparkSession, path: str, pattern: str):
     encode: a text's ids, array<int> (null: no ids). decode: the bytes of ids (null: none).
     The file's bytes are broadcast; its vocabulary bounds them.
     """
+    bounded_batches(spark)
     with open(path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
 
@@ -268,6 +269,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], text_col: str, bpe: BPE) -> Itera
 
 def encoded(spark: SparkSession, docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs without text_col, with ids (array<int>; null: none) and intact: whether the ids decode to the text. Columns of these names are replaced."""
+    bounded_batches(spark)
     with open(path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
     docs = docs.select(text_col, *[c for c in docs.columns if c not in (text_col, "ids", "intact")])
@@ -287,6 +289,7 @@ def encoded(spark: SparkSession, docs: DataFrame, path: str, pattern: str, text_
 
 def digests(spark: SparkSession, docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs without text_col, with n_tokens, ids_sha256 and decoded_sha256: each text is encoded, its ids are decoded, and both are hashed in the same pass."""
+    bounded_batches(spark)
     with open(path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm.tokens import hash64
+from rasterweave.llm.tokens import bounded_batches, hash64
 
 #: Tokens of a seed and of the shortest tile; share of an item that tiles have to cover.
 SEED, THRESHOLD = 5, 0.5
@@ -235,6 +235,7 @@ def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thres
     with a null text are left out; repeated items are tiled one by one. Other columns of docs
     stay; those named _leaks, _text or _key are not kept.
     """
+    bounded_batches(spark)
     docs = docs.drop("_leaks", "_text", "_key")
     columns = docs.columns
     docs = docs.withColumn("_text", F.col(f"`{text_col}`"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterweave.llm.graph import components, stored
-from rasterweave.llm.tokens import TokenTable, mix64
+from rasterweave.llm.tokens import TokenTable, bounded_batches, mix64
 
 #: Words of a shingle, similarity in hundredths, ratio of a band's ends, shingles of a block, and candidate texts up to which their hashes are broadcast (8 bytes each).
 SHINGLE, SIMILARITY, BAND, BLOCK, BROADCAST_TEXTS = 3, 90, 1.2, 60_000, 500_000
@@ -195,6 +195,7 @@ def _forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: int, left: np
 
 def _linked(spark: SparkSession, docs: DataFrame, size: int, similarity: int, id_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, nodes, (node, root) of nodes with links)."""
+    bounded_batches(spark)
     sets = stored(sets_of(docs, size, similarity, id_col, text_col), "sets")
     nodes = sets.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n"), F.min("text_hash").alias("text_hash"))
     posted = sets.select("node", F.explode("keys").alias("key"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm.tokens import TokenTable, mix64
+from rasterweave.llm.tokens import TokenTable, bounded_batches, mix64
 
 #: Hash slots of n-grams, lengths of n-grams, documents that the machines are fitted on for each language (a bounded sample by hash of the id), and languages at most.
 SLOTS, LENGTHS, PER_LANGUAGE, LANGUAGES = 8192, (1, 2, 3, 4), 600, 256
@@ -171,6 +171,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     set for 1.3 times per_language documents; the driver keeps the first per_language by
     hash. Rows with a null language, or without a letter, are not learned from.
     """
+    bounded_batches(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(F.col("_lang").isNotNull() & ~held_out(F.col("_id")))
     counts = known.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()
     if not counts:
@@ -204,6 +205,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
 
 def predictor(spark: SparkSession, model: Model):
     """A function from a text column to struct(lang, score); `und` and 0 if the text is null or has no letter. The model is broadcast: SLOTS weights for each pair."""
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast((model.families, model.pairs, model.weights, model.bias))
 
     @F.pandas_udf("lang string, score double")

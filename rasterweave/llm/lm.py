@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterweave.llm.tokens import bounded_batches
+
 #: Tokens of the vocabulary: the padding before a text, all rarer characters as one, and the most frequent characters. Tables have VOCABULARY^3 entries at most.
 VOCABULARY, PAD, OTHER = 96, 0, 1
 #: Weight of the lower order.
@@ -114,6 +116,7 @@ def score(spark: SparkSession, docs: DataFrame, targets: DataFrame, id_col: str
     and belong to the background alone; repeated rows count as often as they come. With no
     target the two models are alike and scores are 0.
     """
+    bounded_batches(spark)
     ids = targets.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
     side = F.broadcast(ids) if targets.count() <= BROADCAST_IDS else ids
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm.tokens import TokenTable, hash64
+from rasterweave.llm.tokens import TokenTable, bounded_batches, hash64
 
 O, B, I = 0, 1, 2  # noqa: E741
 #: Hash slots of features, and documents that background windows of the training set come from (a bounded sample by hash of the id).
@@ -330,6 +330,7 @@ def scanner(spark: SparkSession, crf: CRF):
 
     The broadcast is the model, as large as its slots. A text is one row of a pandas UDF.
     """
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast((crf.weights, crf.steps))
 
     @F.pandas_udf("array<struct<start:int,end:int,kind:string>>")

@@ -70,6 +70,22 @@ class TokenTable:
         return self.rows[ids]
 
 
+#: Rows of an Arrow batch that goes to a Python worker.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark) -> None:
+    """Lower the session's rows of an Arrow batch to BATCH_ROWS, unless they are fewer.
+
+    Texts can be long: by default a worker and its executor hold 10,000 of them at once. The
+    setting is read when a plan runs, so it stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def release() -> None:
     """Give freed memory back, so that a worker that is used again does not keep what its last task needed."""
     gc.collect()

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm.tokens import TokenTable, hash64, mix64
+from rasterweave.llm.tokens import TokenTable, bounded_batches, hash64, mix64
 
 #: Hash slots of terms, factors of a term, and rows of each label that the model is fitted on at most (a bounded sample by hash of the id).
 SLOTS, FACTORS, PER_LABEL = 1 << 19, 4, 3000
@@ -111,6 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: i
 
     Rows with a null id or label are not learned from; of several labels of an id the greatest counts.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("_id")
@@ -131,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: i
 
 def scorer(spark: SparkSession, machine: Machine):
     """A function from a text column to its score, 0 to 1. The broadcast is the machine, as large as its slots."""
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast((machine.bias, machine.w, machine.v))
 
     @F.pandas_udf("double")
