@@ -256,3 +256,30 @@ ORACLES["a4_aces_conversion"] = _aces()
 ORACLES["h6_vectors"] = f"""WITH e AS (SELECT vec_id, unnest(range(64))::INTEGER AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
 s AS (SELECT vec_id, i, {_half('(v * 2)')} AS p, greatest(least(v * 1e6, 65504.0), -65504.0) AS q FROM e), t AS (SELECT vec_id, i, p + (q - p) * 0.25 AS v FROM s)
 SELECT vec_id, i, round({_half('v')}, 6) AS v FROM t"""
+
+ORACLES |= {
+    "m2d_channel_sorts": f"""WITH {CHANNELS}, c AS (SELECT id % 30 AS image, list_sort(list(DISTINCT channel)) AS names FROM channels GROUP BY 1)
+SELECT image, array_to_string(names, ',') AS names, array_to_string(list_filter(names, lambda n: regexp_matches(n, '^left\\.[^.]*$')), ',') AS in_left FROM c""",
+    "m2e_has_channels": f"""WITH {CHANNELS}, c AS (SELECT id % 30 AS image, string_split(channel, '.')[-1] AS b FROM channels)
+SELECT image, bool_or(b = 'R') AND bool_or(b = 'G') AND bool_or(b = 'B') AS rgb, bool_or(b = 'A') AS a, bool_or(b = 'R') AND bool_or(b = 'G') AND bool_or(b = 'B') AND bool_or(b = 'A') AS rgba FROM c GROUP BY image""",
+    "m6_header_rules": f"WITH {HEADERS} SELECT id, 'error' AS severity, 'tile size is not positive' AS rule FROM headers WHERE tiled AND id % 17 = 0 UNION ALL SELECT id, 'error', 'levels need tiles' FROM headers WHERE NOT tiled AND mode <> 'one'",
+    "v4_parts_by_view": f"WITH {CHANNELS}, {_NAMES} SELECT id % 40 AS image, vw, min(id) AS first, string_agg(id::VARCHAR, ',' ORDER BY id) AS parts FROM named WHERE vw <> '' GROUP BY 1, 2",
+    "v6_read_view": f"WITH {RGBA} SELECT y, x, round(r, 6) AS r, round(g, 6) AS g, 0.0::DOUBLE AS b, 1.0::DOUBLE AS a FROM rgba WHERE y < 50",
+    "v9_separated_parts": f"WITH {HEADERS} SELECT id, name, kind FROM headers WHERE brand = 'Brand#12'",
+    "e2_lat_long_pixels": f"WITH {RASTER} SELECT y, x, round(pi() / 2 - pi() * y / 59, 6) AS lat, round(pi() - 2 * pi() * x / 63, 6) AS lon FROM raster WHERE y < 60",
+    "e4_cube_pixels": """WITH g AS (SELECT y, x::INTEGER AS x, (y // 9)::INTEGER AS face, y % 9 AS r FROM range(54) AS a(y), range(9) AS b(x))
+SELECT y, x, face, CASE face WHEN 0 THEN 8 - r WHEN 1 THEN 8 - r WHEN 4 THEN 8 - x ELSE x END::DOUBLE AS u, CASE face WHEN 0 THEN x WHEN 1 THEN 8 - x WHEN 3 THEN r ELSE 8 - r END::DOUBLE AS v, x::DOUBLE AS bx, y::DOUBLE AS by FROM g""",
+    "e6_lookup": f"""WITH {RASTER}, {RGBA}, q AS (SELECT y, x, v AS a, x / 64 - 0.5003 AS b, y / 30 - 0.4007 AS c, greatest(abs(a), abs(b), abs(c)) AS n FROM raster WHERE y < 30),
+f AS (SELECT *, CASE WHEN abs(a) = n THEN CASE WHEN a > 0 THEN 0 ELSE 1 END WHEN abs(b) = n THEN CASE WHEN b > 0 THEN 2 ELSE 3 END ELSE CASE WHEN c > 0 THEN 4 ELSE 5 END END AS face FROM q),
+p AS (SELECT *, 3.5 * (CASE WHEN face < 2 THEN b ELSE a END / n + 1) AS u, 3.5 * (CASE WHEN face < 4 THEN c ELSE b END / n + 1) AS v FROM f),
+s AS (SELECT y, x, [v, 7 - v, u, u, 7 - u, u][face + 1] AS px, [7 - u, 7 - u, 7 - v, v, 7 - v, 7 - v][face + 1] + 8 * face AS py FROM p),
+w AS (SELECT *, px - floor(px) AS fx, py - floor(py) AS fy, greatest(0, least(7, floor(px))) AS x0, greatest(0, least(7, floor(px) + 1)) AS x1, greatest(0, least(47, floor(py))) AS y0, greatest(0, least(47, floor(py) + 1)) AS y1 FROM s)
+SELECT w.y, w.x, """
+    + ", ".join(f"round((1 - fx) * (1 - fy) * i.{c} + fx * (1 - fy) * j.{c} + (1 - fx) * fy * k.{c} + fx * fy * l.{c}, 6) AS {c}" for c in "rgba")
+    + " FROM w JOIN rgba i ON i.x = x0 AND i.y = y0 JOIN rgba j ON j.x = x1 AND j.y = y0 JOIN rgba k ON k.x = x0 AND k.y = y1 JOIN rgba l ON l.x = x1 AND l.y = y1",
+    "i8_manifest_lines": """SELECT p_partkey % 7 AS manifest, '{' || string_agg('"' || n || '":"' || printf('%08x', p_partkey * 2654435 % 4294967296) || '"', ',' ORDER BY n) || '}' AS json
+FROM (SELECT p_partkey, p_name || '_' || p_partkey AS n FROM part WHERE p_partkey <= 300) GROUP BY 1""",
+    "k8_line_order": f"WITH {RASTER}, l AS (SELECT y, round(sum(v), 6) AS s, y // 16 AS chunk FROM raster GROUP BY y) SELECT y, s, chunk, (SELECT max(chunk) FROM l) - chunk AS stored_at FROM l",
+    "q5_structure": f"WITH {HEADERS} SELECT mode, tiled, deep, count(*) AS parts, sum(w::BIGINT * h)::BIGINT AS pixels, max(greatest(w, h)) AS largest FROM headers GROUP BY ALL",
+    "q6_recompressed": f"WITH {HEADERS} SELECT id, CASE WHEN deep THEN 2 ELSE 3 END AS compression, CASE WHEN deep THEN 1 ELSE 16 END AS lines FROM headers",
+}

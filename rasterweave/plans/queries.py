@@ -661,3 +661,92 @@ def q4_chunk_rules(spark, d):
 @query
 def q7_metrics(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 6).alias("median"), F.count("*").alias("n"))
+
+
+# Further metadata, parts, lookups and sinks
+
+
+@query
+def m2d_channel_sorts(spark, d):
+    c = W.channels(spark, d).groupBy((F.col("id") % 30).alias("image")).agg(F.array_sort(F.collect_set("channel")).alias("names"))
+    return c.select("image", F.array_join("names", ",").alias("names"), F.array_join(F.filter("names", lambda n: meta.layer_of(n) == "left"), ",").alias("in_left"))
+
+
+@query
+def m2e_has_channels(spark, d):
+    c = W.channels(spark, d).groupBy((F.col("id") % 30).alias("image")).agg(F.collect_set(meta.base_of(F.col("channel"))).alias("names"))
+    return c.select("image", meta.has_all(F.col("names"), "RGB").alias("rgb"), meta.has_all(F.col("names"), "A").alias("a"), meta.has_all(F.col("names"), "RGBA").alias("rgba"))
+
+
+@query
+def m6_header_rules(spark, d):
+    return meta.rule_violations(W.headers(spark, d).withColumn("tw", F.when(F.col("id") % 17 == 0, 0).otherwise(F.col("tw"))), "id", [
+        ("error", "tile size is not positive", F.col("tiled") & (F.col("tw") <= 0)), ("error", "window is empty", (F.col("w") <= 0) | (F.col("h") <= 0)), ("error", "levels need tiles", ~F.col("tiled") & (F.col("mode") != "one")),
+    ])
+
+
+@query
+def v4_parts_by_view(spark, d):
+    c = W.channels(spark, d).select((F.col("id") % 40).alias("image"), F.col("id").alias("part"), V.parse(F.col("channel"), ["left", "right"])["view"].alias("vw")).where("vw <> ''")
+    return c.groupBy("image", "vw").agg(F.min("part").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p.cast("string")), ",").alias("parts"))
+
+
+@query
+def v6_read_view(spark, d):
+    p = W.rgba(spark, d).where("y < 50")
+    stereo = p.select("y", "x", F.col("r").alias("left.R"), F.col("g").alias("left.G"), F.col("b").alias("right.R"))
+    own = stereo.select("y", "x", *[F.col(f"`{c}`").alias(c.split(".")[1]) for c in stereo.columns if c.startswith("left.")])
+    return rounded(A.rgba_of(own))
+
+
+@query
+def v9_separated_parts(spark, d):
+    h = W.headers(spark, d)
+    return h.where(F.col("brand") == "Brand#12").select("id", "name", "kind")
+
+
+@query
+def e2_lat_long_pixels(spark, d):
+    s = W.raster(spark, d).where("y < 60")
+    lat, lon = E.pixel_lat_long(F.col("x"), F.col("y"), W.WIDTH, 60)
+    return rounded(s.select("y", "x", lat.alias("lat"), lon.alias("lon")))
+
+
+@query
+def e4_cube_pixels(spark, d):
+    g = A.grid(spark, 0, 0, 8, 53)
+    p = E.pixel_cube(F.col("x"), F.col("y"), 9)
+    back = E.cube_pixel(F.col("p.face"), F.col("p.u"), F.col("p.v"), 9)
+    return g.withColumn("p", p).select("y", "x", "p.face", "p.u", "p.v", back[0].alias("bx"), back[1].alias("by"))
+
+
+@query
+def e6_lookup(spark, d):
+    dirs = W.raster(spark, d).where("y < 30").select("y", "x", E._vec(F.col("v"), F.col("x") / 64.0 - 0.5003, F.col("y") / 30.0 - 0.4007).alias("d"))
+    px, py = E.direction_pixel(F.col("d"), "cube", 8, 48)
+    return rounded(E.sample(dirs.select("y", "x", px.alias("px"), py.alias("py"), F.lit(1.0).alias("weight")), W.rgba(spark, d).where("y < 48 AND x < 8"), 8, 48, ["y", "x"]))
+
+
+@query
+def i8_manifest_lines(spark, d):
+    entries = table(spark, d, "part").where("p_partkey <= 300").select((F.col("p_partkey") % 7).alias("manifest"), F.concat_ws("_", "p_name", "p_partkey").alias("name"), (F.col("p_partkey") * 2654435 % 4294967296).alias("id"))
+    return I.write_json(entries)
+
+
+@query
+def k8_line_order(spark, d):
+    lines = W.raster(spark, d).groupBy("y").agg(F.round(F.sum("v"), 6).alias("s"))
+    rank = F.floor(F.col("y") / 16).cast("bigint")
+    last = (height(spark, d) - 1) // 16
+    return lines.withColumn("chunk", rank).withColumn("stored_at", F.lit(last) - F.col("chunk"))
+
+
+@query
+def q5_structure(spark, d):
+    h = W.headers(spark, d)
+    return h.groupBy("mode", "tiled", "deep").agg(F.count("*").alias("parts"), F.sum(F.col("w").cast("bigint") * F.col("h")).alias("pixels"), F.max(F.greatest("w", "h")).alias("largest"))
+
+
+@query
+def q6_recompressed(spark, d):
+    return W.headers(spark, d).select("id", F.when(F.col("deep"), 2).otherwise(3).alias("compression"), G.lines_per_chunk(F.when(F.col("deep"), 2).otherwise(3)).alias("lines"))
