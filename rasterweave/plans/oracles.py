@@ -283,3 +283,23 @@ FROM (SELECT p_partkey, p_name || '_' || p_partkey AS n FROM part WHERE p_partke
     "q5_structure": f"WITH {HEADERS} SELECT mode, tiled, deep, count(*) AS parts, sum(w::BIGINT * h)::BIGINT AS pixels, max(greatest(w, h)) AS largest FROM headers GROUP BY ALL",
     "q6_recompressed": f"WITH {HEADERS} SELECT id, CASE WHEN deep THEN 2 ELSE 3 END AS compression, CASE WHEN deep THEN 1 ELSE 16 END AS lines FROM headers",
 }
+
+
+def _filtered(directions: str, key: str, radius: float) -> str:
+    """Filtered lookups in a latlong map of 16 x 8: each of 25 directions is sampled by itself, then averaged."""
+    bilinear = ", ".join(f"(1 - fx) * (1 - fy) * i.{c} + fx * (1 - fy) * j.{c} + (1 - fx) * fy * k.{c} + fx * fy * l.{c} AS {c}" for c in "rgba")
+    return f"""n AS (SELECT {key}, dx / m AS dx, dy / m AS dy, dz / m AS dz FROM (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS m FROM ({directions}))),
+u AS (SELECT *, CASE WHEN abs(dx) > 0.707 THEN -dz ELSE dz END / sqrt(dz * dz + dy * dy) AS ay, CASE WHEN abs(dx) > 0.707 THEN dy ELSE -dy END / sqrt(dz * dz + dy * dy) AS az FROM n),
+v AS (SELECT *, dy * az - dz * ay AS ex, -dx * az AS ey, dx * ay AS ez FROM u),
+o AS (SELECT (s - 2) / 3 AS s, (t - 2) / 3 AS t FROM range(5) AS a(s), range(5) AS b(t)),
+p AS (SELECT v.*, (1 - abs(s)) * (1 - abs(t)) AS w, dx + {radius} * t * ex AS qx, dy + {radius} * (s * ay + t * ey) AS qy, dz + {radius} * (s * az + t * ez) AS qz FROM v, o),
+c AS (SELECT {key}, w, (0.5 - atan2(qx, qz) / (2 * pi())) * 15 AS px, (0.5 - asin(qy / sqrt(qx * qx + qy * qy + qz * qz)) / pi()) * 7 AS py FROM p),
+g AS (SELECT *, px - floor(px) AS fx, py - floor(py) AS fy, greatest(0, least(15, floor(px))) AS x0, greatest(0, least(15, floor(px) + 1)) AS x1, greatest(0, least(7, floor(py))) AS y0, greatest(0, least(7, floor(py) + 1)) AS y1 FROM c),
+h AS (SELECT {', '.join('g.' + k.strip() for k in key.split(','))}, w, {bilinear} FROM g JOIN rgba i ON i.x = x0 AND i.y = y0 JOIN rgba j ON j.x = x1 AND j.y = y0 JOIN rgba k ON k.x = x0 AND k.y = y1 JOIN rgba l ON l.x = x1 AND l.y = y1)
+SELECT {key}, {", ".join(f"round(sum(w * {c}) / sum(w), 5) AS {c}" for c in "rgba")} FROM h GROUP BY {key}"""
+
+
+ORACLES["e7_filtered_lookup"] = f"WITH {RASTER}, {RGBA}, " + _filtered("SELECT y, x, v AS dx, x / 64 - 0.5 AS dy, 0.3 AS dz FROM raster WHERE y < 10", "y, x", 0.4)
+ORACLES["e8_convert"] = f"""WITH {RGBA}, e AS (SELECT y, x::INTEGER AS x, y // 6 AS f, y % 6 AS r FROM range(36) AS a(y), range(6) AS b(x)),
+uv AS (SELECT y, x, f, CASE WHEN f < 2 THEN 5 - r WHEN f = 4 THEN 5 - x ELSE x END / 2.5 - 1 AS p, CASE f WHEN 0 THEN x WHEN 1 THEN 5 - x WHEN 3 THEN r ELSE 5 - r END / 2.5 - 1 AS q, CASE WHEN f % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM e),
+d AS (SELECT y, x, CASE WHEN f < 2 THEN s ELSE p END AS dx, CASE WHEN f < 2 THEN p WHEN f < 4 THEN s ELSE q END AS dy, CASE WHEN f < 4 THEN q ELSE s END AS dz FROM uv), """ + _filtered("SELECT * FROM d", "y, x", 0.25)
