@@ -354,17 +354,27 @@ def test_near_copies_of_all_degrees(spark, block):
     assert got == dict(zip([d for d, _ in sets], brute_components(sets), strict=True))
 
 
-def test_similar_sets_share_a_posting():
+@pytest.mark.parametrize("similarity", [80, 90])
+def test_alike_sets_share_a_posting(similarity):
     r = np.random.default_rng(6)
-    bands = jaccard.Bands()
-    for _ in range(400):
-        n = int(r.integers(9, 400))
+    scale = r.integers(0, 9, jaccard.SKETCH).astype(np.uint8)
+    seen = 0
+    for _ in range(1500):
+        n = int(r.integers(1, 200))
         a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        drop, add = r.integers(0, n // 10 + 2, 2)
-        b = np.unique(np.concatenate([a[drop:], r.integers(0, 2**63, add).astype(np.uint64)]))
+        drop, add = r.integers(0, n // 8 + 2, 2)
+        b = np.unique(np.concatenate([r.permutation(a)[drop:], r.integers(0, 2**63, add).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if 100 * both >= 90 * (len(a) + len(b) - both) and len(a) + both < 2 * len(a) + len(b) and not np.array_equal(a, b):
-            assert len(np.intersect1d(jaccard.postings(a, bands), jaccard.postings(b, bands)))
+        if len(b) and 100 * both >= similarity * (len(a) + len(b) - both):
+            seen += 1
+            assert len(np.intersect1d(jaccard.postings(a, scale, similarity), jaccard.postings(b, scale, similarity)))
+    assert seen > 100
+
+
+def test_five_words_and_eight_tenths(spark, docs, rows):
+    sets = sets_of([(d, t) for d, t, _ in rows], 5)
+    want = dict(zip([d for d, _ in sets], brute_components(sets, 80), strict=True))
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(spark, docs, size=5, similarity=80).collect()} == want
 
 
 def test_join_edges(spark):

@@ -19,8 +19,8 @@ def test_run_equals_brute_force(spark):
     predict = langid.predictor(spark, langid.train(docs))
     score = {r["doc_id"]: r["p"] for r in docs.select("doc_id", predict("text").alias("p")).collect()}
     rows = [r for r in rows if score[r["doc_id"]]["lang"] != "und" and score[r["doc_id"]]["score"] >= corpus_pipeline.LEAST_SCORE]
-    sets = sets_of([(r["doc_id"], r["text"]) for r in rows])
-    rows = [r for r, c in zip(rows, brute_components(sets), strict=True) if r["doc_id"] == c]
+    sets = sets_of([(r["doc_id"], r["text"]) for r in rows], 5)
+    rows = [r for r, c in zip(rows, brute_components(sets, 80), strict=True) if r["doc_id"] == c]
     items = decontam.Benchmark([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     rows = [r for r in rows if not items.leaks(r["text"])]
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
