@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm.tokens import bounded_batches, hash64
+from rasterweave.llm.tokens import bounded_batches, fresh, hash64
 
 #: Tokens of a seed and of the shortest tile; share of an item that tiles have to cover.
 SEED, THRESHOLD = 5, 0.5
@@ -165,7 +165,7 @@ def _records(found: list) -> list[dict]:
     return [dict(zip(("item_id", "item_tokens", "matched", "tiles", "coverage"), x, strict=True)) for x in found]
 
 
-def _small(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+def _small(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float, text_col: str) -> DataFrame:
     sent = spark.sparkContext.broadcast([(r["item_id"], r["_item"]) for r in items.orderBy("item_id", "_item").collect()])
 
     @F.pandas_udf(_LEAKS)
@@ -174,10 +174,10 @@ def _small(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: fl
         for part in parts:
             yield pd.Series([_records(own.leaks(t, threshold)) for t in part], dtype=object)
 
-    return docs.withColumn("_leaks", leaks("_text"))
+    return docs.withColumn("_leaks", leaks(F.col(f"`{text_col}`")))
 
 
-def _large(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+def _large(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float, text_col: str) -> DataFrame:
     def seeds_of(text: str) -> np.ndarray:
         words = words_of(text)
         ids = hash64(words, 21) >> np.uint64(2)  # of tokens themselves: there is no vocabulary to share
@@ -212,9 +212,9 @@ def _large(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: fl
 
         return run
 
-    docs = docs.withColumn("_key", F.xxhash64("_text"))
+    text = F.col(f"`{text_col}`")
     items = items.withColumn("_key", F.xxhash64("item_id", "_item"))
-    texts = docs.select("_key", "_text").dropDuplicates(["_key"])  # equal texts have equal leaks
+    texts = docs.select(F.xxhash64(text).alias("_key"), text.alias("_text")).dropDuplicates(["_key"])  # equal texts have equal leaks
     a = texts.mapInPandas(emit("_text"), "k bigint, seed bigint").select(F.col("k").alias("_key"), "seed")
     b = items.select("_key", "_item").mapInPandas(emit("_item"), "k bigint, seed bigint").select(F.col("k").alias("_item_key"), "seed")
     pairs = a.join(b, "seed").select("_key", "_item_key").distinct()
@@ -225,7 +225,8 @@ def _large(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: fl
         return pd.Series([_records(Benchmark([(i, x)]).leaks(t, threshold)) for i, x, t in zip(item_ids, own, text, strict=True)], dtype=object)
 
     found = pairs.select("_key", F.explode(tiled("item_id", "_item", "_text")).alias("x")).groupBy("_key").agg(F.array_sort(F.collect_list("x")).alias("_leaks"))
-    return docs.join(found, "_key", "left").drop("_key").withColumn("_leaks", F.coalesce("_leaks", F.array().cast(_LEAKS)))
+    key = fresh(docs, "_key")
+    return docs.join(found.withColumnRenamed("_key", key), F.xxhash64(text) == F.col(key), "left").drop(key).withColumn("_leaks", F.coalesce("_leaks", F.array().cast(_LEAKS)))
 
 
 def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
@@ -233,16 +234,12 @@ def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thres
 
     Null and empty texts leak nothing, nor do texts or items of fewer than SEED tokens. Items
     with a null text are left out; repeated items are tiled one by one. Other columns of docs
-    stay; those named _leaks, _text or _key are not kept.
+    stay; one named _leaks is replaced.
     """
     bounded_batches(spark)
-    docs = docs.drop("_leaks", "_text", "_key")
-    columns = docs.columns
-    docs = docs.withColumn("_text", F.col(f"`{text_col}`"))
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("_item")).where("_item IS NOT NULL")
     chars = items.agg(F.sum(F.length("_item"))).first()[0] or 0
-    found = (_small if chars <= broadcast_chars else _large)(spark, docs, items, threshold)
-    return found.select(*[F.col(f"`{c}`") for c in columns], "_leaks")
+    return (_small if chars <= broadcast_chars else _large)(spark, docs.drop("_leaks"), items, threshold, text_col)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

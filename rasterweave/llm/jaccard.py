@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterweave.llm.graph import components, stored
-from rasterweave.llm.tokens import TokenTable, bounded_batches, mix64
+from rasterweave.llm.tokens import TokenTable, bounded_batches, fresh, mix64
 
 #: Words of a shingle, similarity in hundredths, shingles of a block, and candidate texts up to which their hashes are broadcast (8 bytes each).
 SHINGLE, SIMILARITY, BLOCK, BROADCAST_TEXTS = 3, 90, 60_000, 500_000
@@ -277,13 +277,16 @@ def keep_one(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, similari
     first = named.groupBy("root").agg(F.min(place).alias("kept"), F.count("*").alias("c")).where("c > 1").select("root", "kept")
     many = named.join(first, "root")
     is_kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
-    drop = many.where(~is_kept).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct().withColumn("_what", F.lit(0))
-    again = many.where(is_kept).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("c")).where("c > 1").select("_id", "_hash", F.lit(1).alias("_what"))
+    own, text, what = (fresh(docs, n) for n in ("_id", "_hash", "_what"))
+    drop = many.where(~is_kept).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text)).distinct().withColumn(what, F.lit(0))
+    again = many.where(is_kept).groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(text)).agg(F.count("*").alias("_c")).where("_c > 1").select(own, text, F.lit(1).alias(what))
     marks = stored(drop.unionByName(again), "marks")
     side = F.broadcast(marks) if marks.count() <= BROADCAST_TEXTS else marks
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(f"`{text_col}`")))
-    joined = hashed.join(side, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").where("_what IS NULL OR _what = 1")
-    if not marks.where("_what = 1").head(1):
-        return joined.select(docs.columns)
-    once = joined.where("_what = 1").dropDuplicates([id_col, "_text_hash"])
-    return joined.where("_what IS NULL").unionByName(once).select(docs.columns)
+    hashed = fresh(docs, "_text_hash")
+    rows = docs.withColumn(hashed, F.xxhash64(F.col(f"`{text_col}`")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    joined = rows.join(side, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.col(hashed) == F.col(text)), "left")
+    single = joined.where(F.col(what).isNull()).select(columns)
+    if not marks.where(F.col(what) == 1).head(1):
+        return single
+    return single.unionByName(joined.where(F.col(what) == 1).dropDuplicates([id_col, hashed]).select(columns))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm.tokens import TokenTable, bounded_batches, hash64
+from rasterweave.llm.tokens import TokenTable, bounded_batches, fresh, hash64
 
 O, B, I = 0, 1, 2  # noqa: E741
 #: Hash slots of features, and documents that background windows of the training set come from (a bounded sample by hash of the id).
@@ -363,4 +363,5 @@ def redact(docs: DataFrame, scan, text_col: str = "text", mark: str = "[SECRET]"
             out.append("".join(parts) + text[at:])
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn("_found", scan(F.col(text_col))).withColumn(text_col, cut(F.col(text_col), F.col("_found"))).drop("_found")
+    found = fresh(docs, "_found")
+    return docs.withColumn(found, scan(F.col(text_col))).withColumn(text_col, cut(F.col(text_col), F.col(found))).drop(found)

@@ -86,6 +86,14 @@ def bounded_batches(spark) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def fresh(frame, name: str) -> str:
+    """A column name that frame does not have: name, with underscores before it where needed."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def release() -> None:
     """Give freed memory back, so that a worker that is used again does not keep what its last task needed."""
     gc.collect()
