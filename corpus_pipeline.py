@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterweave.llm import bpe, decontam, jaccard, langid, secrets_crf
 from rasterweave.llm.graph import stored
+from rasterweave.llm.tokens import fresh
 
 #: A document goes if its language is undetermined or scored below this; a text in one learned language scores near 1, a mixture of two near one half.
 LEAST_SCORE = 0.2
@@ -18,10 +19,10 @@ LEAST_SCORE = 0.2
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those that no learned language fits, go."""
-    columns = docs.columns
     predict = langid.predictor(spark, langid.train(docs))
-    found = docs.withColumn("_language", predict("text"))
-    return found.where((F.col("_language.lang") != langid.UNDETERMINED) & (F.col("_language.score") >= LEAST_SCORE)).select(columns)
+    own = fresh(docs, "_language")
+    found = docs.withColumn(own, predict("text"))
+    return found.where((F.col(own)["lang"] != langid.UNDETERMINED) & (F.col(own)["score"] >= LEAST_SCORE)).drop(own)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
