@@ -518,7 +518,7 @@ def write_images(pixels: DataFrame, folder: str, kinds: dict[str, int], compress
             planes[name] = np.zeros(shape)
             planes[name][g["y"].to_numpy() - y0, g["x"].to_numpy() - x0] = g["v"]
         data = scanline_file(planes, {n: kinds.get(n, 1) for n in planes}, compression, (x0, y0))
-        path = os.path.join(folder, f"{k[0]}.exr")
+        path = os.path.join(folder, f"{k[0]}.img")
         with open(path + ".part", "wb") as out:
             out.write(data)
         os.replace(path + ".part", path)

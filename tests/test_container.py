@@ -20,8 +20,8 @@ def planes(h=37, w=29, seed=1):
 
 
 def frame(spark, tmp_path, data, **options):
-    (tmp_path / "f.exr").write_bytes(data)
-    return container.read_pixels(spark, str(tmp_path / "f.exr"), **options).toPandas()
+    (tmp_path / "f.img").write_bytes(data)
+    return container.read_pixels(spark, str(tmp_path / "f.img"), **options).toPandas()
 
 
 def grid(f, name):
@@ -105,7 +105,7 @@ def test_tiles_and_levels(spark, tmp_path):
         f = frame(spark, tmp_path, data, level=(n, n))
         for k in p:
             assert np.array_equal(grid(f, k), levels[n][k].astype(float))
-    c = container.read_chunks(spark, str(tmp_path / "f.exr")).toPandas()
+    c = container.read_chunks(spark, str(tmp_path / "f.img")).toPandas()
     assert (c["lx"] == 0).sum() == 10 and c["idx"].tolist() == list(range(len(c)))
 
 
@@ -124,19 +124,19 @@ def test_deep(spark, tmp_path, compression):
     counts = r.integers(0, 4, (6, 9))
     n = int(counts.sum())
     samples = {"A": r.random(n).astype(np.float16), "Z": r.random(n).astype(np.float32)}
-    (tmp_path / "d.exr").write_bytes(container.deep_file(counts, samples, {"A": HALF, "Z": FLOAT}, compression, (2, 5)))
-    got = container.read_deep(spark, str(tmp_path / "d.exr")).orderBy("y", "x", "sample").toPandas()
+    (tmp_path / "d.img").write_bytes(container.deep_file(counts, samples, {"A": HALF, "Z": FLOAT}, compression, (2, 5)))
+    got = container.read_deep(spark, str(tmp_path / "d.img")).orderBy("y", "x", "sample").toPandas()
     assert len(got) == n and np.allclose([v["Z"] for v in got["values"]], samples["Z"]) and got["y"].min() == 5
     with pytest.raises(ValueError):
         container.deep_file(counts, samples, {"A": HALF, "Z": FLOAT}, codecs.ZIP)
 
 
 def test_headers(spark, tmp_path):
-    (tmp_path / "a.exr").write_bytes(container.scanline_file(planes(), KINDS, extra={"owner": ("string", b"me")}))
-    (tmp_path / "b.exr").write_bytes(b"nothing of the kind")
+    (tmp_path / "a.img").write_bytes(container.scanline_file(planes(), KINDS, extra={"owner": ("string", b"me")}))
+    (tmp_path / "b.img").write_bytes(b"nothing of the kind")
     got = {r["path"].rsplit("/", 1)[1]: r for r in container.read_headers(spark, str(tmp_path)).collect()}
-    assert bytes(got["a.exr"]["attrs"]["owner"]["value"]) == b"me" and got["a.exr"]["damaged"] is None
-    assert got["b.exr"]["attrs"] is None and got["b.exr"]["damaged"]
+    assert bytes(got["a.img"]["attrs"]["owner"]["value"]) == b"me" and got["a.img"]["damaged"] is None
+    assert got["b.img"]["attrs"] is None and got["b.img"]["damaged"]
 
 
 def test_recovery():
@@ -169,7 +169,7 @@ def test_sinks(spark, tmp_path):
     rows = spark.range(2 * 2 * 12).select((F.col("id") % 2).alias("image"), F.when(F.col("id") % 4 < 2, "A").otherwise("Z").alias("channel"), (F.floor(F.col("id") / 16)).cast("int").alias("y"), (F.floor(F.col("id") / 4) % 4).cast("int").alias("x"), (F.col("id") * 0.5).alias("v"))
     written = container.write_images(rows, str(tmp_path), {"Z": FLOAT}).collect()
     assert len(written) == 2
-    back = container.read_pixels(spark, str(tmp_path / "*.exr")).select("channel", "y", "x", "v")
+    back = container.read_pixels(spark, str(tmp_path / "*.img")).select("channel", "y", "x", "v")
     assert back.exceptAll(rows.select("channel", "y", "x", "v")).count() == 0 and back.count() == 48
     container.write_pyramid(rows.withColumn("level", F.col("image").cast("int")), str(tmp_path / "pyr"))
     assert "PartitionFilters: [isnotnull(level" in spark.read.parquet(str(tmp_path / "pyr")).where("level = 1")._jdf.queryExecution().toString()
