@@ -5,12 +5,15 @@ Each view has its DuckDB SQL beside it, for the oracles.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterweave.session import table
+from rasterweave.sources import codecs, container
 
-WIDTH, RGBA_WIDTH, DEEP_WIDTH, SHIFT = 64, 16, 128, 0.55
+WIDTH, RGBA_WIDTH, DEEP_WIDTH, SHIFT, BAND = 64, 16, 128, 0.55, 40
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,3 +81,37 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHANNELS = """channels AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN base WHEN 1 THEN vw || '.' || base WHEN 2 THEN kind || '.' || vw || '.' || base
   ELSE kind || '.left.' || vw || '.' || base END AS channel FROM (SELECT p_partkey, ['left', 'right', 'diffuse'][p_partkey % 3 + 1] AS vw,
   ['R', 'G', 'B', 'A', 'Z'][p_partkey % 5 + 1] AS base, replace(p_type, ' ', '_') AS kind FROM part))"""
+
+
+def files(spark: SparkSession, sf_dir: str, compression: int = codecs.ZIP, layout: str = "scanlines", damage: bool = False) -> DataFrame:
+    """(path, content): container files of BAND rows of the raster each; channels A (half) and Z (float), window-absolute.
+
+    layout: scanlines, tiles (16 x 8, all mip levels by taking every other sample), or deep (as
+    many samples in a pixel as its column, modulo 3; Z only). damage: chunk tables are zeroed.
+    """
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        band = int(frame["y"].iloc[0]) // BAND
+        y0, rows = int(frame["y"].min()), int(frame["y"].max()) - int(frame["y"].min()) + 1
+        z = np.zeros((rows, WIDTH), np.float32)
+        z[frame["y"].to_numpy() - y0, frame["x"].to_numpy()] = frame["v"].to_numpy()
+        planes, kinds = {"A": z.astype(np.float16), "Z": z}, {"A": 1, "Z": 2}
+        if layout == "tiles":
+            levels = [planes]
+            while max(levels[-1]["Z"].shape) > 1:
+                h, w = (max(1, n // 2) for n in levels[-1]["Z"].shape)
+                levels.append({k: v[::2, ::2][:h, :w] for k, v in levels[-1].items()})
+            data = container.tiled_file(levels, kinds, (16, 8), compression, (0, y0))
+        elif layout == "deep":
+            counts = np.tile(np.arange(WIDTH) % 3, (rows, 1))
+            data = container.deep_file(counts, {"Z": np.repeat(z.ravel(), counts.ravel())}, {"Z": 2}, compression, (0, y0))
+        else:
+            data = container.scanline_file(planes, kinds, compression, (0, y0))
+        if damage:
+            f = container.File(data)
+            table = 8 * len(f.offsets[0])
+            data = data[: f.start - table] + bytes(table) + data[f.start :]
+        return pd.DataFrame({"path": [f"band{band:05d}"], "content": [data]})
+
+    bands = raster(spark, sf_dir).groupBy(F.floor(F.col("y") / BAND).alias("band"))
+    return bands.applyInPandas(build, "path string, content binary")

@@ -303,3 +303,22 @@ ORACLES["e7_filtered_lookup"] = f"WITH {RASTER}, {RGBA}, " + _filtered("SELECT y
 ORACLES["e8_convert"] = f"""WITH {RGBA}, e AS (SELECT y, x::INTEGER AS x, y // 6 AS f, y % 6 AS r FROM range(36) AS a(y), range(6) AS b(x)),
 uv AS (SELECT y, x, f, CASE WHEN f < 2 THEN 5 - r WHEN f = 4 THEN 5 - x ELSE x END / 2.5 - 1 AS p, CASE f WHEN 0 THEN x WHEN 1 THEN 5 - x WHEN 3 THEN r ELSE 5 - r END / 2.5 - 1 AS q, CASE WHEN f % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM e),
 d AS (SELECT y, x, CASE WHEN f < 2 THEN s ELSE p END AS dx, CASE WHEN f < 2 THEN p WHEN f < 4 THEN s ELSE q END AS dy, CASE WHEN f < 4 THEN q ELSE s END AS dz FROM uv), """ + _filtered("SELECT * FROM d", "y, x", 0.25)
+
+
+_SAMPLES = f"""px AS (SELECT 'Z' AS channel, y, x, round(v::FLOAT::DOUBLE, 6) AS v FROM raster UNION ALL SELECT 'A', y, x, round({_half('v')}, 6) FROM raster)"""
+_ALL = f"WITH {RASTER}, {_SAMPLES} SELECT channel, y, x, v FROM px"
+_BANDS = "bands AS (SELECT 'band' || printf('%05d', b) AS path, b * 40 AS y0, least(b * 40 + 40, n) - 1 AS y1 FROM (SELECT count(*) AS n FROM embeddings), range(1000) AS t(b) WHERE b * 40 < n)"
+ORACLES |= {
+    "s1_scanline_scan": _ALL,
+    "c2_run_lengths": _ALL,
+    "c5_wavelet": _ALL,
+    "s1_scanline_scan_window": f"WITH {RASTER} SELECT 'Z' AS channel, y, x, round(v, 6) AS v FROM raster WHERE x BETWEEN 5 AND 20 AND y BETWEEN 30 AND 90",
+    "s1b_tiled_scan": f"WITH {RASTER} SELECT 'band' || printf('%05d', y // 40) AS path, y // 40 * 40 + y % 40 // 4 AS y, (x // 4)::INTEGER AS x, round(v, 6) AS v FROM raster WHERE y % 40 % 4 = 0 AND x % 4 = 0",
+    "s1c_deep_scan": f"WITH {RASTER} SELECT y, x, s::INTEGER AS sample, round(v, 6) AS z FROM raster, range(2) AS t(s) WHERE s < x % 3",
+    "s4_byte_catalogue": f"WITH {_BANDS} SELECT path, (y - y0)::INTEGER AS idx, 64 * 6 AS length, y AS y0, y AS y1, 63 AS x1 FROM bands, LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y)",
+    "s6_recovery_scan": f"WITH {RASTER}, {_SAMPLES.replace(', 6)', ', 12)')} SELECT channel, count(*) AS n, round(sum(v), 3) AS s FROM px GROUP BY channel",
+    "s7_header_scan": f"""WITH {_BANDS} SELECT path, 0 AS part, name, type, bytes FROM bands, (VALUES ('channels', 'chlist', 37), ('compression', 'compression', 1), ('dataWindow', 'box2i', 16), ('displayWindow', 'box2i', 16),
+  ('lineOrder', 'lineOrder', 1), ('pixelAspectRatio', 'float', 4), ('screenWindowCenter', 'v2f', 8), ('screenWindowWidth', 'float', 4)) AS a(name, type, bytes)""",
+    "c6_24_bits": f"""WITH {RASTER}, e AS (SELECT y, x, v::FLOAT::DOUBLE AS v, floor(log2(abs(v::FLOAT::DOUBLE))) AS e FROM raster)
+SELECT y, x, round(sign(v) * floor(abs(v) * pow(2, 15 - e) + 0.5) / pow(2, 15 - e), 9) AS v FROM e""",
+}

@@ -20,6 +20,7 @@ from rasterweave.operators import region as S
 from rasterweave.operators import views as V
 from rasterweave.plans import adapters as W
 from rasterweave.session import table
+from rasterweave.sources import codecs, container
 
 TIES = ("t1", "t2", "t3", "t4")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -750,3 +751,70 @@ def q5_structure(spark, d):
 @query
 def q6_recompressed(spark, d):
     return W.headers(spark, d).select("id", F.when(F.col("deep"), 2).otherwise(3).alias("compression"), G.lines_per_chunk(F.when(F.col("deep"), 2).otherwise(3)).alias("lines"))
+
+
+# The container: files are built from the raster, then read as any others
+
+
+def pixels_of(spark, d, compression, **options):
+    return container.read_pixels(spark, W.files(spark, d, compression), **options).select("channel", F.col("y").cast("bigint").alias("y"), "x", F.round("v", 6).alias("v"))
+
+
+@query
+def s1_scanline_scan(spark, d):
+    return pixels_of(spark, d, codecs.ZIP)
+
+
+@query
+def s1_scanline_scan_window(spark, d):
+    return pixels_of(spark, d, codecs.ZIPS, box=(5, 30, 20, 90), channels=["Z"])
+
+
+@query
+def s1b_tiled_scan(spark, d):
+    got = container.read_pixels(spark, W.files(spark, d, codecs.RLE, "tiles"), level=(2, 2), channels=["Z"])
+    return got.select("path", F.col("y").cast("bigint").alias("y"), "x", F.round("v", 6).alias("v"))
+
+
+@query
+def s1c_deep_scan(spark, d):
+    got = container.read_deep(spark, W.files(spark, d, codecs.ZIPS, "deep"))
+    return got.select(F.col("y").cast("bigint").alias("y"), "x", "sample", F.round(F.element_at("values", "Z"), 6).alias("z"))
+
+
+@query
+def s4_byte_catalogue(spark, d):
+    return container.read_chunks(spark, W.files(spark, d, codecs.NONE)).select("path", "idx", "length", F.col("y0").cast("bigint").alias("y0"), F.col("y1").cast("bigint").alias("y1"), "x1")
+
+
+@query
+def s6_recovery_scan(spark, d):
+    got = container.read_pixels(spark, W.files(spark, d, codecs.ZIPS, damage=True), recover=True)
+    return got.groupBy("channel").agg(F.count("*").alias("n"), F.round(F.sum("v"), 3).alias("s"))
+
+
+@query
+def s7_header_scan(spark, d):
+    got = container.read_headers(spark, W.files(spark, d))
+    return got.select("path", "part", F.explode("attrs").alias("name", "a")).select("path", "part", "name", "a.type", F.octet_length("a.value").alias("bytes"))
+
+
+@query
+def c2_run_lengths(spark, d):
+    return pixels_of(spark, d, codecs.RLE)
+
+
+@query
+def c5_wavelet(spark, d):
+    return pixels_of(spark, d, codecs.PIZ)
+
+
+@query
+def c6_24_bits(spark, d):
+    return container.read_pixels(spark, W.files(spark, d, codecs.PXR24), channels=["Z"]).select(F.col("y").cast("bigint").alias("y"), "x", F.round("v", 9).alias("v"))
+
+
+@query
+def c7_blocks(spark, d):
+    got = container.read_pixels(spark, W.files(spark, d, codecs.B44))
+    return got.groupBy("channel").agg(F.count("*").alias("n"), F.max(F.abs("v") < 10).alias("sane"))

@@ -296,11 +296,12 @@ def decode_deep(f: File, c: Chunk) -> tuple[np.ndarray, dict[str, list[np.ndarra
     return counts, out
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def _files(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """(path, content) of files: those of a path, or a DataFrame that has them."""
+    return path.select("path", "content") if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
+def read_headers(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(path, part, attrs: name to (type, value)) of every part; damaged files have `damaged` instead."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,7 +326,7 @@ def _wanted(f: File, part: int, level: tuple[int, int], box: Sequence[int] | Non
             yield c
 
 
-def read_chunks(spark: SparkSession, path: str, recover: bool = False) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str | DataFrame, recover: bool = False) -> DataFrame:
     """The catalogue: (path, part, idx, offset, length, x0, y0, x1, y1, lx, ly), from the chunks' heads alone."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,7 +339,7 @@ def read_chunks(spark: SparkSession, path: str, recover: bool = False) -> DataFr
     return _files(spark, path).mapInPandas(run, "path string, part int, idx int, offset bigint, length bigint, x0 int, y0 int, x1 int, y1 int, lx int, ly int")
 
 
-def read_pixels(spark: SparkSession, path: str, part: int = 0, level: tuple[int, int] = (0, 0), box: Sequence[int] | None = None, channels: Sequence[str] | None = None, recover: bool = False, tasks: int | None = None) -> DataFrame:
+def read_pixels(spark: SparkSession, path: str | DataFrame, part: int = 0, level: tuple[int, int] = (0, 0), box: Sequence[int] | None = None, channels: Sequence[str] | None = None, recover: bool = False, tasks: int | None = None) -> DataFrame:
     """(path, channel, y, x, v) of a part's level: only chunks that touch the inclusive box are decoded, only wanted channels kept.
 
     The chunks, still compressed, with their file's head are dealt over tasks before they are decoded.
@@ -370,7 +371,7 @@ def read_pixels(spark: SparkSession, path: str, part: int = 0, level: tuple[int,
     return chunks.repartition(tasks or spark.sparkContext.defaultParallelism).mapInPandas(decode, "path string, channel string, y int, x int, v double")
 
 
-def read_deep(spark: SparkSession, path: str, part: int = 0, recover: bool = False) -> DataFrame:
+def read_deep(spark: SparkSession, path: str | DataFrame, part: int = 0, recover: bool = False) -> DataFrame:
     """(path, y, x, sample, channel values as a map) of deep pixels; samples in stored order."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
