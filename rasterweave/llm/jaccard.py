@@ -1,13 +1,12 @@
-"""N-gram Jaccard join: documents whose shingle sets are alike by a share of hundredths or more.
+"""N-gram Jaccard join: documents whose shingle sets have a similarity of at least 90 in 100.
 
 1. Sets. A text becomes the sorted array of hashes (64 bits) of its distinct shingles. Equal
    sets are one node, however many rows have them.
-2. Candidates. All shingles are put in one order, rarest first, by a sketch of counts over all
-   documents (SKETCH counters, whatever the input) and then by hash. Two sets of n and more
-   elements that are alike enough share one of the first n - ceil(similarity n) + 1 elements of
-   the smaller in any order, so each node is posted under these; rare ones have short lists,
-   and what many documents share comes last. Nodes of a posting list are chained to its
-   least node, and nodes that chains connect make up a candidate group.
+2. Candidates. Sizes fall into bands. Two sets of a band that are similar enough differ in D
+   shingles at most, so of D + 1 segments, into which hashes are dealt, one is the same in
+   both. Each node is posted under each of its segments; nodes of a posting list are chained
+   to its least node, and nodes that chains connect make up a candidate group. An empty
+   segment says little, so it is posted together with each segment of a second dealing.
 3. Tiles. A group that is small is one tile. A larger one is cut into blocks by size band and
    hash, each of about BLOCK shingles, and a tile is two blocks of bands near enough. Within
    a tile, bitmaps of hashed shingles bound the overlap from above by bit counts; pairs that
@@ -15,15 +14,13 @@
    returns a spanning forest of its links.
 4. Components of the forests' links, by aggregations and joins.
 
-No pair is lost: an alike pair shares a posting list, hence a group, hence a tile; the sketch
-decides only how long lists are. Nothing of all documents is collected to the driver but the
-sketch; broadcasts are the sketch and what is behind a check of its size.
+No pair is lost: a similar pair shares a posting list, hence a group, hence a tile. Nothing
+is collected to the driver; broadcasts are behind a check of their size.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +31,8 @@ from pyspark.sql import functions as F
 from rasterweave.llm.graph import components, stored
 from rasterweave.llm.tokens import TokenTable, bounded_batches, fresh, mix64
 
-#: Words of a shingle, similarity in hundredths, shingles of a block, and candidate texts up to which their hashes are broadcast (8 bytes each).
-SHINGLE, SIMILARITY, BLOCK, BROADCAST_TEXTS = 3, 90, 60_000, 500_000
-#: Counters of the sketch, a power of two, and the slices in which tasks' sketches are added up.
-SKETCH, SLICES = 1 << 20, 64
+#: Words of a shingle, similarity in hundredths, least ratio of a band's ends, shingles of a block, and candidate texts up to which their hashes are broadcast (8 bytes each).
+SHINGLE, SIMILARITY, BAND, BLOCK, BROADCAST_TEXTS = 3, 90, 1.2, 60_000, 500_000
 #: Ratio of the size bands of blocks.
 FINE = 1.05
 
@@ -72,57 +67,62 @@ def shingles(text: str | None, table: TokenTable, size: int = SHINGLE) -> np.nda
     return np.unique(mix64(key))
 
 
-def _counter(h: np.ndarray) -> np.ndarray:
-    """The sketch's counter of each hash."""
-    return (mix64(h + np.uint64(1)) & np.uint64(SKETCH - 1)).astype(np.int64)
-
-
-def sketch(spark: SparkSession, docs: DataFrame, size: int, text_col: str) -> np.ndarray:
-    """How often documents have the shingles of each counter, on a scale of quarters of a doubling (0 to 255).
-
-    Tasks send their counters in slices, which are added up in parallel; the driver gets SKETCH bytes.
-    """
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, total, held, n = word_table(), np.zeros(SKETCH, np.uint32), [], 0
-        for part in parts:
-            for text in part["_text"]:
-                held.append(shingles(text, table, size))
-                n += len(held[-1])
-                if n > 500_000:
-                    total += np.bincount(_counter(np.concatenate(held)), minlength=SKETCH).astype(np.uint32)
-                    held, n = [], 0
-        if held:
-            total += np.bincount(_counter(np.concatenate(held)), minlength=SKETCH).astype(np.uint32)
-        table.done()
-        for k, slice_ in enumerate(np.split(total, SLICES)):
-            if slice_.any():
-                yield pd.DataFrame({"slice": [k], "counts": [zlib.compress(slice_.tobytes(), 1)]})
-
-    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for part in parts:
-            for k, counts in zip(part["slice"].tolist(), part["counts"], strict=True):
-                own = np.frombuffer(zlib.decompress(counts), np.uint32)
-                sums[k] = sums[k] + own if k in sums else own.astype(np.uint64)
-        for k, v in sums.items():
-            yield pd.DataFrame({"slice": [k], "scale": [np.minimum(255, 4 * np.log2(v + 1.0)).astype(np.uint8).tobytes()]})
-
-    rows = docs.select(F.col(f"`{text_col}`").alias("_text")).mapInPandas(count, "slice int, counts binary")
-    out = np.zeros(SKETCH, np.uint8)
-    for r in rows.repartition(SLICES, "slice").mapInPandas(add, "slice int, scale binary").collect():
-        out[r["slice"] * (SKETCH // SLICES) : (r["slice"] + 1) * (SKETCH // SLICES)] = np.frombuffer(r["scale"], np.uint8)
-    return out
+class Bands:
+    """Size bands and their number of segments."""
+
+    def __init__(self, similarity: int = SIMILARITY):
+        self.similarity = similarity
+        self.ratio = max(BAND, 100 / similarity)  # so that an alike set is in the same band or in one beside it
+        self.starts = [1]
+
+    def _next(self) -> None:
+        self.starts.append(max(self.starts[-1] + 1, math.ceil(self.starts[-1] * self.ratio)))
+
+    def differ(self, total: int) -> int:
+        """Elements in which two similar sets of total elements together can differ."""
+        s = self.similarity
+        return (100 - s) * total // (100 + s)
+
+    def of(self, n: int) -> list[tuple[int, int]]:
+        """(band, its segments) under which a set of n elements is posted: its own and, if a similar set can be there, the next."""
+        while self.starts[-1] <= n * 100 // self.similarity + 1:
+            self._next()
+        k = int(np.searchsorted(self.starts, n, "right")) - 1
+        out = [k]
+        if n * 100 >= self.starts[k + 1] * self.similarity:
+            out.append(k + 1)
+        while len(self.starts) <= out[-1] + 1:
+            self._next()
+        return [(b, d + 1) for b in out if (d := self.differ(2 * (self.starts[b + 1] - 1)))]
+
+
+def _sums(h: np.ndarray, m: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the hashes of each of m segments, and their number."""
+    at = (mix64(h + np.uint64(seed)) % np.uint64(m)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    n = np.bincount(at, minlength=m)
+    out = np.zeros(m, np.uint64)
+    full = np.flatnonzero(n)
+    with np.errstate(over="ignore"):
+        out[full] = np.add.reduceat(mix64(h[order] + np.uint64(77)), (np.cumsum(n) - n)[full])
+    return out, n
 
 
-def postings(h: np.ndarray, scale: np.ndarray, similarity: int) -> np.ndarray:
-    """The elements that a set is posted under: its first ones in the order of all shingles."""
-    n = len(h)
-    if not n:
-        return h
-    first = n - -(-similarity * n // 100) + 1
-    key = (scale[_counter(h)].astype(np.uint64) << np.uint64(56)) | (mix64(h + np.uint64(3)) >> np.uint64(8))
-    return h[np.argpartition(key, first - 1)[:first]] if first < n else h
+def postings(h: np.ndarray, bands: Bands) -> np.ndarray:
+    """Keys that a set is posted under; sets too small to have another similar to them have none."""
+    out = []
+    with np.errstate(over="ignore"):
+        for band, m in bands.of(len(h)):
+            sums, n = _sums(h, m, 1)
+            place = np.arange(m, dtype=np.uint64) + np.uint64(band << 32)
+            key = mix64(mix64(place) + sums)
+            out.append(key[n > 0])
+            empty = np.flatnonzero(n == 0)
+            if len(empty):
+                more, _ = _sums(h, m, 2)
+                second = mix64(mix64(place + np.uint64(1 << 62)) + more)
+                out += [mix64(second + mix64(place[j] + np.uint64(1 << 61))) for j in empty]
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def node_of(h: np.ndarray) -> int:
@@ -134,13 +134,11 @@ def node_of(h: np.ndarray) -> int:
     return int(x >> np.uint64(1)) | 1
 
 
-def sets_of(docs: DataFrame, scale: np.ndarray, size: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
+def sets_of(docs: DataFrame, size: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, node, text_hash and keys of every document; a task gives the keys of a node once."""
 
-    sent = docs.sparkSession.sparkContext.broadcast(scale)
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, order, posted = word_table(), sent.value, set()
+        table, bands, posted = word_table(), Bands(similarity), set()
         none = np.zeros(0, np.int64)
         for part in parts:
             sizes, nodes, keys = [], [], []
@@ -148,7 +146,7 @@ def sets_of(docs: DataFrame, scale: np.ndarray, size: int, similarity: int, id_c
                 h = shingles(text, table, size)
                 sizes.append(len(h))
                 nodes.append(node_of(h))
-                keys.append(none if nodes[-1] in posted else postings(h, order, similarity).view(np.int64))
+                keys.append(none if nodes[-1] in posted else postings(h, bands).view(np.int64))
                 posted.add(nodes[-1])
             if len(posted) > 500_000:
                 posted.clear()
@@ -202,8 +200,7 @@ def _forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: int, left: np
 def _linked(spark: SparkSession, docs: DataFrame, size: int, similarity: int, id_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, nodes, (node, root) of nodes with links)."""
     bounded_batches(spark)
-    scale = sketch(spark, docs, size, text_col)
-    sets = stored(sets_of(docs, scale, size, similarity, id_col, text_col), "sets")
+    sets = stored(sets_of(docs, size, similarity, id_col, text_col), "sets")
     nodes = sets.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n"), F.min("text_hash").alias("text_hash"))
     posted = sets.select("node", F.explode("keys").alias("key"))
     chained = posted.withColumn("b", F.min("node").over(Window.partitionBy("key")))

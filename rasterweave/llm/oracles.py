@@ -69,6 +69,25 @@ texts AS (
   FROM plain GROUP BY ALL
 )
 SELECT page_id, url, text, length(text) AS n_chars FROM texts
+""",
+    # every pair that shares a shingle is counted, and links are followed from every document
+    "op6_jaccard_join": r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+shingles AS (
+  SELECT DISTINCT r, sh FROM (
+    SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh FROM words)
+),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.sh = b.sh AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach AS (SELECT r, r AS to_r FROM words UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.to_r)
+SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(t.doc_id) AS component_id
+FROM words w JOIN reach USING (r) JOIN words t ON t.r = reach.to_r LEFT JOIN sizes ON sizes.r = w.r GROUP BY w.r, w.doc_id
 """,
     "op9_rendezvous_sharding": f"""
 WITH {_CRC}
