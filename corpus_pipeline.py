@@ -26,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links connect stays, the one with the least id: five-word shingles, eight tenths alike."""
-    return jaccard.keep_one(spark, docs, size=5, similarity=80)
+    """One document of each group that links connect stays, the one with the least id; shingles and similarity are those of the operator's contract."""
+    return jaccard.keep_one(spark, docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
