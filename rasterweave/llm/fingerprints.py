@@ -8,7 +8,8 @@ two texts with the probability of their generalised Jaccard similarity (sum of l
 over sum of greatest).
 
 One draw for each term and slot would cost slots x terms; instead each term falls into one
-of SLOTS bins by hash, and each bin keeps its least-ranked sample. A bin that is empty in
+of SLOTS bins by hash, a weight over PIECE as several terms of PIECE at most (which leaves the
+similarity as it is, and no bin to one heavy term), and each bin keeps its least-ranked sample. A bin that is empty in
 both texts says nothing; the share of the others in which two texts agree estimates the
 similarity. Everything is computed within a row.
 """
@@ -23,6 +24,8 @@ SLOTS = 128
 #: Rows of a range of ids that one task orders, ranges at most (which bounds the broadcast of their first ids), and quantiles that lay them out.
 RANGE_ROWS, RANGES, QUANTILES = 2000, 65_536, 255
 _DIGEST = 16
+#: The greatest weight of a piece of a term.
+PIECE = 2
 
 
 def _uniforms(h: Column, seed: int) -> tuple[Column, Column]:
@@ -61,7 +64,13 @@ def with_signature(rows: DataFrame, text: str, out: str) -> DataFrame:
     first = lambda k: (k == 0) | (F.get(F.col(s), k) != F.get(F.col(s), k - 1))
     rows = rows.withColumn(i, F.when(F.col(n) == 0, none).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), first)))
     rest = F.slice(i, F.lit(2), F.greatest(F.size(i), F.lit(1)))
-    rows = rows.withColumn(v, F.sort_array(F.zip_with(i, rest, lambda a, b: _sample(F.get(F.col(s), a), F.coalesce(b, F.col(n)) - a)))).drop(s, n, i)
+
+    def pieces(a: Column, b: Column) -> Column:
+        h, weight = F.get(F.col(s), a), F.coalesce(b, F.col(n)) - a
+        part = lambda j: _sample(F.when(j == 0, h).otherwise(F.xxhash64(h, j)), F.least(weight - PIECE * j, F.lit(PIECE)))
+        return F.when(weight <= PIECE, F.array(_sample(h, weight))).otherwise(F.transform(F.sequence(F.lit(0), F.floor((weight - 1) / PIECE).cast("int")), part))
+
+    rows = rows.withColumn(v, F.sort_array(F.flatten(F.zip_with(i, rest, pieces)))).drop(s, n, i)
     least = F.filter(F.col(v), lambda x, k: (k == 0) | (F.shiftright(x, 56) != F.shiftright(F.get(F.col(v), k - 1), 56)))
     slot = lambda x: (F.shiftleft(F.shiftright(x, 56), _DIGEST) + x.bitwiseAND(F.lit((1 << _DIGEST) - 1))).cast("int")
     return rows.withColumn(out, F.transform(least, slot)).drop(v)
