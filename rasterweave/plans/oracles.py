@@ -322,3 +322,27 @@ ORACLES |= {
     "c6_24_bits": f"""WITH {RASTER}, e AS (SELECT y, x, v::FLOAT::DOUBLE AS v, floor(log2(abs(v::FLOAT::DOUBLE))) AS e FROM raster)
 SELECT y, x, round(sign(v) * floor(abs(v) * pow(2, 15 - e) + 0.5) / pow(2, 15 - e), 9) AS v FROM e""",
 }
+
+
+def _murmur(rows: str, keep: str) -> str:
+    """CTEs up to `hashed` ({keep}, h): MurmurHash3 of the bytes of s, seed 0, folded over 32-bit words in 128-bit arithmetic."""
+    m, c1, c2 = "4294967295::HUGEINT", "3432918353::HUGEINT", "461845907::HUGEINT"
+    rot = lambda v, n: f"((({v} << {n}) | ({v} >> {32 - n})) & {m})"
+    scramble = lambda k: f"(({rot(f'(({k} * {c1}) & {m})', 15)} * {c2}) & {m})"
+    final = lambda v, n, c: f"((xor({v}, {v} >> {n}) * {c}::HUGEINT) & {m})"
+    return f"""src AS ({rows}),
+bytes AS (SELECT *, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: ('0x' || x)::HUGEINT) AS b FROM src),
+words AS (SELECT *, list_transform(range(len(b) // 4), lambda i: b[4*i+1] + b[4*i+2] * 256 + b[4*i+3] * 65536 + b[4*i+4] * 16777216) AS w, b[len(b) // 4 * 4 + 1:] AS t FROM bytes),
+mixed AS (SELECT *, list_transform(w, lambda k: {scramble('k')}) AS ks, coalesce(t[1], 0) + coalesce(t[2], 0) * 256 + coalesce(t[3], 0) * 65536 AS tail FROM words),
+folded AS (SELECT *, list_reduce(list_prepend(0::HUGEINT, ks), lambda h, k: ({rot('xor(h, k)', 13)} * 5 + 3864292196::HUGEINT) & {m}) AS h0 FROM mixed),
+lengths AS (SELECT *, xor(xor(h0, {scramble('tail')}), len(b)::HUGEINT) AS h1 FROM folded),
+first_step AS (SELECT *, {final('h1', 16, 2246822507)} AS h2 FROM lengths),
+second_step AS (SELECT *, {final('h2', 13, 3266489909)} AS h3 FROM first_step),
+hashed AS (SELECT {keep}, xor(h3, h3 >> 16)::BIGINT AS h FROM second_step)"""
+
+
+ORACLES |= {
+    "i1_murmur_ids": f"WITH {_murmur('SELECT DISTINCT p_name, p_name AS s FROM part', 'p_name')} SELECT p_name, h AS id FROM hashed",
+    "i3_float_ids": f"WITH {_murmur('SELECT n_name, n_name AS s FROM nation', 'n_name')} SELECT n_name, CASE WHEN (h >> 23) & 255 IN (0, 255) THEN xor(h, 8388608) ELSE h END AS bits FROM hashed",
+    "i4_manifest": f"WITH {_murmur('SELECT DISTINCT p_brand, p_type, p_brand || chr(0) || p_type AS s FROM part', 'p_brand, p_type')} SELECT h AS id, string_agg(p_brand || '|' || p_type, '|' ORDER BY p_brand, p_type) AS names FROM hashed GROUP BY h",
+}

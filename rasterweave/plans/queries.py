@@ -590,7 +590,13 @@ def e11_padded(spark, d):
 @query
 def i1_murmur_ids(spark, d):
     names = table(spark, d, "part").select("p_name").distinct()
-    return names.select("p_name", I.hashed([F.col("p_name")]).alias("id"), I.hashed([F.col("p_name")], "murmur64").alias("id64"))
+    return names.select("p_name", I.hashed([F.col("p_name")]).alias("id"))
+
+
+@query
+def i2_murmur_128(spark, d):
+    names = table(spark, d, "part").select("p_name").distinct()
+    return names.select("p_name", I.hashed([F.col("p_name")], "murmur64").alias("id"))
 
 
 @query
