@@ -824,3 +824,155 @@ def c6_24_bits(spark, d):
 def c7_blocks(spark, d):
     got = container.read_pixels(spark, W.files(spark, d, codecs.B44))
     return got.groupBy("channel").agg(F.count("*").alias("n"), F.max(F.abs("v") < 10).alias("sane"))
+
+
+# Whole tables: the operators of the queries above whose SQL names a subset of ids or rows, without it; maps keep their shape
+
+
+@query
+def s4_chunk_catalogue_whole(spark, d):
+    heads = W.headers(spark, d).where("tiled")
+    return S.catalogue(heads).groupBy("id", "lx", "ly").agg(F.count("*").alias("chunks"), F.sum("length").alias("bytes"), F.min("offset").alias("first"), F.max("idx").alias("last_idx"))
+
+
+@query
+def s4b_chunks_for_scanlines_whole(spark, d):
+    return S.for_scanlines(S.catalogue(W.headers(spark, d).where("mode = 'one'")), 200, 90).select("id", "idx", "tx", "ty")
+
+
+@query
+def s4c_chunks_for_region_whole(spark, d):
+    return S.for_region(S.catalogue(W.headers(spark, d).where("mode = 'mipmap'")), 8, 16, 48, 64, 1, 1).select("id", "idx", "tx", "ty")
+
+
+@query
+def g2_level_sizes_whole(spark, d):
+    return S.levels(W.headers(spark, d)).select("id", "lx", "ly", "lw", "lh")
+
+
+@query
+def g3_tile_counts_whole(spark, d):
+    return S.level_tiles(W.headers(spark, d)).select("id", "lx", "ly", "nx", "ny")
+
+
+@query
+def g4_tile_chunk_index_whole(spark, d):
+    return S.level_tiles(W.headers(spark, d)).select("id", "lx", "ly", "first")
+
+
+@query
+def g9_sampled_rows_whole(spark, d):
+    rows = W.headers(spark, d).select("id", F.explode(F.sequence(F.col("min_y"), F.col("min_y") + 20)).alias("y"))
+    return rows.where(G.has_row(F.col("y"), F.lit(3))).groupBy("id").agg(F.count("*").alias("rows"), F.min("y").alias("first")).withColumn("stored", G.sampled(F.lit(21), F.lit(3)))
+
+
+@query
+def g10_tile_extent_whole(spark, d):
+    h = W.headers(spark, d).withColumn("tx", F.explode(F.sequence(F.lit(0).cast("bigint"), G.tiles(F.col("w"), F.col("tw")) - 1)))
+    a, b = G.tile_span(F.col("min_x"), F.col("min_x") + F.col("w") - 1, F.col("tw"), F.col("tx"))
+    return h.select("id", "tx", a.alias("x0"), b.alias("x1"))
+
+
+@query
+def p4_mip_pyramid_up_whole(spark, d):
+    return rounded(P.mip_pyramid(W.raster(spark, d), W.WIDTH, height(spark, d), up=True))
+
+
+@query
+def p5_rip_pyramid_whole(spark, d):
+    return rounded(P.rip_pyramid(W.raster(spark, d), W.WIDTH, height(spark, d)))
+
+
+@query
+def a6_chroma_upsample_whole(spark, d):
+    return rounded(A.upsample_chroma(A.chroma(W.rgba(spark, d)), W.RGBA_WIDTH, height(spark, d)))
+
+
+@query
+def a7_preview_whole(spark, d):
+    return A.preview(W.rgba(spark, d), W.RGBA_WIDTH, height(spark, d), 10, 30)
+
+
+@query
+def a7c_tone_and_gamma_whole(spark, d):
+    v = F.col("v") * 3
+    return rounded(W.raster(spark, d).select("y", "x", colour.tone(v).alias("tone"), colour.srgb(v).alias("srgb"), colour.linear(F.abs(v)).alias("lin"), colour.to_byte(v).alias("byte")))
+
+
+@query
+def m8_header_dump_whole(spark, d):
+    attrs = F.create_map(F.lit("compression"), F.col("compression").cast("string"), F.lit("dataWindow"), F.concat_ws(" ", F.col("min_x"), F.col("min_y"), F.col("w"), F.col("h")), F.lit("type"), F.when(F.col("tiled"), "tiledimage").otherwise("scanlineimage"))
+    return W.headers(spark, d).select("id", F.explode(attrs).alias("attribute", "value"))
+
+
+@query
+def v6_read_view_whole(spark, d):
+    stereo = W.rgba(spark, d).select("y", "x", F.col("r").alias("left.R"), F.col("g").alias("left.G"), F.col("b").alias("right.R"))
+    own = stereo.select("y", "x", *[F.col(f"`{c}`").alias(c.split(".")[1]) for c in stereo.columns if c.startswith("left.")])
+    return rounded(A.rgba_of(own))
+
+
+@query
+def v8_combine_parts_whole(spark, d):
+    h = W.headers(spark, d)
+    half = h.count() // 2
+    a = h.where(F.col("id") <= half).select(F.col("id").alias("part"), F.concat(F.lit("p"), (F.col("id") % 100).cast("string")).alias("name"), "w")
+    b = h.where(F.col("id") > half).select(F.col("id").alias("part"), F.concat(F.lit("p"), (F.col("id") % 70).cast("string")).alias("name"), "h")
+    return V.combine([a, b])
+
+
+@query
+def e1_directions_whole(spark, d):
+    n = height(spark, d)
+    lat, lon = E.pixel_lat_long(F.col("x"), F.col("y"), W.WIDTH, n)
+    q = W.raster(spark, d).select("y", "x", E.direction(lat, lon).alias("d"))
+    back = q.select("y", "x", "d", E.lat_long(F.col("d")).alias("l"))
+    px, py = E.lat_long_pixel(F.col("l.lat"), F.col("l.lon"), W.WIDTH, n)
+    return rounded(back.select("y", "x", F.col("d.x").alias("dx"), F.col("d.y").alias("dy"), F.col("d.z").alias("dz"), F.when((F.col("y") > 0) & (F.col("y") < n - 1) & (F.col("x") > 0) & (F.col("x") < 63), px).alias("px"), py.alias("py")))
+
+
+@query
+def e2_lat_long_pixels_whole(spark, d):
+    lat, lon = E.pixel_lat_long(F.col("x"), F.col("y"), W.WIDTH, height(spark, d))
+    return rounded(W.raster(spark, d).select("y", "x", lat.alias("lat"), lon.alias("lon")))
+
+
+@query
+def e3_cube_faces_whole(spark, d):
+    s = W.raster(spark, d).withColumn("v", F.col("v") + 0.0)
+    vec = E._vec(F.col("v"), F.col("x") / 64.0 - 0.5001, F.col("y") / float(height(spark, d)) - 0.4999)
+    q = s.select("y", "x", E.cube_position(vec, 9).alias("p"))
+    px, py = E.cube_pixel(F.col("p.face"), F.col("p.u"), F.col("p.v"), 9)
+    return rounded(q.select("y", "x", "p.face", F.col("p.u").alias("u"), F.col("p.v").alias("v"), px.alias("px"), py.alias("py")))
+
+
+@query
+def e5_bilinear_whole(spark, d):
+    pts = W.raster(spark, d).select("y", "x", (F.col("v") * 40).alias("px"), (F.col("x") * 1.3 + F.col("y") * 0.2).alias("py"), F.lit(1.0).alias("weight"))
+    return rounded(E.sample(pts, W.rgba(spark, d), W.RGBA_WIDTH, height(spark, d), ["y", "x"]))
+
+
+@query
+def e6_lookup_whole(spark, d):
+    dirs = W.raster(spark, d).select("y", "x", E._vec(F.col("v"), F.col("x") / 64.0 - 0.5003, F.col("y") / float(height(spark, d)) - 0.4007).alias("d"))
+    px, py = E.direction_pixel(F.col("d"), "cube", 8, 48)
+    return rounded(E.sample(dirs.select("y", "x", px.alias("px"), py.alias("py"), F.lit(1.0).alias("weight")), W.rgba(spark, d).where("y < 48 AND x < 8"), 8, 48, ["y", "x"]))
+
+
+@query
+def i7_manifest_json_whole(spark, d):
+    entries = table(spark, d, "part").select((F.col("p_partkey") % 10).alias("manifest"), F.concat_ws("_", "p_name", "p_partkey").alias("name"), (F.col("p_partkey") * 2654435 % 4294967296).alias("id"))
+    return I.read_json(I.write_json(entries))
+
+
+@query
+def i8_manifest_lines_whole(spark, d):
+    entries = table(spark, d, "part").select((F.col("p_partkey") % 7).alias("manifest"), F.concat_ws("_", "p_name", "p_partkey").alias("name"), (F.col("p_partkey") * 2654435 % 4294967296).alias("id"))
+    return I.write_json(entries)
+
+
+@query
+def q4_chunk_rules_whole(spark, d):
+    c = S.catalogue(W.headers(spark, d).where("mode = 'one'"))
+    damaged = c.withColumn("offset", F.when(F.col("idx") == 5, 0).otherwise(F.col("offset"))).withColumn("length", F.when(F.col("idx") == 7, 0).otherwise(F.col("length")))
+    return Q.chunk_violations(damaged, 200_000)

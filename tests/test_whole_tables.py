@@ -1,0 +1,50 @@
+"""Queries over whole tables against the SQL of the query on a subset, with the subset taken out of a copy of that SQL."""
+
+import oracle
+import pytest
+
+from rasterweave.plans.oracles import ORACLES, _cascade, _rip
+from rasterweave.plans.queries import QUERIES
+
+SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"  # 200 and 2,000 parts, 500 raster rows each
+
+CASES = {
+    "s4_chunk_catalogue": (SMALL, [("p_partkey <= 60 AND ", "")]),
+    "s4b_chunks_for_scanlines": (SMALL, [("p_partkey <= 40 AND ", "")]),
+    "s4c_chunks_for_region": (LARGE, [("p_partkey <= 200 AND ", "")]),
+    "g2_level_sizes": (LARGE, [("id <= 300", "TRUE")]),
+    "g3_tile_counts": (LARGE, [("id <= 300", "TRUE")]),
+    "g4_tile_chunk_index": (LARGE, [("p_partkey <= 300", "TRUE")]),
+    "g9_sampled_rows": (SMALL, [("id <= 100", "TRUE")]),
+    "g10_tile_extent": (SMALL, [("id <= 100", "TRUE")]),
+    "a6_chroma_upsample": (SMALL, [("y < 99", "TRUE"), ("y // 2 + 1, 49", "y // 2 + 1, 249"), ("range(99)", "range(500)")]),
+    "a7_preview": (SMALL, [("100 / 30", "500 / 30"), ("y < 100", "TRUE"), ("range(4)", "range(1)"), ("16 / 4", "16 / 1")]),  # 16 x 500 in 10 x 30 is one column
+    "a7c_tone_and_gamma": (SMALL, [("y < 200", "TRUE")]),
+    "m8_header_dump": (SMALL, [("id <= 50", "TRUE")]),
+    "v6_read_view": (SMALL, [("y < 50", "TRUE")]),
+    "v8_combine_parts": (LARGE, [("id <= 300", "id <= 1000"), ("id > 300 AND id <= 500", "id > 1000")]),
+    "e1_directions": (SMALL, [("y / 99", "y / 499"), ("y < 99", "y < 499"), ("y < 100", "TRUE")]),
+    "e2_lat_long_pixels": (SMALL, [("y / 59", "y / 499"), ("y < 60", "TRUE")]),
+    "e3_cube_faces": (SMALL, [("y / 100", "y / 500"), ("y < 100", "TRUE")]),
+    "e5_bilinear": (SMALL, [("least(89,", "least(499,"), ("y < 100", "TRUE")]),
+    "e6_lookup": (SMALL, [("y / 30", "y / 500"), ("y < 30", "TRUE")]),
+    "i7_manifest_json": (LARGE, [("p_partkey <= 500", "TRUE")]),
+    "i8_manifest_lines": (LARGE, [("p_partkey <= 300", "TRUE")]),
+    "q4_chunk_rules": (SMALL, [("p_partkey <= 30 AND ", "")]),
+}
+MADE = {"p4_mip_pyramid_up": _cascade("TRUE", 64, 500, 10, True), "p5_rip_pyramid": _rip("TRUE", 64, 500)}
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_whole_table_equals_sql_without_its_subset(spark, name):
+    sf, changes = CASES[name]
+    sql = ORACLES[name]
+    for old, new in changes:
+        assert old in sql
+        sql = sql.replace(old, new)
+    assert oracle.differences(QUERIES[f"{name}_whole"](spark, sf), sql, sf) == []
+
+
+@pytest.mark.parametrize("name", sorted(MADE))
+def test_whole_pyramid_equals_sql(spark, name):
+    assert oracle.differences(QUERIES[f"{name}_whole"](spark, SMALL), MADE[name], SMALL) == []
