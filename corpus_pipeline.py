@@ -13,7 +13,7 @@ from rasterweave.llm import bpe, decontam, jaccard, langid, secrets_crf
 from rasterweave.llm.graph import stored
 from rasterweave.llm.tokens import fresh
 
-#: A document goes if its language is undetermined or scored below this; a text in one learned language scores near 1, a mixture of two near one half.
+#: A document goes if its language is undetermined or scored below this: 0 for a text that does not fit the language that won; one that fits scores near 1, a mixture of two near one half.
 LEAST_SCORE = 0.2
 
 

@@ -5,6 +5,10 @@ decide: one for each pair of families, then, within the family that won, one for
 its languages; the side with more wins goes on, and the sum of margins parts ties. Texts are
 scored whole. As every machine is linear, a word's contribution to all machines is computed
 once for each distinct word of a worker.
+
+Machines only compare languages. That a text is in none of them is told by the share of its
+n-grams of LONG characters that two documents of the winner's sample have: under the language's threshold,
+which is set on documents of the sample that are left out for it, the score is 0.
 """
 
 from __future__ import annotations
@@ -34,6 +38,10 @@ FAMILIES: Mapping[str, tuple[str, ...]] = {
     "sinitic": ("zh", "yue"),
     "dravidian": ("ta", "te", "kn", "ml"),
 }
+#: Length of the n-grams that a language is known by, their slots, and documents of a language that are needed to set its threshold.
+LONG, LONG_SLOTS, CALIBRATED_FROM = 4, 1 << 20, 30
+#: A threshold is FITTING times the share that 99 % of the left out documents reach; a text with fewer than LEAST_LONG such n-grams is not judged.
+FITTING, LEAST_LONG = 0.8, 10
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -69,6 +77,36 @@ def shares_of(words: list[str]) -> np.ndarray:
     return (np.bincount(slots, minlength=SLOTS) * (100.0 / len(slots))).astype(np.float32)
 
 
+def long_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, index of the word) of each n-gram of LONG characters of words that are marked at both ends."""
+    marked = [f" {w} " for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    word = np.repeat(np.arange(len(marked)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))
+    key = np.zeros(max(0, len(codes) - LONG + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(LONG):
+            key = mix64(key * np.uint64(1_000_003) + codes[i : i + len(key)])
+    ok = left[: len(key)] >= LONG
+    return (key[ok] & np.uint64(LONG_SLOTS - 1)).astype(np.int64), word[: len(key)][ok]
+
+
+def known_of(documents: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """(packed bits of the slots that two documents have, so that none vouches for itself, and threshold) of a language. documents: distinct slots of each; too few set no threshold."""
+    seen = np.zeros(LONG_SLOTS, np.int32)
+    for k, at in enumerate(documents):
+        if k % 5:
+            seen[at] += 1
+    least = 0.0
+    if len(documents) >= CALIBRATED_FROM:
+        shares = [(seen[at] > 1).mean() for at in documents[::5] if len(at) >= LEAST_LONG]
+        least = FITTING * float(np.quantile(shares, 0.01)) if shares else 0.0
+    for at in documents[::5]:
+        seen[at] += 1
+    return np.packbits(seen > 1), least
+
+
 def svm(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, epochs: int = 12, seed: int = 3) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine (hinge loss, averaged subgradient steps); y is +1 or -1, classes weigh the same."""
     rng = np.random.default_rng(seed)
@@ -94,20 +132,28 @@ def svm(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, epochs: int = 12, see
 
 
 class Model:
-    """Families, their languages, and a machine for each pair: (positive side, negative side) -> a row of weights and a bias."""
+    """Families, their languages, and a machine for each pair: (positive side, negative side) -> a row of weights and a bias. known: known_of each language, or nothing, and then no text is rejected."""
 
-    def __init__(self, families: dict[str, list[str]], pairs: list[tuple[str, str]], weights: np.ndarray, bias: np.ndarray):
-        self.families, self.pairs, self.weights, self.bias = families, pairs, weights, bias
+    def __init__(self, families: dict[str, list[str]], pairs: list[tuple[str, str]], weights: np.ndarray, bias: np.ndarray, known: Mapping[str, tuple[np.ndarray, float]] | None = None):
+        self.families, self.pairs, self.weights, self.bias, self.known = families, pairs, weights, bias, dict(known or {})
+        self.judged = {lang: i for i, lang in enumerate(sorted(self.known))}
         self.names = sorted(families)
         self.index = {p: i for i, p in enumerate(pairs)}
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """Of each word: its sum of weights for every machine, and its number of n-grams."""
+        """Of each word: its sum of weights for every machine, and its number of n-grams; with known, then its long n-grams that each language has, and their number."""
         slots, owner = grams_of(words)
-        out = np.zeros((len(words), len(self.pairs) + 1))
-        for k in range(len(self.pairs)):
+        n = len(self.pairs)
+        out = np.zeros((len(words), n + 1 + (len(self.judged) + 1 if self.judged else 0)))
+        for k in range(n):
             out[:, k] = np.bincount(owner, self.weights[k][slots], len(words))
-        out[:, -1] = np.bincount(owner, minlength=len(words))
+        out[:, n] = np.bincount(owner, minlength=len(words))
+        if self.judged:
+            slots, owner = long_grams(words)
+            for lang, k in self.judged.items():
+                bits = self.known[lang][0][slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1
+                out[:, n + 1 + k] = np.bincount(owner, bits, len(words))
+            out[:, -1] = np.bincount(owner, minlength=len(words))
         return out
 
     def _best(self, kind: str, names: list[str], margins: np.ndarray) -> tuple[str, float]:
@@ -125,20 +171,23 @@ class Model:
         return best, least[best]
 
     def decide(self, sums: np.ndarray) -> tuple[str, float]:
-        """sums: of the rows of a text's words. The language and a score of 0 to 1 (each step's margin through a sigmoid, multiplied)."""
+        """sums: of the rows of a text's words. The language and a score of 0 to 1 (each step's margin through a sigmoid, multiplied), 0 if the text does not fit the language."""
         if not self.names:
             return UNDETERMINED, 0.0
-        margins = sums[:-1] * (100.0 / sums[-1]) + self.bias
+        n = len(self.pairs)
+        margins = sums[:n] * (100.0 / sums[n]) + self.bias
         family, far = self._best("family ", self.names, margins)
         language, near = self._best("", self.families[family], margins)
+        if language in self.judged and sums[-1] >= LEAST_LONG and sums[n + 1 + self.judged[language]] < self.known[language][1] * sums[-1]:
+            return language, 0.0
         score = 1.0
         for m in (far, near):
             score *= 1 / (1 + np.exp(-max(-30.0, min(30.0, 4 * m))))
         return language, float(score)
 
 
-def fit(vectors: dict[str, np.ndarray], families: Mapping[str, tuple[str, ...]] = FAMILIES) -> Model:
-    """vectors: for each language the vectors of its documents."""
+def fit(vectors: dict[str, np.ndarray], families: Mapping[str, tuple[str, ...]] = FAMILIES, known: Mapping[str, tuple[np.ndarray, float]] | None = None) -> Model:
+    """vectors: for each language the vectors of its documents. known: see Model."""
     family = {lang: name for name, langs in families.items() for lang in langs}
     groups: dict[str, list[str]] = {}
     for lang in sorted(vectors):
@@ -156,7 +205,7 @@ def fit(vectors: dict[str, np.ndarray], families: Mapping[str, tuple[str, ...]]
     for langs in groups.values():
         for a, b in combinations(langs, 2):
             add(a, b, vectors[a], vectors[b])
-    return Model(groups, pairs, np.array(rows).reshape(len(rows), SLOTS).astype(np.float32), np.array(bias))
+    return Model(groups, pairs, np.array(rows).reshape(len(rows), SLOTS).astype(np.float32), np.array(bias), known)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -179,34 +228,40 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     share = F.create_map(*[x for r in counts for x in (F.lit(r["_lang"]), F.lit(min(1.0, 1.3 * per_language / r["n"])))])
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
-    @F.pandas_udf("binary")
-    def sparse(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("v binary, long binary")
+    def sparse(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for text in part:
-                v = shares_of(words_of(text))
+                words = words_of(text)
+                v = shares_of(words)
                 at = np.flatnonzero(v).astype(np.int32)
-                out.append(at.tobytes() + v[at].tobytes())
-            yield pd.Series(out, dtype=object)
+                out.append((at.tobytes() + v[at].tobytes(), np.unique(long_grams(words)[0]).astype(np.int32).tobytes() if words else b""))
+            yield pd.DataFrame(out, columns=["v", "long"], dtype=object)
 
-    rows = known.withColumn("_draw", draw).where(F.col("_draw") < share[F.col("_lang")]).select("_lang", "_draw", sparse("_text").alias("_v")).collect()
+    drawn = known.withColumn("_draw", draw).where(F.col("_draw") < share[F.col("_lang")]).select("_lang", "_draw", sparse("_text").alias("_s"))
+    rows = drawn.select("_lang", "_draw", F.col("_s.v").alias("_v"), F.col("_s.long").alias("_long")).collect()
     kept: dict[str, list] = {}
+    long: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["_lang"], r["_draw"], bytes(r["_v"]))):
         if r["_v"]:
             kept.setdefault(r["_lang"], []).append(bytes(r["_v"]))
+            long.setdefault(r["_lang"], []).append(np.frombuffer(r["_long"], np.int32))
+    sets = {lang: known_of(some[:per_language]) for lang, some in long.items()}
+    del rows, long
     vectors = {}
     for lang, some in kept.items():
         x = vectors[lang] = np.zeros((min(per_language, len(some)), SLOTS), np.float32)
         for i, v in enumerate(some[:per_language]):
             n = len(v) // 8
             x[i, np.frombuffer(v, np.int32, n)] = np.frombuffer(v, np.float32, n, 4 * n)
-    return fit(vectors)
+    return fit(vectors, known=sets)
 
 
 def predictor(spark: SparkSession, model: Model):
-    """A function from a text column to struct(lang, score); `und` and 0 if the text is null or has no letter. The model is broadcast: SLOTS weights for each pair."""
+    """A function from a text column to struct(lang, score); `und` and 0 if the text is null or has no letter. The model is broadcast: SLOTS weights for each pair, LONG_SLOTS bits for each language."""
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast((model.families, model.pairs, model.weights, model.bias))
+    sent = spark.sparkContext.broadcast((model.families, model.pairs, model.weights, model.bias, model.known))
 
     @F.pandas_udf("lang string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
