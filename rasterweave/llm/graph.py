@@ -1,4 +1,4 @@
-"""Shared files, and connected components of large graphs."""
+"""Shared files, joins on hot keys, and connected components of large graphs."""
 
 from __future__ import annotations
 
@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a local one of this session."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a local one of this session. A cluster without one is an error: its executors share no local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="rasterweave-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -25,7 +27,30 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/rasterweave-{name}-{uuid.uuid4().hex}"
     schema = frame.schema
     frame.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(frame: DataFrame | None) -> None:
+    """Delete the files of a stored frame that nothing reads any more."""
+    path = getattr(frame, "stored_path", None)
+    if path:
+        spark = frame.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right on the bigint column key, which left keeps.
+
+    Joined on the complement of the key, which no earlier exchange deals by, so that both
+    sides get exchanges of this join's own: only of those can adaptive execution split a
+    partition in which one key is hot. A side that was just aggregated by the key would
+    otherwise be joined where it lies, with all rows of a hot key in one task.
+    """
+    other = f"_other_{key}"
+    return left.join(right.withColumnRenamed(key, other), F.bitwise_not(F.col(key)) == F.bitwise_not(F.col(other)), how).drop(other)
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -33,23 +58,32 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternates two steps until nothing changes, about the logarithm of the longest path times:
     every node sends its larger neighbours to its least one, then itself and its smaller
-    neighbours to the least of these. Each step is one aggregation and one join on a node; a
-    hub's edges are never gathered. Each round is written to the shared folder.
+    neighbours to the least of these. Each step is one aggregation, combined before its
+    shuffle, and one join, which splits a hub's edges. Each round is written to the shared
+    folder, and the round before it is deleted.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    first = e
     all_nodes = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct()
     before = None
     for _ in range(rounds):
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = split_join(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         own = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(own, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stored(small.union(own.select("a", F.col("m").alias("b"))).distinct(), "round")
+        small = split_join(large, own, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = stored(small.union(own.select("a", F.col("m").alias("b"))).distinct(), "round")
+        if e is not first:
+            discard(e)
+        e = after
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return all_nodes.join(e.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    found = stored(all_nodes.join(e.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "components")
+    discard(e)
+    if e is not first:
+        discard(first)
+    return found

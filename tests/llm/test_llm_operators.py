@@ -336,7 +336,7 @@ def test_join_equals_brute_force(spark, docs, rows):
     assert got == want
 
 
-@pytest.mark.parametrize("block", [60_000, 300])
+@pytest.mark.parametrize("block", [60_000, 1500, 300])
 def test_near_copies_of_all_degrees(spark, block):
     """Copies of three texts with 0 to 12 edits: many pairs lie about the threshold; small blocks force many tiles."""
     r = random.Random(11)
@@ -371,6 +371,36 @@ def test_alike_sets_share_a_posting(similarity):
     assert seen > 100
 
 
+@pytest.mark.parametrize("similarity", [60, 80, 90, 100])
+def test_alike_sets_cover_each_other(similarity):
+    """Of the hashes that are posted first, similar sets have as many in common as the cover asks of either."""
+    r = np.random.default_rng(9)
+    seen = 0
+    for _ in range(4000):
+        n = int(r.integers(1, 60))
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        drop, add = r.integers(0, n // 6 + 2, 2)
+        b = np.unique(np.concatenate([r.permutation(a)[drop:], r.integers(0, 2**63, add).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= similarity * (len(a) + len(b) - both):
+            seen += 1
+            k = len(np.intersect1d(a[: jaccard.prefix(len(a), similarity)], b[: jaccard.prefix(len(b), similarity)]))
+            assert k >= max(jaccard.least_shared(len(a), similarity), jaccard.least_shared(len(b), similarity))
+    assert seen > 100
+
+
+def test_cover_counts_across_chunks(spark):
+    """Nodes that share four keys or more with others, however rows are dealt and repeated."""
+    r = np.random.default_rng(2)
+    sets = {i: jaccard.mix64(np.unique(r.integers(100, 160, 6)).astype(np.uint64)) for i in range(40)}
+    n = collections.Counter(k for s in sets.values() for k in s.tolist())
+    want = {i for i, s in sets.items() if sum(n[k] > 1 for k in s.tolist()) >= 4}
+    data = [(i, len(s), bytearray(s.tobytes())) for i, s in sets.items()]
+    for parts in (1, 7):
+        rows = spark.createDataFrame(data + data[:9], "node bigint, n bigint, keys binary").repartition(parts)
+        assert {x["node"] for x in jaccard.covered(rows, lambda n: 4).collect()} == want
+
+
 def test_five_words_and_eight_tenths(spark, docs, rows):
     sets = sets_of([(d, t) for d, t, _ in rows], 5)
     want = dict(zip([d for d, _ in sets], brute_components(sets, 80), strict=True))
