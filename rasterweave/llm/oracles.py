@@ -49,26 +49,39 @@ scored AS (
 SELECT doc_id, coalesce(n, 0) AS n_tokens, round(ct, 6) AS ce_target, round(cb, 6) AS ce_background, round(d, 6) AS score
 FROM docs LEFT JOIN scored USING (r)
 """,
-    # the pages of these tables have one article element of headings and paragraphs, which SQL can cut out
+    # lines, their sums over three and the stretches from surge to dive; the markup that these tables have is cut by patterns
     "op4_line_block_extraction": r"""
-WITH articles AS (
-  SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages
+WITH cut AS (
+  SELECT page_id, url, reduce([html,
+    '(?s)<head>.*?</head>', '(?s)<script>.*?</script>', '(?s)<nav>.*?</nav>', '(?s)<footer>.*?(</footer>|$)', '(?s)<div class="ad">.*?</div>'],
+    lambda page, pattern: regexp_replace(page, pattern, '<hr>', 'g')) AS body FROM pages
 ),
 parts AS (
-  SELECT page_id, url, unnest(string_split_regex(body, '</?p>|</?h1>')) AS part,
-    generate_subscripts(string_split_regex(body, '</?p>|</?h1>'), 1) AS i
-  FROM articles
+  SELECT page_id, url, unnest(string_split_regex(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), '</?(?:p|h1|article|body|html)(?: [^>]*)?>|<!DOCTYPE html>')) AS part,
+    generate_subscripts(string_split_regex(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), '</?(?:p|h1|article|body|html)(?: [^>]*)?>|<!DOCTYPE html>'), 1) AS p
+  FROM cut
+),
+pieces AS (
+  SELECT page_id, url, p, unnest(string_split(replace(part, '<hr>', chr(1) || '<hr>' || chr(1)), chr(1))) AS piece, generate_subscripts(string_split(replace(part, '<hr>', chr(1) || '<hr>' || chr(1)), chr(1)), 1) AS q FROM parts
 ),
 plain AS (
-  SELECT page_id, url, i, trim(regexp_replace(
-    replace(replace(replace(replace(replace(part, '<b>', ''), '</b>', ''), '<br>', ' '), '&quot;', '"'), '&#x27;', chr(39)), '\s+', ' ', 'g')) AS line
-  FROM parts
+  SELECT page_id, url, row_number() OVER (PARTITION BY page_id, url ORDER BY p, q) AS i, CASE WHEN piece = '<hr>' THEN '' ELSE regexp_replace(trim(regexp_replace(
+    replace(replace(replace(replace(replace(piece, '<b>', ''), '</b>', ''), '<br>', ' '), '&quot;', '"'), '&#x27;', chr(39)), '\s+', ' ', 'g')), '&amp;?', '&', 'g') END AS line
+  FROM pieces WHERE piece = '<hr>' OR trim(regexp_replace(piece, '\s+|</?b>|<br>', ' ', 'g')) <> ''
+),
+sums AS (
+  SELECT *, sum(length(line)) OVER (PARTITION BY page_id, url ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS w FROM plain
+),
+stretches AS (
+  SELECT *, least(12, max(w) OVER (PARTITION BY page_id, url)) AS surge, sum(CASE WHEN w = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, url ORDER BY i) AS stretch FROM sums
+),
+starts AS (
+  SELECT *, min(CASE WHEN line <> '' AND w >= surge THEN i END) OVER (PARTITION BY page_id, url, stretch) AS first FROM stretches
 ),
 texts AS (
-  SELECT page_id, url, coalesce(string_agg(regexp_replace(line, '&amp;?', '&', 'g'), chr(10) || chr(10) ORDER BY i) FILTER (WHERE line <> ''), '') AS text
-  FROM plain GROUP BY ALL
+  SELECT page_id, url, coalesce(string_agg(line, chr(10) || chr(10) ORDER BY i) FILTER (WHERE line <> '' AND i >= first), '') AS text FROM starts GROUP BY ALL
 )
-SELECT page_id, url, text, length(text) AS n_chars FROM texts
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM pages LEFT JOIN texts USING (page_id, url)
 """,
     # every pair that shares a shingle is counted, and links are followed from every document
     "op6_jaccard_join": r"""
