@@ -3,8 +3,9 @@
 Tokens are tagged outside, begin or inside. A tag's score has the token's shape, the words
 beside it and features of the whole file; Viterbi decoding gives the best sequence of tags.
 All but the file's part belongs to a token or its neighbour, so it is computed once for each
-distinct token of a worker. A text in which no step can gain on 'outside' is proven to have
-no tagged token without decoding; every other text is decoded from its first to its last token.
+distinct token of a worker. A text in which no token's score makes up for what the steps into
+and out of a span can gain is proven to have no tagged token without decoding; every other text
+is decoded from its first to its last token.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from rasterweave.llm.tokens import TokenTable, bounded_batches, fresh, hash64
 O, B, I = 0, 1, 2  # noqa: E741
 #: Hash slots of features, and documents that background windows of the training set come from (a bounded sample by hash of the id).
 SLOTS, SAMPLE = 1 << 14, 400
-#: Tokens of a training window, and characters that a tagged span needs.
-WINDOW, LEAST = 40, 8
+#: Tokens of a training window.
+WINDOW = 40
 KINDS = ("assign", "access", "hex", "crf")
 
 # The base patterns and the lengths that their matches need.
@@ -75,11 +76,11 @@ def _shape(token: str) -> list[str]:
     turns = sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in zip(token, token[1:], strict=False))
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(token).values())
     bare = token.strip("=")
-    of = "hex" if re.fullmatch(r"[0-9a-f]+", bare) else "HEX" if re.fullmatch(r"[0-9A-F]+", bare) else "num" if re.fullmatch(r"[\d.,/-]+", bare) else "b64" if re.fullmatch(r"[A-Za-z0-9+/]+", bare) else "id" if re.fullmatch(r"[\w-]+", bare) and bare.isascii() else "odd"
+    of = "num" if re.fullmatch(r"[\d.,/-]+", bare) else "hex" if re.fullmatch(r"[0-9a-f]+", bare, re.I) and not (lower and upper) else "b64" if re.fullmatch(r"[A-Za-z0-9+/]+", bare) else "id" if re.fullmatch(r"[\w-]+", bare) and bare.isascii() else "odd"
     dense = int(8 * turns / n)
     return [
         f"kinds {kinds} {size}", f"of {of} {size}", f"turns {of} {dense}", f"entropy {int(2 * entropy)} {of}", f"digits {int(6 * digit / n)} {of}",
-        f"start {token[:4]}", f"mixed {of} {size} {min(dense, 3)} {int(2 * entropy)}", f"ends {token[-1] == '='}",
+        f"start {token[:4]}", f"mixed {of} {size} {min(dense, 3)} {int(2 * entropy)}", f"ends {token[-1] == '='}", f"any {size} {min(dense, 3)} {int(2 * entropy)}",
     ]
 
 
@@ -112,8 +113,8 @@ class CRF:
     def __init__(self, weights: np.ndarray, steps: np.ndarray):
         self.weights, self.steps = weights, steps
         rest = steps - steps[O, O]
-        #: What a step can gain at most beside its token's score: into or within a span, and out of it.
-        self.gain = float(max(rest[O, B], rest[B, B], rest[B, I], rest[I, I], rest[I, B]) + max(0.0, rest[B, O], rest[I, O]))
+        #: What the step to a token of a span can gain at most on staying outside, and what the step out of the span can.
+        self.into, self.out = float(max(rest[O, B], rest[B, B], rest[B, I], rest[I, I], rest[I, B])), float(max(0.0, rest[B, O], rest[I, O]))
 
     def rows(self, tokens: list[str]) -> np.ndarray:
         """Of each token: the scores of the tags for itself, for the token after it and for the token before it."""
@@ -129,8 +130,9 @@ class CRF:
         return s
 
     def silent(self, s: np.ndarray) -> bool:
-        """Whether all tokens are outside for certain: no token's score makes up for what a step can gain."""
-        return bool((np.maximum(s[:, B], s[:, I]) - s[:, O]).max() + self.gain <= 0)
+        """Whether all tokens are outside for certain: no token's score makes up for what steps can gain. The first token has no step to it."""
+        over = np.maximum(s[:, B], s[:, I]) - s[:, O] + self.out
+        return bool(over[0] <= 0 and (over[1:] + self.into <= 0).all())
 
     def viterbi(self, s: np.ndarray) -> list[int]:
         """The best sequence of tags; a span starts with begin."""
@@ -182,7 +184,7 @@ def spans(text: str | None, crf: CRF, table: TokenTable) -> list[Span]:
             found.append([m.start(), m.end()])
         elif tag == I:
             found[-1][1] = m.end()
-    more = [(a, b, "crf") for a, b in found if b - a >= LEAST and not any(x < b and a < y for x, y, _ in out)]
+    more = [(a, b, "crf") for a, b in found if not any(x < b and a < y for x, y, _ in out)]
     return sorted(out + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -249,16 +251,38 @@ def fit(windows: list[tuple[list[str], str, list[int]]], epochs: int = 10, rate:
     return CRF(w.astype(np.float32), steps)
 
 
-def _secret(r: random.Random) -> str:
-    """A made-up secret of one of the usual kinds."""
-    low, alnum, b64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    many = lambda s, n: "".join(r.choice(s) for _ in range(n))
-    return r.choice([
-        lambda: many(low, r.choice([16, 18, 20, 24, 32, 40, 64])), lambda: many(low.upper(), r.choice([16, 32, 40])), lambda: many(alnum, r.randrange(16, 48)), lambda: many(alnum, r.randrange(20, 44)),
-        lambda: many(b64, r.choice([24, 40, 43])) + r.choice(["", "=", "=="]), lambda: f"AKIA{many(alnum[:26] + '0123456789', 16)}", lambda: f"ghp_{many(alnum, 36)}",
-        lambda: f"sk-{many(alnum, r.randrange(24, 48))}", lambda: f"sk_live_{many(alnum, 24)}", lambda: f"xoxb-{many('0123456789', 11)}-{many(alnum, 24)}", lambda: f"AIza{many(alnum + '-_', 35)}",
-        lambda: f"eyJ{many(alnum, 20)}.eyJ{many(alnum, 30)}.{many(alnum + '-_', 30)}", lambda: f"glpat-{many(alnum, 20)}",
-    ])()
+def _many(r: random.Random, letters: str, n: int) -> str:
+    return "".join(r.choice(letters) for _ in range(n))
+
+
+_DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ALNUM = _UP + _LOW + _DIGITS
+#: Makers of secrets of the usual kinds, by name.
+FORMATS = {
+    "hex": lambda r: _many(r, _DIGITS + "abcdef", r.choice([16, 18, 20, 24, 32, 40, 64])),
+    "upper hex": lambda r: _many(r, _DIGITS + "ABCDEF", r.choice([16, 20, 32, 40])),
+    "alnum": lambda r: _many(r, _ALNUM, r.randrange(16, 48)),
+    "upper": lambda r: _many(r, _UP + _DIGITS, r.randrange(16, 40)),
+    "lower": lambda r: _many(r, _LOW + _DIGITS, r.randrange(18, 44)),
+    "base64": lambda r: _many(r, _ALNUM + "+/", r.choice([24, 40, 43])) + r.choice(["", "=", "=="]),
+    "prefixed": lambda r: f"{_many(r, r.choice([_LOW, _UP]), r.randrange(2, 6))}{r.choice('_-')}{_many(r, _ALNUM, r.randrange(18, 44))}",
+    "prefixed twice": lambda r: f"{_many(r, _LOW, r.randrange(2, 5))}{(s := r.choice('_-'))}{_many(r, _LOW + _DIGITS, r.randrange(2, 6))}{s}{_many(r, _ALNUM, r.randrange(20, 40))}",
+    "joined": lambda r: ".".join(_many(r, _ALNUM + "-_", r.randrange(18, 34)) for _ in range(3)),
+    "dashed": lambda r: "-".join(_many(r, _ALNUM, r.randrange(8, 24)) for _ in range(r.randrange(2, 5))),
+    "access": lambda r: f"AKIA{_many(r, _UP + _DIGITS, 16)}",
+    "ghp": lambda r: f"ghp_{_many(r, _ALNUM, 36)}",
+    "sk": lambda r: f"sk-{_many(r, _ALNUM, r.randrange(24, 48))}",
+    "sk live": lambda r: f"sk_live_{_many(r, _ALNUM, 24)}",
+    "xoxb": lambda r: f"xoxb-{_many(r, _DIGITS, 11)}-{_many(r, _ALNUM, 24)}",
+    "aiza": lambda r: f"AIza{_many(r, _ALNUM + '-_', 35)}",
+    "jwt": lambda r: f"eyJ{_many(r, _ALNUM, 20)}.eyJ{_many(r, _ALNUM, 30)}.{_many(r, _ALNUM + '-_', 30)}",
+    "glpat": lambda r: f"glpat-{_many(r, _ALNUM, 20)}",
+}
+
+
+def _secret(r: random.Random, formats: tuple[str, ...] = tuple(FORMATS)) -> str:
+    """A made-up secret of one of the formats."""
+    return FORMATS[r.choice(formats)](r)
 
 
 def _harmless(r: random.Random) -> str:
@@ -269,12 +293,13 @@ def _harmless(r: random.Random) -> str:
         lambda: d(r.randrange(1, 5)), lambda: d(r.randrange(6, 20)), lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"v{d(1)}.{d(2)}.{d(1)}", lambda: f"+{d(2)}-{d(3)}-{d(7)}", lambda: f"{name()}@{name()}.com",
         lambda: f"https://{name()}.example.com/{name()}/{name()}-{d(4)}.html", lambda: f"/usr/{name()}/{name()}{d(2)}", lambda: f"{name()}{name().title()}{name().title()}", lambda: f"{name()}_{name()}_{d(2)}",
         lambda: f"{name().upper()}{d(2)}", lambda: f"{d(1)},{d(3)},{d(3)}.{d(2)}", lambda: f"{name()}-{name()}-{name()}", lambda: name().upper() + name().upper(), lambda: f"10.{d(2)}.{d(1)}.{d(3)}", lambda: "=" * r.randrange(3, 20),
+        lambda: "-".join("".join(r.choice("0123456789abcdef") for _ in range(k)) for k in (8, 4, 4, 4, 12)), lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"{name()}{d(1)}", lambda: f"#{d(3)}{r.choice('abcdef')}{d(2)}",
         lambda: f"ISBN-{d(3)}-{d(10)}", lambda: name() * 3, lambda: f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", lambda: f"DE{d(20)}",
     ])()
 
 
-def training_windows(texts: list[str], seed: int = 17, made: int = 1200) -> list[tuple[list[str], str, list[int]]]:
-    """Windows of texts tagged by the base patterns, and made windows of their words with made secrets and harmless strings among them."""
+def training_windows(texts: list[str], seed: int = 17, made: int = 1200, formats: tuple[str, ...] = tuple(FORMATS)) -> list[tuple[list[str], str, list[int]]]:
+    """Windows of texts tagged by the base patterns, and made windows of their words with made secrets of the formats and harmless strings among them."""
     r = random.Random(seed)
     out = []
     pool = ["the", "of", "and", "a", "to", "in"]
@@ -308,7 +333,7 @@ def training_windows(texts: list[str], seed: int = 17, made: int = 1200) -> list
         if k % 3:
             at = r.randrange(len(line) + 1)
             lead = _TOKEN.findall(r.choice(names)) + r.choice([[], ['"'], ["'"]]) if r.random() < 0.8 else []
-            own = _TOKEN.findall(_secret(r))
+            own = _TOKEN.findall(_secret(r, formats))
             tail = [lead[-1]] if lead and lead[-1] in "\"'" else []
             line[at:at] = lead + own + tail
             tags[at:at] = [O] * len(lead) + [B] + [I] * (len(own) - 1) + [O] * len(tail)
@@ -317,12 +342,13 @@ def training_windows(texts: list[str], seed: int = 17, made: int = 1200) -> list
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> CRF:
-    """Fit on windows of about sample documents, taken by the hash of their ids, and on made windows."""
+    """Fit on windows of sample documents at most, the least by a hash of id and text, and on made windows. Rows that repeat both count once."""
     n = docs.count()
-    part = min(1.0, sample / max(1, n))
-    draw = F.pmod(F.xxhash64(F.lit("secret sample"), F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = docs.select(draw.alias("_draw"), F.col(text_col).alias("_text")).where((F.col("_draw") < part) & F.col("_text").isNotNull()).collect() if n else []
-    return fit(training_windows([r["_text"] for r in sorted(rows, key=lambda r: (r["_draw"], r["_text"]))][:sample]))
+    part = min(1.0, 1.5 * sample / max(1, n))
+    draw = F.pmod(F.xxhash64(F.lit("secret sample"), F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = docs.select(draw.alias("_draw"), F.col(f"`{text_col}`").alias("_text")).where((F.col("_draw") < part) & F.col("_text").isNotNull())
+    rows = drawn.groupBy("_draw").agg(F.min("_text").alias("_text")).orderBy("_draw").limit(sample).collect() if n else []
+    return fit(training_windows([r["_text"] for r in rows]))
 
 
 def scanner(spark: SparkSession, crf: CRF):
