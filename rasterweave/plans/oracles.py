@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from rasterweave.plans.adapters import CHANNELS, DEEP, HEADERS, RASTER, RGBA
 
+#: Rows of the raster.
+H = "(SELECT count(*) FROM embeddings)"
 ORDER = "ORDER BY z, zback, t1, t2, t3, t4"
 ORACLES: dict[str, str] = {}
 
@@ -55,21 +57,21 @@ ORACLES |= {
     "g1_level_counts": f"""WITH {HEADERS} SELECT id,
 CASE WHEN up THEN 1 + len(list_filter(range(32), lambda k: (1::BIGINT << k) < w)) ELSE len(list_filter(range(32), lambda k: (1::BIGINT << k) <= w)) END AS nx,
 CASE WHEN up THEN 1 + len(list_filter(range(32), lambda k: (1::BIGINT << k) < h)) ELSE len(list_filter(range(32), lambda k: (1::BIGINT << k) <= h)) END AS ny FROM headers""",
-    "g2_level_sizes": f"WITH {HEADERS}, {_LEVELS} SELECT id, lx, ly, lw, lh FROM lv WHERE id <= 300",
-    "g3_tile_counts": f"WITH {HEADERS}, {_LEVELS} SELECT id, lx, ly, nx, ny FROM tl WHERE id <= 300",
-    "g4_tile_chunk_index": f"WITH {HEADERS.replace('FROM part)', 'FROM part WHERE p_partkey <= 300)')}, {_LEVELS} SELECT id, lx, ly, first FROM ft",
+    "g2_level_sizes": f"WITH {HEADERS}, {_LEVELS} SELECT id, lx, ly, lw, lh FROM lv",
+    "g3_tile_counts": f"WITH {HEADERS}, {_LEVELS} SELECT id, lx, ly, nx, ny FROM tl",
+    "g4_tile_chunk_index": f"WITH {HEADERS}, {_LEVELS} SELECT id, lx, ly, first FROM ft",
     "g5_chunk_counts": f"""WITH {HEADERS}, {_LEVELS}
 SELECT id, sum(nx * ny)::BIGINT AS tiles, any_value(ceil(h / CASE WHEN compression IN (3, 5) THEN 16 WHEN compression IN (4, 6, 7, 8, 11) THEN 32 WHEN compression IN (9, 10) THEN 256 ELSE 1 END))::BIGINT AS scanline_chunks FROM tl GROUP BY id""",
     "g6_box_predicates": f"WITH {HEADERS} SELECT id, w AS width, w < 1 OR h < 1 AS empty, min_x <= 20 AND min_x + w > 20 AND min_y <= 30 AND min_y + h > 30 AS has, w::BIGINT * h AS area FROM headers",
     "g7_box_union": f"WITH {HEADERS} SELECT brand, min(min_x) AS x0, min(min_y) AS y0, max(min_x + w) - 1 AS x1, max(min_y + h) - 1 AS y1 FROM headers GROUP BY brand",
     "g8_lines_per_chunk": f"WITH {HEADERS} SELECT DISTINCT compression, CASE WHEN compression IN (3, 5) THEN 16 WHEN compression IN (4, 6, 7, 8, 11) THEN 32 WHEN compression IN (9, 10) THEN 256 ELSE 1 END AS lines, (compression BETWEEN 5 AND 9)::INTEGER AS lossy FROM headers",
-    "g9_sampled_rows": f"WITH {HEADERS} SELECT id, count(*) AS rows, min(y) AS first, 7 AS stored FROM (SELECT id, unnest(range(min_y, min_y + 21)) AS y FROM headers WHERE id <= 100) WHERE (y + 300) % 3 = 0 GROUP BY id",
-    "g10_tile_extent": f"WITH {HEADERS} SELECT id, tx, min_x + tx * tw AS x0, least(min_x + w, min_x + (tx + 1) * tw) - 1 AS x1 FROM (SELECT *, unnest(range(ceil(w / tw)::BIGINT)) AS tx FROM headers WHERE id <= 100)",
+    "g9_sampled_rows": f"WITH {HEADERS} SELECT id, count(*) AS rows, min(y) AS first, 7 AS stored FROM (SELECT id, unnest(range(min_y, min_y + 21)) AS y FROM headers) WHERE (y + 300) % 3 = 0 GROUP BY id",
+    "g10_tile_extent": f"WITH {HEADERS} SELECT id, tx, min_x + tx * tw AS x0, least(min_x + w, min_x + (tx + 1) * tw) - 1 AS x1 FROM (SELECT *, unnest(range(ceil(w / tw)::BIGINT)) AS tx FROM headers)",
     "s3_viewport": f"WITH {RASTER} SELECT y, x, round(v, 6) AS v FROM raster WHERE x >= 10 AND x < 42 AND y >= 100",
     "s3_viewport_cost": "SELECT count(*) AS chunks, sum((least(tx * 16 + 16, 64) - tx * 16) * (least(ty * 32 + 32, n) - ty * 32) * 4 + 20)::BIGINT AS bytes FROM (SELECT count(*) AS n FROM embeddings), range(4) AS a(tx), range(2000) AS b(ty) WHERE ty * 32 < n AND tx <= 2 AND ty * 32 < 200 AND least(ty * 32 + 32, n) > 100",
-    "s4_chunk_catalogue": _CAT.replace("%s", "p_partkey <= 60 AND p_size % 4 <> 0") + "SELECT id, lx, ly, count(*) AS chunks, sum(length)::BIGINT AS bytes, min(place) AS first, max(idx) AS last_idx FROM chunks GROUP BY id, lx, ly",
-    "s4b_chunks_for_scanlines": _CAT.replace("%s", "p_partkey <= 40 AND p_partkey % 3 = 0") + "SELECT id, idx, tx, ty FROM chunks WHERE y1 >= 90 AND y0 <= 200",
-    "s4c_chunks_for_region": _CAT.replace("%s", "p_partkey <= 200 AND p_partkey % 3 = 1") + "SELECT id, idx, tx, ty FROM chunks WHERE lx = 1 AND ly = 1 AND NOT (x1 < 8 OR x0 > 47 OR y1 < 16 OR y0 > 63)",
+    "s4_chunk_catalogue": _CAT.replace("%s", "p_size % 4 <> 0") + "SELECT id, lx, ly, count(*) AS chunks, sum(length)::BIGINT AS bytes, min(place) AS first, max(idx) AS last_idx FROM chunks GROUP BY id, lx, ly",
+    "s4b_chunks_for_scanlines": _CAT.replace("%s", "p_partkey % 3 = 0") + "SELECT id, idx, tx, ty FROM chunks WHERE y1 >= 90 AND y0 <= 200",
+    "s4c_chunks_for_region": _CAT.replace("%s", "p_partkey % 3 = 1") + "SELECT id, idx, tx, ty FROM chunks WHERE lx = 1 AND ly = 1 AND NOT (x1 < 8 OR x0 > 47 OR y1 < 16 OR y0 > 63)",
     "s5_part_selection": f"WITH {HEADERS} SELECT brand, min(id) AS first_part, count(*) AS parts FROM headers WHERE brand = 'Brand#12' AND NOT deep GROUP BY brand",
     "s2_rgba_read": f"WITH {RGBA} SELECT y, x, round(r, 6) AS r, round(g, 6) AS g, 0.0::DOUBLE AS b, 1.0::DOUBLE AS a FROM rgba",
     "s10_channel_extract": f"WITH {RGBA} SELECT y, x, round(g::FLOAT::DOUBLE, 6) AS v FROM rgba",
@@ -90,34 +92,16 @@ for _d in ("1.5", "0.5"):
     _LANCZOS = _LANCZOS.replace(f"k({_d})", f"2 * sin(pi() * {_d}) * sin(pi() * {_d} / 2) / (pi() * pi() * {_d} * {_d})")
 
 
-def _cascade(where: str, width: int, height: int, levels: int, up: bool, rip: bool = False) -> str:
-    """Levels one from another, each halving by a mean."""
-    half = (lambda n: max(1, (n + 1) // 2)) if up else (lambda n: max(1, n // 2))
-    base = RASTER.replace("FROM embeddings", f"FROM embeddings WHERE {where}")
-    steps, w, h = [], width, height
-    for k in range(1, levels):
-        before = "raster" if k == 1 else f"l{k - 1}"
-        w, h = half(w), half(h)
-        steps.append(f"l{k} AS (SELECT y // 2 AS y, (x // 2)::INTEGER AS x, avg(v) AS v FROM {before} WHERE x // 2 < {w} AND y // 2 < {h} GROUP BY ALL)")
-    return f"WITH {base}, " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {k} AS level, y, x, round(v, 6) AS v FROM {'raster' if k == 0 else f'l{k}'}" for k in range(levels))
-
-
-def _rip(where: str, width: int, height: int) -> str:
-    """Rows of levels: along x from the level before, then along y from the row before."""
-    base = RASTER.replace("FROM embeddings", f"FROM embeddings WHERE {where}")
-    nx, ny = width.bit_length(), height.bit_length()
-    ws, hs = [max(1, width >> k) for k in range(nx)], [max(1, height >> k) for k in range(ny)]
-    steps, names = [], {(0, 0): "raster"}
-    for ly in range(ny):
-        for lx in range(nx):
-            if (lx, ly) == (0, 0):
-                continue
-            names[lx, ly] = f"r{lx}_{ly}"
-            if ly == 0:
-                steps.append(f"r{lx}_0 AS MATERIALIZED (SELECT y, (x // 2)::INTEGER AS x, avg(v) AS v FROM {names[lx - 1, 0]} WHERE x // 2 < {ws[lx]} GROUP BY ALL)")
-            else:
-                steps.append(f"r{lx}_{ly} AS MATERIALIZED (SELECT y // 2 AS y, x, avg(v) AS v FROM {names[lx, ly - 1]} WHERE y // 2 < {hs[ly]} GROUP BY ALL)")
-    return f"WITH {base}, " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {lx} AS lx, {ly} AS ly, y, x, round(v, 6) AS v FROM {t}" for (lx, ly), t in names.items())
+def _cascade_up(levels: int) -> str:
+    """Levels one from another, each halving by a mean and rounding up, as long as the level before has more than one cell."""
+    steps = [f"l{k} AS (SELECT y // 2 AS y, (x // 2)::INTEGER AS x, avg(v) AS v FROM {'raster' if k == 1 else f'l{k - 1}'} GROUP BY ALL)" for k in range(1, levels)]
+    return f"WITH {RASTER}, " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {k} AS level, y, x, round(v, 6) AS v FROM {'raster' if k == 0 else f'l{k}'} WHERE {k} = 0 OR (1 << {max(0, k - 1)}) < greatest(64, {H})" for k in range(levels))
+
+
+def _rip() -> str:
+    """Each cell is the mean of the block it stands for: sizes round down, so that blocks are whole."""
+    return f"""WITH {RASTER}, levels AS (SELECT lx::INTEGER AS lx, ly::INTEGER AS ly, 1::BIGINT << lx AS w, 1::BIGINT << ly AS h FROM range(7) AS a(lx), range(40) AS b(ly) WHERE (1::BIGINT << ly) <= {H})
+SELECT lx, ly, y // h AS y, (x // w)::INTEGER AS x, round(avg(v), 6) AS v FROM raster, levels WHERE x // w < greatest(1, 64 // w) AND y // h < {H} // h GROUP BY ALL"""
 
 
 def _half(v: str) -> str:
@@ -133,8 +117,8 @@ ORACLES |= {
     "p3_lanczos_level": f"WITH {_level(RASTER, _LANCZOS)} SELECT y, x, round(v, 6) AS v FROM level",
     "p6_clamped_level": f"WITH {_level(RASTER, _BOX)} SELECT y, x, round(greatest(v, 0), 6) AS v FROM level",
     "p7_half_level": f"WITH {_level(RASTER, _BOX)}, f AS (SELECT y, x, v::FLOAT::DOUBLE AS v FROM level) SELECT y, x, round({_half('v')}, 9) AS v FROM f",
-    "p4_mip_pyramid_up": _cascade("vec_id < 101", 64, 101, 8, True),
-    "p5_rip_pyramid": _rip("vec_id < 37", 64, 37),
+    "p4_mip_pyramid_up": _cascade_up(16),
+    "p5_rip_pyramid": _rip(),
     "p9_retile": f"WITH {RASTER} SELECT (x // 16)::INTEGER AS tx, (y // 32)::INTEGER AS ty, count(*) AS n, round(sum(v), 6) AS s, min(y) AS y0 FROM raster GROUP BY 1, 2",
     "p8_filters_by_channel": f"""WITH {RGBA}, long AS (UNPIVOT rgba ON r, g, b, a INTO NAME channel VALUE v),
 taps(f, o, w) AS (VALUES {', '.join(f"('{n}', {t[1:]}" for n, ts in (('box', _BOX), ('tri', _TENT)) for t in ts.split(', (') for t in [t if t.startswith('(') else '(' + t])}, {', '.join("('lan', " + t.lstrip('(') for t in _LANCZOS.split(', (') )}),
@@ -149,18 +133,19 @@ SELECT channel, y, x, round(v, 6) AS v FROM sums""",
     "a4d_aces_rules": f"WITH {HEADERS} SELECT id, 'error' AS severity, unnest(list_filter([CASE WHEN compression NOT IN (0, 4, 7) THEN 'compression' END, CASE WHEN tiled THEN 'tiled' END, CASE WHEN deep THEN 'deep' END], lambda s: s IS NOT NULL)) AS rule FROM headers",
     "a5_luminance_chroma": f"WITH {RGBA}, q AS (SELECT *, {_YC} AS l FROM rgba) SELECT y AS row, x, round(l, 6) AS lum, round(r / l - 1, 6) AS ry, round(b / l - 1, 6) AS by, round(g, 6) AS g FROM q",
     "a5c_chroma_subsample": f"WITH {RGBA}, q AS (SELECT *, {_YC} AS l FROM rgba) SELECT y // 2 AS cy, (x // 2)::INTEGER AS cx, round(avg(r / l - 1), 6) AS ry, round(avg(b / l - 1), 6) AS by FROM q GROUP BY 1, 2",
-    "a6_chroma_upsample": f"""WITH {RGBA}, q AS (SELECT *, {_YC} AS l FROM rgba WHERE y < 99), c AS (SELECT y // 2 AS cy, x // 2 AS cx, avg(r / l - 1) AS ry, avg(b / l - 1) AS by FROM q GROUP BY 1, 2),
-p AS (SELECT y, x, y // 2 AS y0, least(y // 2 + 1, 49) AS y1, x // 2 AS x0, least(x // 2 + 1, 7) AS x1, (y % 2) / 2 AS fy, (x % 2) / 2 AS fx FROM range(99) AS a(y), range(16) AS b(x))
+    "a6_chroma_upsample": f"""WITH {RGBA}, q AS (SELECT *, {_YC} AS l FROM rgba), c AS (SELECT y // 2 AS cy, x // 2 AS cx, avg(r / l - 1) AS ry, avg(b / l - 1) AS by FROM q GROUP BY 1, 2),
+p AS (SELECT y, x, y // 2 AS y0, least(y // 2 + 1, ({H} + 1) // 2 - 1) AS y1, x // 2 AS x0, least(x // 2 + 1, 7) AS x1, (y % 2) / 2 AS fy, (x % 2) / 2 AS fx FROM (SELECT unnest(range({H})) AS y), range(16) AS b(x))
 SELECT p.y, p.x, round((a.ry * (1 - fx) + b.ry * fx) * (1 - fy) + (d.ry * (1 - fx) + e.ry * fx) * fy, 6) AS ry, round((a.by * (1 - fx) + b.by * fx) * (1 - fy) + (d.by * (1 - fx) + e.by * fx) * fy, 6) AS by
 FROM p JOIN c a ON a.cy = y0 AND a.cx = x0 JOIN c b ON b.cy = y0 AND b.cx = x1 JOIN c d ON d.cy = y1 AND d.cx = x0 JOIN c e ON e.cy = y1 AND e.cx = x1""",
     "a6b_yc_kind": f"WITH {CHANNELS}, n AS (SELECT id % 50 AS image, list(DISTINCT string_split(channel, '.')[-1]) AS names FROM channels GROUP BY 1) SELECT image, list_has_all(names, ['R', 'G', 'B']) AS rgb, list_contains(names, 'A') AS alpha, list_contains(names, 'Z') AND NOT list_contains(names, 'R') AS depth_only FROM n",
-    "a7_preview": f"""WITH {RGBA}, cells AS (SELECT py::INTEGER AS py, px::INTEGER AS px FROM range(30) AS a(py), range(4) AS b(px)),
+    "a7_preview": f"""WITH {RGBA}, size AS (SELECT {H} AS h, greatest(1, floor(16 * least(10 / 16, 30 / {H})))::INTEGER AS pw, greatest(1, floor({H} * least(10 / 16, 30 / {H})))::INTEGER AS ph),
+cells AS (SELECT py::INTEGER AS py, px::INTEGER AS px, ph, pw FROM (SELECT ph, pw, unnest(range(ph)) AS py FROM size), range(16) AS b(px) WHERE px < pw),
 m AS (SELECT py, px, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(a) AS a FROM cells, rgba
-  WHERE y >= floor(py * (100 / 30)) AND y < ceil((py + 1) * (100 / 30)) AND x >= floor(px * (16 / 4)) AND x < ceil((px + 1) * (16 / 4)) AND y < 100 GROUP BY 1, 2),
+  WHERE y >= floor(py * ({H} / ph)) AND y < ceil((py + 1) * ({H} / ph)) AND x >= floor(px * (16 / pw)) AND x < ceil((px + 1) * (16 / pw)) GROUP BY 1, 2),
 s AS (SELECT py, px, a, r / (1 + r) AS r, g / (1 + g) AS g, b / (1 + b) AS b FROM m)
 SELECT py, px, floor((1.055 * pow(r, 1 / 2.4) - 0.055) * 255 + 0.5)::INTEGER AS r, floor((1.055 * pow(g, 1 / 2.4) - 0.055) * 255 + 0.5)::INTEGER AS g,
   floor((1.055 * pow(b, 1 / 2.4) - 0.055) * 255 + 0.5)::INTEGER AS b, least(255, floor(a * 255 + 0.5))::INTEGER AS a FROM s""",
-    "a7c_tone_and_gamma": f"""WITH {RASTER}, q AS (SELECT y, x, v * 3 AS v FROM raster WHERE y < 200)
+    "a7c_tone_and_gamma": f"""WITH {RASTER}, q AS (SELECT y, x, v * 3 AS v FROM raster)
 SELECT y, x, round(CASE WHEN v > 0 THEN 1 - 1 / (1 + v) ELSE 0 END, 6) AS tone,
   round(CASE WHEN v <= 0 THEN 0 WHEN v >= 1 THEN 1 WHEN v <= 0.0031308 THEN v * 12.92 ELSE 1.055 * exp(ln(v) / 2.4) - 0.055 END, 6) AS srgb,
   round(CASE WHEN abs(v) <= 0.04045 THEN abs(v) / 12.92 ELSE pow((abs(v) + 0.055) / 1.055, 2.4) END, 6) AS lin, greatest(0, least(255, floor(v * 255 + 0.5)))::INTEGER AS byte FROM q""",
@@ -197,28 +182,28 @@ p AS (SELECT *, ('0x' || printf('%02d%02d%02d%02d', h, m, s, f))::BIGINT + d AS
 SELECT event_id, packed, f::INTEGER AS frames, s::INTEGER AS seconds, m::INTEGER AS minutes, h::INTEGER AS hours, packed - d AS film FROM p""",
     "m7_copied_metadata": "SELECT event_id, array_to_string(list_sort(list_append(json_keys(props), 'owner')), ',') AS names FROM events",
     "m8_header_dump": f"""WITH {HEADERS} SELECT id, unnest(['compression', 'dataWindow', 'type']) AS attribute,
-unnest([compression::VARCHAR, min_x || ' ' || min_y || ' ' || w || ' ' || h, CASE WHEN tiled THEN 'tiledimage' ELSE 'scanlineimage' END]) AS value FROM headers WHERE id <= 50""",
+unnest([compression::VARCHAR, min_x || ' ' || min_y || ' ' || w || ' ' || h, CASE WHEN tiled THEN 'tiledimage' ELSE 'scanlineimage' END]) AS value FROM headers""",
     "v1_parse_views": f"WITH {CHANNELS}, {_NAMES} SELECT id, layer, vw, base FROM named",
     "v2_build_names": f"WITH {CHANNELS} SELECT id, channel AS built, TRUE AS same FROM channels",
     "v3_view_lists": f"WITH {CHANNELS}, {_NAMES}, l AS (SELECT id % 40 AS id, list_sort(list(DISTINCT vw)) AS views FROM named WHERE vw <> '' GROUP BY 1) SELECT id, array_to_string(views, ',') AS views, views[1] AS default_view, len(views) = 2 AS stereo FROM l",
     "v5_channels_of_view": f"WITH {CHANNELS}, {_NAMES} SELECT id, channel FROM named WHERE vw IN ('left', '')",
-    "v7_merge_views": f"""WITH {RGBA}, l AS (SELECT * FROM rgba WHERE y < 40 AND x < 10), r AS (SELECT * FROM rgba WHERE y BETWEEN 20 AND 70 AND x > 5), cells AS (SELECT y, x::INTEGER AS x FROM range(71) AS a(y), range(16) AS b(x))
+    "v7_merge_views": f"""WITH {RGBA}, l AS (SELECT * FROM rgba WHERE x < 10), r AS (SELECT * FROM rgba WHERE x > 5), cells AS (SELECT y, x FROM rgba)
 SELECT y, x, round(coalesce(l.r, 0), 6) AS "left.r", round(coalesce(l.a, 0), 6) AS "left.a", round(coalesce(r.r, 0), 6) AS "right.r", round(coalesce(r.a, 0), 6) AS "right.a" FROM cells LEFT JOIN l USING (y, x) LEFT JOIN r USING (y, x)""",
-    "v8_combine_parts": f"""WITH {HEADERS}, u AS (SELECT 0 AS f, id AS part, 'p' || id % 100 AS name, w, NULL::INTEGER AS h FROM headers WHERE id <= 300 UNION ALL SELECT 1, id, 'p' || id % 70, NULL, h FROM headers WHERE id > 300 AND id <= 500),
+    "v8_combine_parts": f"""WITH {HEADERS}, u AS (SELECT 0 AS f, id AS part, 'p' || id % 100 AS name, w, NULL::INTEGER AS h FROM headers WHERE id <= (SELECT count(*) // 2 FROM part) UNION ALL SELECT 1, id, 'p' || id % 70, NULL, h FROM headers WHERE id > (SELECT count(*) // 2 FROM part)),
 n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY f, part) - 1 AS k FROM u) SELECT part, name || CASE WHEN k > 0 THEN '_' || k ELSE '' END AS name, w, h FROM n""",
-    "e1_directions": f"""WITH {RASTER}, q AS (SELECT y, x, -pi() * (y / 99 - 0.5) AS lat, -2 * pi() * (x / 63 - 0.5) AS lon FROM raster WHERE y < 100)
-SELECT y, x, round(sin(lon) * cos(lat), 6) AS dx, round(sin(lat), 6) AS dy, round(cos(lon) * cos(lat), 6) AS dz, CASE WHEN y > 0 AND y < 99 AND x > 0 AND x < 63 THEN x::DOUBLE END AS px, y::DOUBLE AS py FROM q""",
-    "e3_cube_faces": f"""WITH {RASTER}, q AS (SELECT y, x, v AS a, x / 64 - 0.5001 AS b, y / 100 - 0.4999 AS c, greatest(abs(a), abs(b), abs(c)) AS n FROM raster WHERE y < 100),
+    "e1_directions": f"""WITH {RASTER}, q AS (SELECT y, x, -pi() * (y / ({H} - 1) - 0.5) AS lat, -2 * pi() * (x / 63 - 0.5) AS lon FROM raster)
+SELECT y, x, round(sin(lon) * cos(lat), 6) AS dx, round(sin(lat), 6) AS dy, round(cos(lon) * cos(lat), 6) AS dz, CASE WHEN y > 0 AND y < {H} - 1 AND x > 0 AND x < 63 THEN x::DOUBLE END AS px, y::DOUBLE AS py FROM q""",
+    "e3_cube_faces": f"""WITH {RASTER}, q AS (SELECT y, x, v AS a, x / 64 - 0.5001 AS b, y / rows - 0.4999 AS c, greatest(abs(a), abs(b), abs(c)) AS n FROM raster, (SELECT count(*) AS rows FROM embeddings)),
 f AS (SELECT *, CASE WHEN abs(a) = n THEN CASE WHEN a > 0 THEN 0 ELSE 1 END WHEN abs(b) = n THEN CASE WHEN b > 0 THEN 2 ELSE 3 END ELSE CASE WHEN c > 0 THEN 4 ELSE 5 END END AS face FROM q),
 p AS (SELECT *, 4 * (CASE WHEN face < 2 THEN b ELSE a END / n + 1) AS u, 4 * (CASE WHEN face < 4 THEN c ELSE b END / n + 1) AS v FROM f)
 SELECT y, x, face, round(u, 6) AS u, round(v, 6) AS v, round([v, 8 - v, u, u, 8 - u, u][face + 1], 6) AS px, round([8 - u, 8 - u, 8 - v, v, 8 - v, 8 - v][face + 1] + 9 * face, 6) AS py FROM p""",
-    "e5_bilinear": f"""WITH {RASTER}, {RGBA}, p AS (SELECT y, x, v * 40 AS px, x * 1.3 + y * 0.2 AS py FROM raster WHERE y < 100),
-q AS (SELECT *, px - floor(px) AS fx, py - floor(py) AS fy, greatest(0, least(15, floor(px))) AS x0, greatest(0, least(15, floor(px) + 1)) AS x1, greatest(0, least(89, floor(py))) AS y0, greatest(0, least(89, floor(py) + 1)) AS y1 FROM p)
+    "e5_bilinear": f"""WITH {RASTER}, {RGBA}, p AS (SELECT y, x, v * 40 AS px, x * 1.3 + y * 0.2 AS py FROM raster),
+q AS (SELECT *, px - floor(px) AS fx, py - floor(py) AS fy, greatest(0, least(15, floor(px))) AS x0, greatest(0, least(15, floor(px) + 1)) AS x1, greatest(0, least({H} - 1, floor(py))) AS y0, greatest(0, least({H} - 1, floor(py) + 1)) AS y1 FROM p)
 SELECT q.y, q.x, """
     + ", ".join(f"round((1 - fx) * (1 - fy) * i.{c} + fx * (1 - fy) * j.{c} + (1 - fx) * fy * k.{c} + fx * fy * l.{c}, 6) AS {c}" for c in "rgba")
     + " FROM q JOIN rgba i ON i.x = x0 AND i.y = y0 JOIN rgba j ON j.x = x1 AND j.y = y0 JOIN rgba k ON k.x = x0 AND k.y = y1 JOIN rgba l ON l.x = x1 AND l.y = y1",
     "e10_inferred_kind": f"WITH {HEADERS} SELECT id, CASE WHEN id % 11 = 0 THEN 'cube' WHEN id % 13 = 0 THEN 'latlong' WHEN id % 3 = 0 OR h = 6 * w THEN 'cube' ELSE 'latlong' END AS kind FROM headers",
-    "e11_padded": f"WITH {RGBA}, g AS (SELECT y, x::INTEGER AS x FROM range(25) AS a(y), range(16) AS b(x)) SELECT g.y, g.x, round(coalesce(r, 0), 6) AS r, round(coalesce(g_, 0), 6) AS g, round(coalesce(b, 0), 6) AS b, round(coalesce(a, 0), 6) AS a FROM g LEFT JOIN (SELECT y, x, r, g AS g_, b, a FROM rgba WHERE y < 20) s ON s.y = g.y - 3 AND s.x = g.x",
+    "e11_padded": f"WITH {RGBA}, g AS (SELECT y, x::INTEGER AS x FROM (SELECT unnest(range({H} + 5)) AS y), range(16) AS b(x)) SELECT g.y, g.x, round(coalesce(r, 0), 6) AS r, round(coalesce(g_, 0), 6) AS g, round(coalesce(b, 0), 6) AS b, round(coalesce(a, 0), 6) AS a FROM g LEFT JOIN (SELECT y, x, r, g AS g_, b, a FROM rgba) s ON s.y = g.y - 3 AND s.x = g.x",
     "e9_diffuse_blur": f"""WITH {RGBA}, cells AS (SELECT i // 8 AS y, (i % 8)::INTEGER AS x, i // 64 AS f, i // 8 % 8 AS u, i % 8 AS v, u / 3.5 - 1 AS p, v / 3.5 - 1 AS q, CASE WHEN f % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM range(384) AS t(i)),
 d AS (SELECT y, x, sqrt(1 + p * p + q * q) AS n, CASE WHEN f < 2 THEN s ELSE p END / n AS dx, CASE WHEN f < 2 THEN p WHEN f < 4 THEN s ELSE q END / n AS dy, CASE WHEN f < 4 THEN q ELSE s END / n AS dz,
   1 / (n * n * n) / CASE (u IN (0, 7))::INTEGER + (v IN (0, 7))::INTEGER WHEN 2 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS w FROM cells),
@@ -227,7 +212,7 @@ c AS (SELECT t.y, t.x, (t.dx * m.dx + t.dy * m.dy + t.dz * m.dz) * m.w AS k, r,
 SELECT y, x, round(sum(k * r) / sum(k), 6) AS r, round(sum(k * g) / sum(k), 6) AS g, round(sum(k * b) / sum(k), 6) AS b, round(sum(k * a) / sum(k), 6) AS a FROM c GROUP BY y, x""",
     "i5_lookup": "SELECT p_name AS name, count(*) AS n FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1",
     "i6_group_of_channel": f"WITH {CHANNELS}, g AS (SELECT id % 20 AS idx, list(DISTINCT channel) AS c FROM channels GROUP BY 1) SELECT idx, len(c) AS n FROM g WHERE list_contains(c, 'left.B') ORDER BY idx LIMIT 1",
-    "i7_manifest_json": "SELECT p_partkey % 10 AS manifest, p_name || '_' || p_partkey AS name, p_partkey * 2654435 % 4294967296 AS id FROM part WHERE p_partkey <= 500",
+    "i7_manifest_json": "SELECT p_partkey % 10 AS manifest, p_name || '_' || p_partkey AS name, p_partkey * 2654435 % 4294967296 AS id FROM part",
     "i9_channel_sets": "SELECT n_name, n_name || printf('%02d', k) || '.' || c AS channel FROM nation, range(3) AS a(k), (SELECT unnest(['R', 'G', 'B', 'A']) AS c)",
     "q1_file_info": f"""WITH {HEADERS} SELECT id, name, w, h, min_x + w - 1 AS max_x, min_y + h - 1 AS max_y, compression, compression BETWEEN 5 AND 9 AS lossy, tiled, deep, mode,
 CASE WHEN tiled THEN ceil(w / tw) * ceil(h / th) ELSE ceil(h / CASE WHEN compression IN (3, 5) THEN 16 WHEN compression IN (4, 6, 7, 8, 11) THEN 32 WHEN compression IN (9, 10) THEN 256 ELSE 1 END) END::BIGINT AS chunks FROM headers""",
@@ -237,7 +222,7 @@ SELECT channel, count(*) FILTER (WHERE e IS NULL OR e > 0.002) AS n_diff, round(
     "q3_validate": f"""WITH {HEADERS} SELECT id, s AS severity, r AS rule FROM headers, LATERAL (VALUES
 ('error', 'deep data allow no, run-length or single-line deflate compression only', deep AND compression > 2), ('error', 'levels need tiles', NOT tiled AND mode <> 'one'), ('error', 'unknown compression', compression > 11),
 ('warning', 'larger than 32768', w > 32768 OR h > 32768), ('warning', 'lossy compression', compression BETWEEN 5 AND 9), ('warning', 'window does not start at 0', min_x <> 0 OR min_y <> 0)) AS v(s, r, ok) WHERE ok""",
-    "q4_chunk_rules": _CAT.replace("%s", "p_partkey <= 30 AND p_partkey % 3 = 0") + """, dam AS (SELECT id, idx, CASE WHEN idx = 5 THEN 0 ELSE place END AS o, CASE WHEN idx = 7 THEN 0 ELSE length END AS l FROM chunks)
+    "q4_chunk_rules": _CAT.replace("%s", "p_partkey % 3 = 0") + """, dam AS (SELECT id, idx, CASE WHEN idx = 5 THEN 0 ELSE place END AS o, CASE WHEN idx = 7 THEN 0 ELSE length END AS l FROM chunks)
 SELECT id, 'offset comes twice' AS rule, 2 AS n FROM dam WHERE idx = 5 UNION ALL SELECT id, 'empty chunk', 1 FROM dam WHERE idx = 7 UNION ALL SELECT id, 'chunk ends past the file', count(*) FROM dam WHERE o + l > 200000 GROUP BY id""",
     "q7_metrics": "SELECT l_returnflag, round(median(l_extendedprice), 6) AS median, count(*) AS n FROM lineitem GROUP BY 1",
 }
@@ -264,12 +249,12 @@ SELECT image, array_to_string(names, ',') AS names, array_to_string(list_filter(
 SELECT image, bool_or(b = 'R') AND bool_or(b = 'G') AND bool_or(b = 'B') AS rgb, bool_or(b = 'A') AS a, bool_or(b = 'R') AND bool_or(b = 'G') AND bool_or(b = 'B') AND bool_or(b = 'A') AS rgba FROM c GROUP BY image""",
     "m6_header_rules": f"WITH {HEADERS} SELECT id, 'error' AS severity, 'tile size is not positive' AS rule FROM headers WHERE tiled AND id % 17 = 0 UNION ALL SELECT id, 'error', 'levels need tiles' FROM headers WHERE NOT tiled AND mode <> 'one'",
     "v4_parts_by_view": f"WITH {CHANNELS}, {_NAMES} SELECT id % 40 AS image, vw, min(id) AS first, string_agg(id::VARCHAR, ',' ORDER BY id) AS parts FROM named WHERE vw <> '' GROUP BY 1, 2",
-    "v6_read_view": f"WITH {RGBA} SELECT y, x, round(r, 6) AS r, round(g, 6) AS g, 0.0::DOUBLE AS b, 1.0::DOUBLE AS a FROM rgba WHERE y < 50",
+    "v6_read_view": f"WITH {RGBA} SELECT y, x, round(r, 6) AS r, round(g, 6) AS g, 0.0::DOUBLE AS b, 1.0::DOUBLE AS a FROM rgba",
     "v9_separated_parts": f"WITH {HEADERS} SELECT id, name, kind FROM headers WHERE brand = 'Brand#12'",
-    "e2_lat_long_pixels": f"WITH {RASTER} SELECT y, x, round(pi() / 2 - pi() * y / 59, 6) AS lat, round(pi() - 2 * pi() * x / 63, 6) AS lon FROM raster WHERE y < 60",
+    "e2_lat_long_pixels": f"WITH {RASTER} SELECT y, x, round(pi() / 2 - pi() * y / ({H} - 1), 6) AS lat, round(pi() - 2 * pi() * x / 63, 6) AS lon FROM raster",
     "e4_cube_pixels": """WITH g AS (SELECT y, x::INTEGER AS x, (y // 9)::INTEGER AS face, y % 9 AS r FROM range(54) AS a(y), range(9) AS b(x))
 SELECT y, x, face, CASE face WHEN 0 THEN 8 - r WHEN 1 THEN 8 - r WHEN 4 THEN 8 - x ELSE x END::DOUBLE AS u, CASE face WHEN 0 THEN x WHEN 1 THEN 8 - x WHEN 3 THEN r ELSE 8 - r END::DOUBLE AS v, x::DOUBLE AS bx, y::DOUBLE AS by FROM g""",
-    "e6_lookup": f"""WITH {RASTER}, {RGBA}, q AS (SELECT y, x, v AS a, x / 64 - 0.5003 AS b, y / 30 - 0.4007 AS c, greatest(abs(a), abs(b), abs(c)) AS n FROM raster WHERE y < 30),
+    "e6_lookup": f"""WITH {RASTER}, {RGBA}, q AS (SELECT y, x, v AS a, x / 64 - 0.5003 AS b, y / rows - 0.4007 AS c, greatest(abs(a), abs(b), abs(c)) AS n FROM raster, (SELECT count(*) AS rows FROM embeddings)),
 f AS (SELECT *, CASE WHEN abs(a) = n THEN CASE WHEN a > 0 THEN 0 ELSE 1 END WHEN abs(b) = n THEN CASE WHEN b > 0 THEN 2 ELSE 3 END ELSE CASE WHEN c > 0 THEN 4 ELSE 5 END END AS face FROM q),
 p AS (SELECT *, 3.5 * (CASE WHEN face < 2 THEN b ELSE a END / n + 1) AS u, 3.5 * (CASE WHEN face < 4 THEN c ELSE b END / n + 1) AS v FROM f),
 s AS (SELECT y, x, [v, 7 - v, u, u, 7 - u, u][face + 1] AS px, [7 - u, 7 - u, 7 - v, v, 7 - v, 7 - v][face + 1] + 8 * face AS py FROM p),
@@ -278,31 +263,31 @@ SELECT w.y, w.x, """
     + ", ".join(f"round((1 - fx) * (1 - fy) * i.{c} + fx * (1 - fy) * j.{c} + (1 - fx) * fy * k.{c} + fx * fy * l.{c}, 6) AS {c}" for c in "rgba")
     + " FROM w JOIN rgba i ON i.x = x0 AND i.y = y0 JOIN rgba j ON j.x = x1 AND j.y = y0 JOIN rgba k ON k.x = x0 AND k.y = y1 JOIN rgba l ON l.x = x1 AND l.y = y1",
     "i8_manifest_lines": """SELECT p_partkey % 7 AS manifest, '{' || string_agg('"' || n || '":"' || printf('%08x', p_partkey * 2654435 % 4294967296) || '"', ',' ORDER BY n) || '}' AS json
-FROM (SELECT p_partkey, p_name || '_' || p_partkey AS n FROM part WHERE p_partkey <= 300) GROUP BY 1""",
+FROM (SELECT p_partkey, p_name || '_' || p_partkey AS n FROM part) GROUP BY 1""",
     "k8_line_order": f"WITH {RASTER}, l AS (SELECT y, round(sum(v), 6) AS s, y // 16 AS chunk FROM raster GROUP BY y) SELECT y, s, chunk, (SELECT max(chunk) FROM l) - chunk AS stored_at FROM l",
     "q5_structure": f"WITH {HEADERS} SELECT mode, tiled, deep, count(*) AS parts, sum(w::BIGINT * h)::BIGINT AS pixels, max(greatest(w, h)) AS largest FROM headers GROUP BY ALL",
     "q6_recompressed": f"WITH {HEADERS} SELECT id, CASE WHEN deep THEN 2 ELSE 3 END AS compression, CASE WHEN deep THEN 1 ELSE 16 END AS lines FROM headers",
 }
 
 
-def _filtered(directions: str, key: str, radius: float) -> str:
-    """Filtered lookups in a latlong map of 16 x 8: each of 25 directions is sampled by itself, then averaged."""
+def _filtered(directions: str, key: str, radius: float, rows: str) -> str:
+    """Filtered lookups in a latlong map of 16 columns: each of 25 directions is sampled by itself, then averaged."""
     bilinear = ", ".join(f"(1 - fx) * (1 - fy) * i.{c} + fx * (1 - fy) * j.{c} + (1 - fx) * fy * k.{c} + fx * fy * l.{c} AS {c}" for c in "rgba")
     return f"""n AS (SELECT {key}, dx / m AS dx, dy / m AS dy, dz / m AS dz FROM (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS m FROM ({directions}))),
 u AS (SELECT *, CASE WHEN abs(dx) > 0.707 THEN -dz ELSE dz END / sqrt(dz * dz + dy * dy) AS ay, CASE WHEN abs(dx) > 0.707 THEN dy ELSE -dy END / sqrt(dz * dz + dy * dy) AS az FROM n),
 v AS (SELECT *, dy * az - dz * ay AS ex, -dx * az AS ey, dx * ay AS ez FROM u),
 o AS (SELECT (s - 2) / 3 AS s, (t - 2) / 3 AS t FROM range(5) AS a(s), range(5) AS b(t)),
 p AS (SELECT v.*, (1 - abs(s)) * (1 - abs(t)) AS w, dx + {radius} * t * ex AS qx, dy + {radius} * (s * ay + t * ey) AS qy, dz + {radius} * (s * az + t * ez) AS qz FROM v, o),
-c AS (SELECT {key}, w, (0.5 - atan2(qx, qz) / (2 * pi())) * 15 AS px, (0.5 - asin(qy / sqrt(qx * qx + qy * qy + qz * qz)) / pi()) * 7 AS py FROM p),
-g AS (SELECT *, px - floor(px) AS fx, py - floor(py) AS fy, greatest(0, least(15, floor(px))) AS x0, greatest(0, least(15, floor(px) + 1)) AS x1, greatest(0, least(7, floor(py))) AS y0, greatest(0, least(7, floor(py) + 1)) AS y1 FROM c),
+c AS (SELECT {key}, w, (0.5 - atan2(qx, qz) / (2 * pi())) * 15 AS px, (0.5 - asin(qy / sqrt(qx * qx + qy * qy + qz * qz)) / pi()) * ({rows} - 1) AS py FROM p),
+g AS (SELECT *, px - floor(px) AS fx, py - floor(py) AS fy, greatest(0, least(15, floor(px))) AS x0, greatest(0, least(15, floor(px) + 1)) AS x1, greatest(0, least({rows} - 1, floor(py))) AS y0, greatest(0, least({rows} - 1, floor(py) + 1)) AS y1 FROM c),
 h AS (SELECT {', '.join('g.' + k.strip() for k in key.split(','))}, w, {bilinear} FROM g JOIN rgba i ON i.x = x0 AND i.y = y0 JOIN rgba j ON j.x = x1 AND j.y = y0 JOIN rgba k ON k.x = x0 AND k.y = y1 JOIN rgba l ON l.x = x1 AND l.y = y1)
 SELECT {key}, {", ".join(f"round(sum(w * {c}) / sum(w), 5) AS {c}" for c in "rgba")} FROM h GROUP BY {key}"""
 
 
-ORACLES["e7_filtered_lookup"] = f"WITH {RASTER}, {RGBA}, " + _filtered("SELECT y, x, v AS dx, x / 64 - 0.5 AS dy, 0.3 AS dz FROM raster WHERE y < 10", "y, x", 0.4)
+ORACLES["e7_filtered_lookup"] = f"WITH {RASTER}, {RGBA}, " + _filtered("SELECT y, x, v AS dx, x / 64 - 0.5 AS dy, 0.3 AS dz FROM raster", "y, x", 0.4, "8")
 ORACLES["e8_convert"] = f"""WITH {RGBA}, e AS (SELECT y, x::INTEGER AS x, y // 6 AS f, y % 6 AS r FROM range(36) AS a(y), range(6) AS b(x)),
 uv AS (SELECT y, x, f, CASE WHEN f < 2 THEN 5 - r WHEN f = 4 THEN 5 - x ELSE x END / 2.5 - 1 AS p, CASE f WHEN 0 THEN x WHEN 1 THEN 5 - x WHEN 3 THEN r ELSE 5 - r END / 2.5 - 1 AS q, CASE WHEN f % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM e),
-d AS (SELECT y, x, CASE WHEN f < 2 THEN s ELSE p END AS dx, CASE WHEN f < 2 THEN p WHEN f < 4 THEN s ELSE q END AS dy, CASE WHEN f < 4 THEN q ELSE s END AS dz FROM uv), """ + _filtered("SELECT * FROM d", "y, x", 0.25)
+d AS (SELECT y, x, CASE WHEN f < 2 THEN s ELSE p END AS dx, CASE WHEN f < 2 THEN p WHEN f < 4 THEN s ELSE q END AS dy, CASE WHEN f < 4 THEN q ELSE s END AS dz FROM uv), """ + _filtered("SELECT * FROM d", "y, x", 0.25, H)
 
 
 _SAMPLES = f"""px AS (SELECT 'Z' AS channel, y, x, round(v::FLOAT::DOUBLE, 6) AS v FROM raster UNION ALL SELECT 'A', y, x, round({_half('v')}, 6) FROM raster)"""
