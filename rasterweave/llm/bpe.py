@@ -3,12 +3,15 @@
 The distinct pieces of a batch lie in padded matrices, one for each bucket of lengths. Each
 round, every row merges its leftmost pair of least rank; the pair's column goes and the
 matrix is compacted, and rows without a pair leave it. Ranks of pairs come from an
-open-addressing hash table over (left id, right id).
+open-addressing hash table over (left id, right id). A row too long for a bucket is merged in the
+same order, leftmost pair of least rank first, with a heap of its pairs in place of a search of
+the whole row each round.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -23,9 +26,9 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from rasterweave.llm.tokens import bounded_batches, release
 
 #: No merge. Ranks are below it.
-NONE = np.int32(2**31 - 1)
-#: Upper ends of the buckets of piece lengths in bytes; longer pieces are merged one by one.
-BUCKETS = (4, 6, 8, 12, 16, 24, 32, 48, 64)
+NONE = 2**31 - 1
+#: Upper ends of the buckets of piece lengths in bytes; longer pieces are rows of their own.
+BUCKETS = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 #: Characters that are encoded together, and pieces that a worker remembers.
 CHARS, PIECES = 1_000_000, 150_000
 #: Rows whose ids a worker holds at once.
@@ -63,11 +66,6 @@ class Pairs:
             self.keys[at[wins]] = left_k[wins]
             self.values[at[wins]] = left_v[wins]
             left_k, left_v, at = left_k[~wins], left_v[~wins], (at[~wins] + 1) & self.mask
-        #: Tokens with a pair of lesser rank than their own: merging one of them can bring a pair that comes before the rest of its kind.
-        self.early = np.zeros(max(ranks.values()) + 1, bool)
-        all_k, all_v = np.array(keys, np.int64), np.array(values, np.int64)
-        for side in (all_k >> 32, all_k & 0xFFFFFFFF):
-            self.early[side[all_v < side]] = True
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -103,6 +101,7 @@ class BPE:
         for token, rank in ranks.items():
             self.token[rank] = token
         self.known: dict[str, bytes] = {}
+        self.by_pair: dict[int, int] | None = None
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece, as the bytes of int32."""
@@ -161,32 +160,43 @@ class BPE:
             rank[r, at[right]] = self.pairs(best[right], ids[r, at[right] + 1])
 
     def _long(self, piece: bytes) -> bytes:
-        """One long row: all its pairs of least rank at once, from the left, unless a merge can make a pair that comes first."""
-        ids = self.byte[np.frombuffer(piece, np.uint8)]
-        rank = self.pairs(ids[:-1], ids[1:])
-        while len(ids) > 1:
-            best = rank.min()
-            if best == NONE:
-                break
-            at = np.flatnonzero(rank == best)
-            if self.pairs.early[best]:
-                at = at[:1]
-            elif len(at) > 1:  # in a run of overlapping pairs every other one
-                run = np.concatenate([[0], np.cumsum(np.diff(at) > 1)])
-                first = np.flatnonzero(np.concatenate([[True], np.diff(run) > 0]))
-                at = at[(np.arange(len(at)) - first[run]) % 2 == 0]
-            ids = ids.copy()
-            ids[at] = best
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            ids = ids[keep]
-            rank = rank[keep[1:]] if len(ids) > 1 else rank[:0]
-            at = at - np.arange(len(at))
-            left, right = at[at > 0], at[at < len(ids) - 1]
-            if len(ids) > 1:
-                rank[left - 1] = self.pairs(ids[left - 1], ids[left])
-                rank[right] = self.pairs(ids[right], ids[right + 1])
-        return ids.tobytes()
+        """One long row: its pairs lie in a heap by rank and place, its tokens in a linked list; a merge costs the logarithm of the length."""
+        if self.by_pair is None:
+            full = self.pairs.keys >= 0
+            self.by_pair = dict(zip(self.pairs.keys[full].tolist(), self.pairs.values[full].tolist(), strict=True))
+        rank_of = self.by_pair.get
+        start = self.byte[np.frombuffer(piece, np.uint8)]
+        first = self.pairs(start[:-1], start[1:])
+        at = np.flatnonzero(first != NONE)
+        heap = ((first[at].astype(np.int64) << 32) | at).tolist()  # a rank and a place in one number; places are below 2^32
+        heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        n = len(start)
+        ids, rank = start.tolist(), first.tolist() + [NONE]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            entry = pop(heap)
+            i = entry & 0xFFFFFFFF
+            if rank[i] != entry >> 32:  # the pair that began here is gone
+                continue
+            ids[i] = new = entry >> 32
+            gone = after[i]
+            rank[gone], ids[gone] = -1, -1
+            right = after[i] = after[gone]
+            if right < n:
+                before[right] = i
+                rank[i] = r = rank_of((new << 32) | ids[right], NONE)
+                if r != NONE:
+                    push(heap, (r << 32) | i)
+            else:
+                rank[i] = NONE
+            left = before[i]
+            if left >= 0:
+                rank[left] = r = rank_of((ids[left] << 32) | new, NONE)
+                if r != NONE:
+                    push(heap, (r << 32) | left)
+        out = np.array(ids, np.int32)
+        return out[out >= 0].tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
         if pieces:
