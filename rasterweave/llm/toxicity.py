@@ -22,8 +22,10 @@ from rasterweave.llm.tokens import TokenTable, bounded_batches, hash64, mix64
 
 #: Hash slots of terms, factors of a term, and rows of each label that the model is fitted on at most (a bounded sample by hash of the id).
 SLOTS, FACTORS, PER_LABEL = 1 << 19, 4, 3000
-#: Training documents that a term has to be in, and standard errors by which its shares of the two labels have to differ; other terms weigh nothing.
-LEAST_DOCS, LEAST_Z = 4, 3.0
+#: Training documents that a term has to be in, and standard errors by which its shares of the two labels have to differ, or how often it comes with another term; other terms weigh nothing.
+LEAST_DOCS, LEAST_Z, PAIR_Z = 4, 3.0, 6.0
+#: The most frequent terms, of which all pairs are looked at (the square of it bounds the table of pairs).
+PAIR_TERMS = 1024
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -61,6 +63,35 @@ def _sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-max(-60.0, min(60.0, x)))))
 
 
+def screened(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Whether each slot is worth a weight and factors: its shares of the two labels differ, or it and another come together more often, against what their shares say, under one label than under the other."""
+    held = np.zeros((2, SLOTS), np.float64)
+    for t, y in zip(texts, labels, strict=True):
+        held[y, t] += 1
+    n, both = np.bincount(labels, minlength=2), held.sum(0)
+    odd = both / n.sum()
+    spread = 1 / n[0] + 1 / n[1]
+    enough = both >= LEAST_DOCS
+    live = enough & (np.abs(held[1] / n[1] - held[0] / n[0]) >= LEAST_Z * np.sqrt(odd * (1 - odd) * spread))
+    often = np.sort(np.argsort(-both, kind="stable")[:PAIR_TERMS])
+    often = often[enough[often] & (odd[often] < 1)]
+    place = np.full(SLOTS, -1)
+    place[often] = np.arange(len(often))
+    cov = np.zeros((2, len(often), len(often)))
+    for y in (0, 1):
+        x = np.zeros((n[y], len(often)), np.float32)
+        for row, t in zip(x, (t for t, label in zip(texts, labels, strict=True) if label == y), strict=True):
+            at = place[t]
+            row[at[at >= 0]] = 1
+        share = x.mean(0, dtype=np.float64)
+        cov[y] = x.T @ x / n[y] - np.outer(share, share)
+    p = odd[often] * (1 - odd[often])
+    z = np.abs(cov[1] - cov[0]) / np.sqrt(np.outer(p, p) * spread)
+    np.fill_diagonal(z, 0)
+    live[often[(z >= PAIR_Z).any(0)]] = True
+    return live
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, epochs: int = 8, rate: float = 0.05, decay: float = 2e-3, seed: int = 7) -> Machine:
     """Fit by AdaGrad on the slots of texts (one array each). share: of label 1 where the machine is to be used."""
     rng = np.random.default_rng(seed)
@@ -68,12 +99,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, epochs: int =
     if not len(labels) or labels.min() == labels.max():
         p = min(max(float(labels.mean()) if len(labels) else share, 1e-3), 1 - 1e-3)
         return Machine(float(np.log(p / (1 - p))), w, v)
-    held = np.zeros((2, SLOTS), np.float64)
-    for t, y in zip(texts, labels, strict=True):
-        held[y, t] += 1
-    n, both = np.bincount(labels, minlength=2), held.sum(0)
-    odd = both / n.sum()
-    live = (both >= LEAST_DOCS) & (np.abs(held[1] / n[1] - held[0] / n[0]) >= LEAST_Z * np.sqrt(odd * (1 - odd) * (1 / n[0] + 1 / n[1])))
+    live = screened(texts, labels)
     data = []
     for t in texts:
         data.append(np.unique(t[live[t]]))
@@ -109,14 +135,15 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """Fit on at most per_label rows of each label that are not held out, the least by hash of the id.
 
-    Rows with a null id or label are not learned from; of several labels of an id the greatest counts.
+    Rows with a null id or label are not learned from; of several labels of an id the greatest
+    counts, and of several texts the least by hash.
     """
     bounded_batches(docs.sparkSession)
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("_id")
     picked = [known.where(F.col("_y") == y).orderBy(order, "_id").limit(per_label) for y in (0, 1)]
-    sample = picked[0].unionByName(picked[1]).groupBy("_id").agg(F.max("_y").alias("_y"))
+    sample = picked[0].unionByName(picked[1])
 
     @F.pandas_udf("binary")
     def slots(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -124,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: i
             yield pd.Series([terms_of(stems_of(words_of(x))).tobytes() for x in part], dtype=object)
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.join(F.broadcast(sample), "_id").select("_id", "_y", slots("_text").alias("_slots")).collect()
+    own = texts.join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    rows = own.select("_id", "_y", slots("_text").alias("_slots")).collect()
     rows.sort(key=lambda r: (r["_id"], bytes(r["_slots"])))
     total = max(1, sum(counts.values()))
     return fit([np.frombuffer(r["_slots"], np.int32) for r in rows], np.array([r["_y"] for r in rows], np.int64), counts.get(1, 0) / total)
