@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from rasterweave.llm.tokens import TokenTable, bounded_batches, mix64
 
-#: Hash slots of n-grams, lengths of n-grams, documents that the machines are fitted on for each language (a bounded sample by hash of the id), and languages at most.
-SLOTS, LENGTHS, PER_LANGUAGE, LANGUAGES = 8192, (1, 2, 3, 4), 600, 256
+#: Hash slots of n-grams, lengths of n-grams, and documents that the machines are fitted on for each language and in all (a bounded sample by a hash of id and text).
+SLOTS, LENGTHS, PER_LANGUAGE, IN_ALL = 8192, (1, 2, 3, 4), 600, 60_000
+#: Weights of all machines together, bits of all languages' known n-grams together, and numbers of a worker's table of words: with many languages, slots are folded so that these hold.
+WEIGHTS, BITS, TABLE = 1 << 24, 1 << 28, 1 << 24
 #: Languages of each family; a language that is not here is a family of its own.
 FAMILIES: Mapping[str, tuple[str, ...]] = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy"),
@@ -47,7 +49,17 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, in lower case; signs that only count as numbers make no word."""
+    words = _WORD.findall(text.lower()) if text else []
+    return words if not words or text.isascii() else [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
+
+
+def folded(most: int, each: int, least: int = 64) -> int:
+    """The greatest power of two up to most of which each can be held, but least at least."""
+    size = most
+    while size > least and size * each > (WEIGHTS if most == SLOTS else BITS):
+        size //= 2
+    return size
 
 
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +104,11 @@ def long_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (key[ok] & np.uint64(LONG_SLOTS - 1)).astype(np.int64), word[: len(key)][ok]
 
 
-def known_of(documents: list[np.ndarray]) -> tuple[np.ndarray, float]:
-    """(packed bits of the slots that two documents have, so that none vouches for itself, and threshold) of a language. documents: distinct slots of each; too few set no threshold."""
-    seen = np.zeros(LONG_SLOTS, np.int32)
+def known_of(documents: list[np.ndarray], size: int = LONG_SLOTS) -> tuple[np.ndarray, float]:
+    """(packed bits of the slots that two documents have, so that none vouches for itself, and threshold) of a language. documents: distinct slots of each; too few set no threshold. size: slots are folded to so many."""
+    if size < LONG_SLOTS:
+        documents = [np.unique(at & (size - 1)) for at in documents]
+    seen = np.zeros(size, np.int32)
     for k, at in enumerate(documents):
         if k % 5:
             seen[at] += 1
@@ -144,12 +158,14 @@ class Model:
         """Of each word: its sum of weights for every machine, and its number of n-grams; with known, then its long n-grams that each language has, and their number."""
         slots, owner = grams_of(words)
         n = len(self.pairs)
+        slots &= self.weights.shape[1] - 1
         out = np.zeros((len(words), n + 1 + (len(self.judged) + 1 if self.judged else 0)))
         for k in range(n):
             out[:, k] = np.bincount(owner, self.weights[k][slots], len(words))
         out[:, n] = np.bincount(owner, minlength=len(words))
         if self.judged:
             slots, owner = long_grams(words)
+            slots &= 8 * len(next(iter(self.known.values()))[0]) - 1
             for lang, k in self.judged.items():
                 bits = self.known[lang][0][slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1
                 out[:, n + 1 + k] = np.bincount(owner, bits, len(words))
@@ -193,6 +209,9 @@ def fit(vectors: dict[str, np.ndarray], families: Mapping[str, tuple[str, ...]]
     for lang in sorted(vectors):
         groups.setdefault(family.get(lang, lang), []).append(lang)
     pairs, rows, bias = [], [], []
+    machines = len(groups) * (len(groups) - 1) // 2 + sum(len(g) * (len(g) - 1) // 2 for g in groups.values())
+    slots = folded(SLOTS, machines)
+    vectors = {lang: x.reshape(len(x), SLOTS // slots, slots).sum(1) for lang, x in vectors.items()}
 
     def add(a: str, b: str, xa: np.ndarray, xb: np.ndarray) -> None:
         w, c = svm(np.concatenate([xa, xb]), np.concatenate([np.ones(len(xa), int), -np.ones(len(xb), int)]))
@@ -205,7 +224,7 @@ def fit(vectors: dict[str, np.ndarray], families: Mapping[str, tuple[str, ...]]
     for langs in groups.values():
         for a, b in combinations(langs, 2):
             add(a, b, vectors[a], vectors[b])
-    return Model(groups, pairs, np.array(rows).reshape(len(rows), SLOTS).astype(np.float32), np.array(bias), known)
+    return Model(groups, pairs, np.array(rows).reshape(len(rows), slots).astype(np.float32), np.array(bias), known)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -214,19 +233,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on up to per_language documents of each language that are not held out.
+    """Fit on up to per_language documents of each language, and about IN_ALL in all, that are not held out.
 
-    A document is in the sample if the hash of its id falls under a share of its language,
-    set for 1.3 times per_language documents; the driver keeps the first per_language by
-    hash. Rows with a null language, or without a letter, are not learned from.
+    Every language is learned; with more than IN_ALL / per_language of them, each from fewer
+    documents. A document is in the sample if a hash of its id and text falls under a share of
+    its language, set for 1.3 times as many documents as it keeps; the driver keeps the first
+    by hash. Rows with a null language, or without a letter, are not learned from; rows that
+    repeat id and text count once.
     """
     bounded_batches(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(F.col("_lang").isNotNull() & ~held_out(F.col("_id")))
-    counts = known.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("_lang").agg(F.count("*").alias("n")).collect()  # as many rows as languages
     if not counts:
         return fit({})
+    per_language = max(1, min(per_language, IN_ALL // len(counts)))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["_lang"]), F.lit(min(1.0, 1.3 * per_language / r["n"])))])
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), "_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), F.col("_id").cast("string"), "_text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     @F.pandas_udf("v binary, long binary")
     def sparse(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -239,7 +261,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
                 out.append((at.tobytes() + v[at].tobytes(), np.unique(long_grams(words)[0]).astype(np.int32).tobytes() if words else b""))
             yield pd.DataFrame(out, columns=["v", "long"], dtype=object)
 
-    drawn = known.withColumn("_draw", draw).where(F.col("_draw") < share[F.col("_lang")]).select("_lang", "_draw", sparse("_text").alias("_s"))
+    drawn = known.withColumn("_draw", draw).where(F.col("_draw") < share[F.col("_lang")]).groupBy("_lang", "_draw").agg(F.min("_text").alias("_text"))
+    drawn = drawn.select("_lang", "_draw", sparse("_text").alias("_s")).limit(2 * len(counts) * per_language + 1000)
     rows = drawn.select("_lang", "_draw", F.col("_s.v").alias("_v"), F.col("_s.long").alias("_long")).collect()
     kept: dict[str, list] = {}
     long: dict[str, list] = {}
@@ -247,7 +270,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
         if r["_v"]:
             kept.setdefault(r["_lang"], []).append(bytes(r["_v"]))
             long.setdefault(r["_lang"], []).append(np.frombuffer(r["_long"], np.int32))
-    sets = {lang: known_of(some[:per_language]) for lang, some in long.items()}
+    sets = {lang: known_of(some[:per_language], folded(LONG_SLOTS, len(long), 1024)) for lang, some in long.items()}
     del rows, long
     vectors = {}
     for lang, some in kept.items():
@@ -259,14 +282,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
 
 
 def predictor(spark: SparkSession, model: Model):
-    """A function from a text column to struct(lang, score); `und` and 0 if the text is null or has no letter. The model is broadcast: SLOTS weights for each pair, LONG_SLOTS bits for each language."""
+    """A function from a text column to struct(lang, score); `und` and 0 if the text is null or has no letter. The model is broadcast: WEIGHTS and BITS bound it."""
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast((model.families, model.pairs, model.weights, model.bias, model.known))
 
     @F.pandas_udf("lang string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model(*sent.value)
-        table = TokenTable(own.rows)
+        table = TokenTable(own.rows, max(1000, min(120_000, TABLE // (len(own.pairs) + len(own.judged) + 2))))
         for part in parts:
             out = []
             for text in part:
