@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bins of a fingerprint; at most 128.
 SLOTS = 128
-#: Rows of a range of ids that one task orders, ranges at most (which bounds the broadcast of their first ids), and quantiles that lay them out.
-RANGE_ROWS, RANGES, QUANTILES = 2000, 65_536, 255
+#: Rows of a range of ids that one task orders, ranges up to which their first ids are broadcast (16 bytes each; beyond it they are joined by shuffle), and quantiles that lay them out.
+RANGE_ROWS, BROADCAST_RANGES, QUANTILES = 2000, 65_536, 255
 _DIGEST = 16
 #: The greatest weight of a piece of a term.
 PIECE = 2
@@ -101,14 +101,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Order: by id (nulls first), then text. Ids are dealt into ranges of about RANGE_ROWS rows,
     and the first row of each range also goes to the range before (_halo; drop these rows), so
-    that one exchange by range brings every row and its next together. Only the first ids of
-    ranges are broadcast, RANGES of them at most.
+    that one exchange by range brings every row and its next together. The first ids of
+    ranges are broadcast if there are BROADCAST_RANGES at most.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     ids = docs.select("doc_id")
     wanted = [k / (QUANTILES + 1) for k in range(1, QUANTILES + 1)]
     found = ids.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", wanted, 20_000).alias("q")).first()
-    ranges = max(1, min(RANGES, -(-found["n"] // RANGE_ROWS)))
+    ranges = max(1, -(-found["n"] // RANGE_ROWS))
     every = max(1, (QUANTILES + 1) // ranges)
     bounds = sorted({*(found["q"] or [])[every - 1 :: every]})
     fine = max(1, ranges // (len(bounds) + 1))
@@ -128,7 +128,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     heads = heads.select("_head", F.coalesce(before, last).alias("_before"), before.isNull().cast("int").alias("_wrap"))
     own = F.struct(F.col("_range").alias("r"), F.lit(0).alias("halo"), F.lit(0).alias("wrap"))
     halo = F.struct(F.col("_before").alias("r"), F.lit(1).alias("halo"), F.col("_wrap").alias("wrap"))
-    joined = docs.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_head")), "left")
+    side = F.broadcast(heads) if ranges <= BROADCAST_RANGES else heads
+    joined = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_head")), "left")
     dealt = joined.select("doc_id", "text", F.explode(F.when(F.col("_before").isNotNull(), F.array(own, halo)).otherwise(F.array(own))).alias("_to"))
     dealt = dealt.select("doc_id", "text", F.col("_to.r").alias("_range"), F.col("_to.halo").alias("_halo"), F.col("_to.wrap").alias("_wrap"))
     within = Window.partitionBy("_range").orderBy("_halo", F.asc_nulls_first("doc_id"), "text")
