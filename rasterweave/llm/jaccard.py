@@ -13,7 +13,7 @@
    with more are dealt again. Each node is posted under its full segments, and nodes that meet
    there make up a candidate group.
 4. Tiles. A group that is small is one tile. A larger one is cut into blocks by size band and
-   hash, each of about BLOCK shingles; a tile is a block and the leaders of its band and the
+   hash, each of about BLOCK shingles (or four sets, if they are large); a tile is a block and the leaders of its band and the
    band below, which connect the blocks. Nodes that are not in the group's largest component
    then visit the other blocks of near bands. So a group of many near copies is neither
    compared pair by pair nor copied from block to block. Within a tile, bitmaps of hashed
@@ -41,7 +41,7 @@ from rasterweave.llm.graph import components, discard, split_join, stored
 from rasterweave.llm.tokens import TokenTable, bounded_batches, fresh, mix64
 
 #: Words of a shingle, similarity in hundredths, least ratio of a band's ends, shingles of a block, and candidate texts up to which their hashes are broadcast (8 bytes each).
-SHINGLE, SIMILARITY, BAND, BLOCK, BROADCAST_TEXTS = 3, 90, 1.2, 60_000, 500_000
+SHINGLE, SIMILARITY, BAND, BLOCK, BROADCAST_TEXTS = 3, 90, 1.2, 20_000, 500_000
 #: Ratio of the size bands of blocks, hundredths of common hashes that the first cover asks for, postings that a task combines at once, and dealings of a set into segments.
 FINE, SHARED, CHUNK, DEALS = 1.05, 10, 2_000_000, 6
 
@@ -367,10 +367,10 @@ def _linked(spark: SparkSession, docs: DataFrame, size: int, similarity: int, id
     fine = F.floor(F.log(F.col("n").cast("double")) / math.log(FINE)).cast("int")
     cand = stored(elements.select("node", "n").join(groups, "node").withColumn("band", fine), "candidates")
     discard(groups)
-    bands = cand.groupBy("root", "band").agg(F.sum("n").alias("elements"), F.min_by("node", F.xxhash64("node")).alias("leader"))
-    bands = bands.withColumn("blocks", F.ceil(F.col("elements") / block).cast("int"))
-    plans = bands.groupBy("root").agg(F.sum("elements").alias("elements"), F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
-    placed = split_join(cand, plans, "root").withColumn("large", F.col("elements") > block)
+    bands = cand.groupBy("root", "band").agg(F.sum("n").alias("elements"), F.max("n").alias("widest"), F.min_by("node", F.xxhash64("node")).alias("leader"))
+    bands = bands.withColumn("blocks", F.ceil(F.col("elements") / F.greatest(F.lit(block), 4 * F.col("widest"))).cast("int"))
+    plans = bands.groupBy("root").agg(F.sum("elements").alias("elements"), F.max("widest").alias("widest"), F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
+    placed = split_join(cand, plans, "root").withColumn("large", F.col("elements") > F.greatest(F.lit(block), 4 * F.col("widest")))
     at = F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.element_at("blocks", F.col("band"))).cast("int")).otherwise(-1)
     placed = stored(placed.select("node", "n", "root", "large", "blocks", "band", F.when(F.col("large"), F.col("band")).otherwise(-1).alias("x"), at.alias("y")), "placed")
     every = lambda b: F.transform(F.sequence(F.lit(0), F.element_at("blocks", b) - 1), lambda k: F.struct(b.alias("x"), k.cast("int").alias("y")))
@@ -397,7 +397,7 @@ def _linked(spark: SparkSession, docs: DataFrame, size: int, similarity: int, id
     sums = labelled.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("most"))
     marked = stored(split_join(labelled, sums, "root").withColumn("guest", F.col("label") != F.col("most")).drop("most"), "marked")
     discard(labelled)
-    packs = marked.where("guest").groupBy("root").agg(F.ceil(F.sum("n") / block).cast("int").alias("packs"))
+    packs = marked.where("guest").groupBy("root").agg(F.ceil(F.sum("n") / F.greatest(F.lit(block), 4 * F.max("n"))).cast("int").alias("packs"))
     guests = split_join(marked.where("guest"), packs, "root").withColumn("pack", F.pmod(F.xxhash64(F.lit("pack"), "node"), F.col("packs")).cast("int"))
     reach = int(math.log(100 / similarity) / math.log(FINE)) + 2
     near = F.filter(F.sequence(F.col("band") - reach, F.col("band") + reach), has)
