@@ -205,12 +205,31 @@ def test_language_edges(spark, docs):
     got = [r["p"] for r in edge(spark).select(langid.predictor(spark, model)("text").alias("p")).collect()]
     assert [p["lang"] == "und" for p in got] == [False, True, True, True, False, False, False, True, False, False]
     assert all(0 <= p["score"] <= 1 for p in got)
+    signs = spark.createDataFrame([("½ ① ²",), ("12 34",), ("½ words of a text",)], "text string")
+    assert [r["l"] != "und" for r in signs.select(langid.predictor(spark, model)("text")["lang"].alias("l")).collect()] == [False, False, True]
     nothing = langid.train(empty(spark))
     assert edge(spark).select(langid.predictor(spark, nothing)("text")["lang"].alias("l")).distinct().collect()[0]["l"] == "und"
     one = langid.train(docs.where("lang = 'en'"))
     assert one.names == ["germanic"] and edge(spark).where("doc_id = 0").select(langid.predictor(spark, one)("text")["lang"].alias("l")).first()["l"] == "en"
 
 
+def test_every_language_is_learned_from_a_bounded_sample(spark, monkeypatch):
+    """More languages than there used to be room for, rows that repeat an id and a text, and null ids; tables are folded to their bounds."""
+    monkeypatch.setattr(langid, "WEIGHTS", 1 << 16)
+    monkeypatch.setattr(langid, "IN_ALL", 600)
+    r = random.Random(1)
+    names = [f"x{i:03d}" for i in range(24)]
+    letters = [chr(0x10D0 + i) for i in range(30)] + [chr(0x561 + i) for i in range(30)]
+    own = {n: [letters[k] for k in r.sample(range(60), 6)] for n in names}
+    data = [(None if i % 5 == 0 else i, " ".join("".join(r.choice(own[n]) for _ in range(5)) for _ in range(30)), n) for i, n in enumerate(names * 30)]
+    data += [(None, "შშშშშ " * 9, "x000")] * 500
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string").cache()
+    model = langid.train(docs)
+    assert sum(len(x) for x in model.families.values()) == 24 and model.weights.size <= 1 << 16
+    got = docs.limit(720).select("lang", langid.predictor(spark, model)("text")["lang"].alias("p")).toPandas()
+    assert (got["lang"] == got["p"]).mean() > 0.8
+
+
 def test_words_decide_as_texts_do(rows):
     by = collections.defaultdict(list)
     for _, t, lang in rows[:200]:
@@ -248,6 +267,20 @@ def test_pairs_are_learned():
     assert np.mean(right) > 0.97
 
 
+def test_pairs_of_even_members_are_learned():
+    """Toxic is both words or neither: no word tells anything by itself."""
+    r = random.Random(4)
+    texts, labels = [], []
+    for _ in range(2000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = [f"w{r.randrange(30)}" for _ in range(4)] + ["insultword"] * a + ["groupword"] * b
+        texts.append(toxicity.terms_of(toxicity.stems_of(sorted(set(words)))))
+        labels.append(int(a == b))
+    m = toxicity.fit(texts[:1500], np.array(labels[:1500]), 0.5, epochs=20)
+    right = [(m.logit(t) > 0) == bool(y) for t, y in zip(texts[1500:], labels[1500:], strict=True)]
+    assert np.mean(right) > 0.9
+
+
 def test_toxicity_held_out(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     score = toxicity.scorer(spark, toxicity.train(d, labels))
@@ -459,11 +492,48 @@ def test_leaks_both_ways(spark, monkeypatch, limit):
     docs = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("item_id", F.lit(5))
     got = decontam.with_leaks(spark, docs, items, broadcast_chars=limit).collect()
     by = {r["doc_id"]: [(x["item_id"], x["matched"], x["tiles"]) for x in r["_leaks"]] for r in got}
-    assert len(got) == 8 and by == {1: [(1, 40, 1)], 2: [(1, 40, 3)], 3: [], 4: [], 5: [], 6: [], 7: [(1, 40, 1), (4, 12, 1)]}
+    assert len(got) == 8 and by == {1: [(1, 40, 1)], 2: [(1, 40, 3)], 3: [], 4: [], 5: [], 6: [(2, 3, 1)], 7: [(1, 40, 1), (4, 12, 1)]}
     assert decontam.decontaminate(spark, docs, items.limit(0)).count() == 8
     assert decontam.with_leaks(spark, docs.limit(0), items, broadcast_chars=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_CHARS, 0])
+def test_leaks_of_short_items_scripts_and_names(spark, monkeypatch, limit):
+    """Items shorter than a seed, scripts without spaces, very long texts, and a column of the user's named _leaks."""
+    monkeypatch.setattr(decontam, "BITMAP", 1 << 16)
+    items = spark.createDataFrame([(1, "only two"), (2, "four words in here"), (3, "我们今天去北京看长城"), (4, "..."), (5, "only two")], "item_id int, text string")
+    data = [(1, "not Only, two!"), (2, "only then two"), (3, "昨天我们今天去北京看长城了"), (4, "... !!!"), (5, "x " * 60_000 + "four words in here" + " y" * 60_000), (6, "four words in there"), (7, None)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("_leaks", F.lit("mine"))
+    got = {r["doc_id"]: [x["item_id"] for x in r["found"]] for r in decontam.with_leaks(spark, docs, items, broadcast_chars=limit, out="found").collect()}
+    assert got == {1: [1, 5], 2: [], 3: [3], 4: [], 5: [2], 6: [], 7: []}
+    kept = decontam.decontaminate(spark, docs, items)
+    assert kept.columns == docs.columns and {(r["doc_id"], r["_leaks"]) for r in kept.collect()} == {(i, "mine") for i in (2, 4, 6, 7)}
+
+
+def test_leaks_of_the_table_are_brute_force(spark):
+    """Rows of op3 on the small table: every pair of a text and an item is tiled by brute force where they share five words."""
+    from rasterweave.llm.queries import op3_greedy_string_tiling
+
+    sf = "/root/testdata/sf0.001"
+    items = [(r["item_id"], decontam.words_of(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    grams = collections.defaultdict(set)
+    for i, w in items:
+        for k in range(len(w) - 4):
+            grams[tuple(w[k : k + 5])].add(i)
+    by = dict(items)
+    want = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        w = decontam.words_of(r["text"])
+        for i in {i for k in range(len(w) - 4) for i in grams.get(tuple(w[k : k + 5]), ())}:
+            ids = {x: n for n, x in enumerate(dict.fromkeys(by[i]))}
+            near = [ids.get(x, -1) for x in w]
+            found = brute_tiles([ids[x] for x in by[i]], near) if len(w) < 400 else decontam.tiles(np.array([ids[x] for x in by[i]]), np.array(near))
+            if sum(found) >= decontam.THRESHOLD * len(by[i]):
+                want.add((r["doc_id"], i, len(by[i]), sum(found), len(found)))
+    got = {(r["doc_id"], r["item_id"], r["item_tokens"], r["matched"], r["tiles"]) for r in op3_greedy_string_tiling(spark, sf).collect()}
+    assert want and got == want
+
+
 def test_leaks_of_the_table(spark, docs, rows):
     items = [(r["item_id"], decontam.words_of(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     whole = {(d, i) for d, t, _ in rows for i, w in items if f" {' '.join(w)} " in f" {' '.join(decontam.words_of(t))} "}
