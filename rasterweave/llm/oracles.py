@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, formulated independently of the operators."""
 
+from rasterweave.llm.lm import ALONE
+
 #: CRC-32 (polynomial EDB88320) by its table, folded over the bytes of a text.
 _CRC = """
 crc_table AS (
@@ -11,44 +13,37 @@ crc_table AS (
 """
 
 ORACLES: dict[str, str] = {
-    "op1_cross_entropy_difference": """
+    "op1_cross_entropy_difference": r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS body,
-    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS own FROM documents
-),
-chars AS (
-  SELECT r, own, unnest(range(len(cs))) AS i, unnest(cs) AS ch FROM (SELECT r, own, string_split(body, '') AS cs FROM docs WHERE body <> '')
-),
-kept AS (
-  SELECT ch FROM (SELECT ch, count(*) AS n FROM chars GROUP BY ch) ORDER BY n DESC, unicode(ch) LIMIT 94
-),
-tokens AS (
-  SELECT c.r, c.own, c.i, coalesce(k.ch, 'other') AS t FROM chars c LEFT JOIN kept k USING (ch)
-),
-grams AS (
-  SELECT r, own, coalesce(lag(t, 2) OVER w, 'pad') AS a, coalesce(lag(t) OVER w, 'pad') AS b, t AS c
-  FROM tokens WINDOW w AS (PARTITION BY r ORDER BY i)
-),
-totals AS (SELECT count(*) AS n_all, count(*) FILTER (WHERE own) AS n_own, (SELECT count(*) + 1 FROM kept) AS v FROM grams),
-n3 AS (
-  SELECT a, b, c, count(*) FILTER (WHERE own) AS t, count(*) * (SELECT n_own / n_all FROM totals) AS g FROM grams GROUP BY a, b, c
-),
-n2 AS (SELECT b, c, sum(t) AS t, sum(g) AS g FROM n3 GROUP BY b, c),
-n1 AS (SELECT c, sum(t) AS t, sum(g) AS g FROM n3 GROUP BY c),
-h2 AS (SELECT a, b, sum(t) AS t, sum(g) AS g FROM n3 GROUP BY a, b),
-h1 AS (SELECT b, sum(t) AS t, sum(g) AS g FROM n3 GROUP BY b),
-p AS (
-  SELECT n3.a, n3.b, n3.c,
-    -ln((n3.t + 10 * (n2.t + 10 * (n1.t + 1) / (n_own + v)) / (h1.t + 10)) / (h2.t + 10)) AS lt,
-    -ln((n3.g + 10 * (n2.g + 10 * (n1.g + 1) / (n_own + v)) / (h1.g + 10)) / (h2.g + 10)) AS lb
-  FROM n3 JOIN n2 USING (b, c) JOIN n1 USING (c) JOIN h2 USING (a, b) JOIN h1 USING (b), totals
-),
+    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), FALSE) AS own FROM documents
+),
+words AS (
+  SELECT r, own, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT r, own, regexp_extract_all(body, '[ALONE]|[^\x20\x09-\x0DALONE]+') AS ws FROM docs)
+),
+tokens AS (SELECT *, ('0x' || substr(md5(w), 1, 4))::INTEGER % 512 AS c FROM words),
+grams AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY r ORDER BY i), 512) AS d FROM tokens),
+totals AS (SELECT count(*) AS n_all, count(*) FILTER (WHERE own) AS n_own FROM grams),
+n2 AS (
+  SELECT d, c, CASE WHEN n_own > 0 THEN count(*) FILTER (WHERE own) ELSE count(*) END AS t, count(*) * CASE WHEN n_own > 0 THEN n_own / n_all ELSE 1 END AS g
+  FROM grams, totals GROUP BY d, c, n_own, n_all
+),
+n1 AS (SELECT c, sum(t) AS t, sum(g) AS g FROM n2 GROUP BY c),
+h1 AS (SELECT d, sum(t) AS t, sum(g) AS g FROM n2 GROUP BY d),
+sums AS (SELECT sum(t) AS t, sum(g) AS g FROM n1),
+steps AS (
+  SELECT d, c, -ln((n2.t + 10 * (n1.t + 1) / (sums.t + 512)) / (h1.t + 10)) AS lt, -ln((n2.g + 10 * (n1.g + 1) / (sums.g + 512)) / (h1.g + 10)) AS lb
+  FROM n2 JOIN n1 USING (c) JOIN h1 USING (d), sums
+),
+counts AS (SELECT w, c, count(*) AS n, count(*) FILTER (WHERE own) AS t FROM tokens GROUP BY w, c),
+of_class AS (SELECT c, sum(n) AS n, sum(t) AS t FROM counts GROUP BY c),
+spelled AS (SELECT w, -ln((k.t + 10 * (k.n / o.n)) / (o.t + 10)) AS lt, -ln(k.n / o.n) AS lb FROM counts k JOIN of_class o USING (c)),
 scored AS (
-  SELECT r, count(*) AS n, avg(lt) AS ct, avg(lb) AS cb, avg(lt - lb) AS d FROM grams JOIN p USING (a, b, c) GROUP BY r
+  SELECT r, count(*) AS n, avg(steps.lt + spelled.lt) AS ct, avg(steps.lb + spelled.lb) AS cb FROM grams JOIN steps USING (d, c) JOIN spelled USING (w) GROUP BY r
 )
-SELECT doc_id, coalesce(n, 0) AS n_tokens, round(ct, 6) AS ce_target, round(cb, 6) AS ce_background, round(d, 6) AS score
+SELECT doc_id, coalesce(n, 0) AS n_tokens, round(ct, 6) AS ce_target, round(cb, 6) AS ce_background, round(ct - cb, 6) AS score
 FROM docs LEFT JOIN scored USING (r)
-""",
+""".replace("ALONE", ALONE),
     # lines, their sums over three and the stretches from surge to dive; the markup that these tables have is cut by patterns
     "op4_line_block_extraction": r"""
 WITH cut AS (

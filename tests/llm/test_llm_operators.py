@@ -359,6 +359,25 @@ def test_lm_edges(spark):
     assert lm.score(spark, empty(spark), target).count() == 0
 
 
+def test_lm_chunks_scripts_and_growth(spark):
+    """Small chunks change nothing; scripts without spaces are told apart by character; every word of the corpus counts."""
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(3000)] + list("我们今天去北京看长城")
+    data = [(i if i % 11 else None, " ".join(r.choice(words) for _ in range(r.randrange(0, 40))) if i % 7 else None) for i in range(300)]
+    data += [(1000, "我们今天去北京"), (1001, "看长城看长城"), (1002, "rare words only here"), (1003, "rare words only here")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    target = spark.createDataFrame([(1000,), (1002,), (None,)], "doc_id bigint")
+    key = lambda x: (x["doc_id"] is None, x["doc_id"], x["n_tokens"], x["score"] is None, x["score"])
+    one = sorted(lm.score(spark, docs, target).collect(), key=key)
+    many = sorted(lm.score(spark, docs.repartition(5), target, chunk=60).collect(), key=key)
+    assert len(one) == len(many) == 304
+    for a, b in zip(one, many, strict=True):
+        assert a["n_tokens"] == b["n_tokens"] and (a["score"] is None) == (b["score"] is None)
+        assert a["score"] is None or abs(a["score"] - b["score"]) < 1e-9 and abs(a["ce_target"] - b["ce_target"]) < 1e-9
+    by = {x["doc_id"]: x for x in one}
+    assert by[1000]["n_tokens"] == 7 and by[1000]["score"] < by[1001]["score"] and by[1002]["score"] == by[1003]["score"] < 0
+
+
 # 6 similarity join
 
 
