@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm.tokens import TokenTable, bounded_batches, mix64
+from rasterweave.llm.tokens import TokenTable, bounded_batches, mix64, release
 
 #: Hash slots of n-grams, lengths of n-grams, and documents that the machines are fitted on for each language and in all (a bounded sample by a hash of id and text).
 SLOTS, LENGTHS, PER_LANGUAGE, IN_ALL = 8192, (1, 2, 3, 4), 600, 60_000
@@ -121,20 +121,30 @@ def known_of(documents: list[np.ndarray], size: int = LONG_SLOTS) -> tuple[np.nd
     return np.packbits(seen > 1), least
 
 
-def svm(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, epochs: int = 12, seed: int = 3) -> tuple[np.ndarray, float]:
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def sparse_of(vector: np.ndarray) -> Sparse:
+    """(slots, shares) of a vector."""
+    at = np.flatnonzero(vector)
+    return at, vector[at]
+
+
+def svm(x: list[Sparse], y: np.ndarray, slots: int = SLOTS, decay: float = 1e-3, epochs: int = 12, seed: int = 3) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine (hinge loss, averaged subgradient steps); y is +1 or -1, classes weigh the same."""
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(x.shape[1]), 0.0
-    total, total_b, steps = np.zeros(x.shape[1]), 0.0, 0
+    w, b = np.zeros(slots), 0.0
+    total, total_b, steps = np.zeros(slots), 0.0, 0
     weight = {s: 0.5 * len(y) / max(1, int((y == s).sum())) for s in (1, -1)}
     t = 0
     for epoch in range(epochs):
         for i in rng.permutation(len(y)):
             t += 1
             rate = 1 / (decay * (t + 1000))
-            if y[i] * (x[i] @ w + b) < 1:
+            at, value = x[i]
+            if y[i] * (value @ w[at] + b) < 1:
                 w *= 1 - rate * decay
-                w += (rate * weight[y[i]] * y[i] * 0.01) * x[i]
+                w[at] += (rate * weight[y[i]] * y[i] * 0.01) * value
                 b += rate * weight[y[i]] * y[i] * 0.01
             else:
                 w *= 1 - rate * decay
@@ -202,8 +212,8 @@ class Model:
         return language, float(score)
 
 
-def fit(vectors: dict[str, np.ndarray], families: Mapping[str, tuple[str, ...]] = FAMILIES, known: Mapping[str, tuple[np.ndarray, float]] | None = None) -> Model:
-    """vectors: for each language the vectors of its documents. known: see Model."""
+def fit(vectors: Mapping[str, list[Sparse]], families: Mapping[str, tuple[str, ...]] = FAMILIES, known: Mapping[str, tuple[np.ndarray, float]] | None = None) -> Model:
+    """vectors: for each language the sparse vectors of its documents. known: see Model."""
     family = {lang: name for name, langs in families.items() for lang in langs}
     groups: dict[str, list[str]] = {}
     for lang in sorted(vectors):
@@ -211,16 +221,17 @@ def fit(vectors: dict[str, np.ndarray], families: Mapping[str, tuple[str, ...]]
     pairs, rows, bias = [], [], []
     machines = len(groups) * (len(groups) - 1) // 2 + sum(len(g) * (len(g) - 1) // 2 for g in groups.values())
     slots = folded(SLOTS, machines)
-    vectors = {lang: x.reshape(len(x), SLOTS // slots, slots).sum(1) for lang, x in vectors.items()}
+    if slots < SLOTS:
+        vectors = {lang: [sparse_of(np.bincount(at & (slots - 1), v, slots)) for at, v in x] for lang, x in vectors.items()}
 
-    def add(a: str, b: str, xa: np.ndarray, xb: np.ndarray) -> None:
-        w, c = svm(np.concatenate([xa, xb]), np.concatenate([np.ones(len(xa), int), -np.ones(len(xb), int)]))
+    def add(a: str, b: str, xa: list[Sparse], xb: list[Sparse]) -> None:
+        w, c = svm(xa + xb, np.concatenate([np.ones(len(xa), int), -np.ones(len(xb), int)]), slots)
         pairs.append((a, b))
         rows.append(w)
         bias.append(c)
 
     for a, b in combinations(sorted(groups), 2):
-        add(f"family {a}", f"family {b}", np.concatenate([vectors[x] for x in groups[a]]), np.concatenate([vectors[x] for x in groups[b]]))
+        add(f"family {a}", f"family {b}", [v for x in groups[a] for v in vectors[x]], [v for x in groups[b] for v in vectors[x]])
     for langs in groups.values():
         for a, b in combinations(langs, 2):
             add(a, b, vectors[a], vectors[b])
@@ -237,7 +248,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
 
     Every language is learned; with more than IN_ALL / per_language of them, each from fewer
     documents. A document is in the sample if a hash of its id and text falls under a share of
-    its language, set for 1.3 times as many documents as it keeps; the driver keeps the first
+    its language, set for 1.15 times as many documents as it keeps; the driver keeps the first
     by hash. Rows with a null language, or without a letter, are not learned from; rows that
     repeat id and text count once.
     """
@@ -247,7 +258,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     if not counts:
         return fit({})
     per_language = max(1, min(per_language, IN_ALL // len(counts)))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["_lang"]), F.lit(min(1.0, 1.3 * per_language / r["n"])))])
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["_lang"]), F.lit(min(1.0, 1.15 * per_language / r["n"])))])
     draw = F.pmod(F.xxhash64(F.lit("language sample"), F.col("_id").cast("string"), "_text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     @F.pandas_udf("v binary, long binary")
@@ -257,28 +268,28 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
             for text in part:
                 words = words_of(text)
                 v = shares_of(words)
-                at = np.flatnonzero(v).astype(np.int32)
+                at = np.flatnonzero(v).astype(np.uint16)
                 out.append((at.tobytes() + v[at].tobytes(), np.unique(long_grams(words)[0]).astype(np.int32).tobytes() if words else b""))
             yield pd.DataFrame(out, columns=["v", "long"], dtype=object)
 
     drawn = known.withColumn("_draw", draw).where(F.col("_draw") < share[F.col("_lang")]).groupBy("_lang", "_draw").agg(F.min("_text").alias("_text"))
     drawn = drawn.select("_lang", "_draw", sparse("_text").alias("_s")).limit(2 * len(counts) * per_language + 1000)
     rows = drawn.select("_lang", "_draw", F.col("_s.v").alias("_v"), F.col("_s.long").alias("_long")).collect()
-    kept: dict[str, list] = {}
+    rows.sort(key=lambda r: (r["_lang"], r["_draw"], bytes(r["_v"])))
+    vectors: dict[str, list[Sparse]] = {}
     long: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["_lang"], r["_draw"], bytes(r["_v"]))):
-        if r["_v"]:
-            kept.setdefault(r["_lang"], []).append(bytes(r["_v"]))
+    for r in rows:
+        n = len(r["_v"]) // 6
+        if n and len(vectors.setdefault(r["_lang"], [])) < per_language:
+            vectors[r["_lang"]].append((np.frombuffer(r["_v"], np.uint16, n).astype(np.int64), np.frombuffer(r["_v"], np.float32, n, 2 * n)))
             long.setdefault(r["_lang"], []).append(np.frombuffer(r["_long"], np.int32))
-    sets = {lang: known_of(some[:per_language], folded(LONG_SLOTS, len(long), 1024)) for lang, some in long.items()}
-    del rows, long
-    vectors = {}
-    for lang, some in kept.items():
-        x = vectors[lang] = np.zeros((min(per_language, len(some)), SLOTS), np.float32)
-        for i, v in enumerate(some[:per_language]):
-            n = len(v) // 8
-            x[i, np.frombuffer(v, np.int32, n)] = np.frombuffer(v, np.float32, n, 4 * n)
-    return fit(vectors, known=sets)
+    del rows
+    sets = {lang: known_of(some, folded(LONG_SLOTS, len(long), 1024)) for lang, some in long.items()}
+    del long
+    model = fit(vectors, known=sets)
+    del vectors
+    release()
+    return model
 
 
 def predictor(spark: SparkSession, model: Model):

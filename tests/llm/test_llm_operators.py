@@ -233,8 +233,8 @@ def test_every_language_is_learned_from_a_bounded_sample(spark, monkeypatch):
 def test_words_decide_as_texts_do(rows):
     by = collections.defaultdict(list)
     for _, t, lang in rows[:200]:
-        by[lang].append(langid.shares_of(langid.words_of(t)))
-    model = langid.fit({k: np.array(v) for k, v in by.items()})
+        by[lang].append(langid.sparse_of(langid.shares_of(langid.words_of(t))))
+    model = langid.fit(by)
     for _, t, _ in rows[200:220]:
         words = langid.words_of(t)
         if words:
