@@ -91,6 +91,11 @@ def merge_sources(sources: Sequence[DataFrame], grid: DataFrame | None, ties: Se
     return grid.select(*key).join(out, [*key], "left").select(*key, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in [*values, "a"]])
 
 
+def line_budget(samples: DataFrame, budget: int) -> DataFrame:
+    """(y, n, over): the samples of each line, and whether they are more than a reader of single lines may hold."""
+    return samples.groupBy("y").agg(F.count("*").alias("n")).withColumn("over", F.col("n") > budget)
+
+
 def sample_counts(samples: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return samples.groupBy(*key).agg(F.count("*").alias("n"))
 

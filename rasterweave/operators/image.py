@@ -44,22 +44,23 @@ def to_uint(v: Column) -> Column:
     return F.when(F.isnan(v), 0).otherwise(F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(4294967295.0)))).cast("bigint")
 
 
-def chroma(pixels: DataFrame) -> DataFrame:
-    """(cy, cx, ry, by): chroma at half size, the mean over the 2 x 2 pixels that are there."""
+def chroma(pixels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, cy, cx, ry, by): chroma at half size, the mean over the 2 x 2 pixels that are there. keys: of several images."""
     _, ry, by = to_yc(F.col("r"), F.col("g"), F.col("b"))
-    rows = pixels.select(F.floor(F.col("y") / 2).cast("bigint").alias("cy"), F.floor(F.col("x") / 2).cast("int").alias("cx"), ry.alias("ry"), by.alias("by"))
-    return rows.groupBy("cy", "cx").agg(F.avg("ry").alias("ry"), F.avg("by").alias("by"))
+    rows = pixels.select(*keys, F.floor(F.col("y") / 2).cast("bigint").alias("cy"), F.floor(F.col("x") / 2).cast("int").alias("cx"), ry.alias("ry"), by.alias("by"))
+    return rows.groupBy(*keys, "cy", "cx").agg(F.avg("ry").alias("ry"), F.avg("by").alias("by"))
 
 
-def upsample_chroma(plane: DataFrame, width: int, height: int) -> DataFrame:
-    """(y, x, ry, by) at full size: bilinear at (x / 2, y / 2), the right and lower edges clamped.
+def upsample_chroma(plane: DataFrame, width: int | Column, height: int | Column, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, y, x, ry, by) at full size: bilinear at (x / 2, y / 2), the right and lower edges clamped.
 
     Each chroma cell is sent to the pixels that it weighs in, so there is one aggregation and
     no join of the plane with itself.
     """
-    cw, ch = (width + 1) // 2, (height + 1) // 2
+    width, height = (n if isinstance(n, Column) else F.lit(n) for n in (width, height))
+    cw, ch = F.floor((width + 1) / 2), F.floor((height + 1) / 2)
 
-    def sends(at: str, cells: int, size: int) -> Column:
+    def sends(at: str, cells: Column, size: Column) -> Column:
         """(target, weight): an even pixel has its own cell, an odd one half of it and half of the next, which at the edge is the same."""
         own = F.struct((F.col(at) * 2).alias("t"), F.lit(1.0).alias("w"))
         after = F.struct((F.col(at) * 2 + 1).alias("t"), F.when(F.col(at) == cells - 1, 1.0).otherwise(0.5).alias("w"))
@@ -68,7 +69,7 @@ def upsample_chroma(plane: DataFrame, width: int, height: int) -> DataFrame:
 
     sent = plane.withColumn("_y", F.explode(sends("cy", ch, height))).withColumn("_x", F.explode(sends("cx", cw, width)))
     w = F.col("_y.w") * F.col("_x.w")
-    return sent.groupBy(F.col("_y.t").alias("y"), F.col("_x.t").alias("x")).agg(F.sum(w * F.col("ry")).alias("ry"), F.sum(w * F.col("by")).alias("by"))
+    return sent.groupBy(*keys, F.col("_y.t").alias("y"), F.col("_x.t").alias("x")).agg(F.sum(w * F.col("ry")).alias("ry"), F.sum(w * F.col("by")).alias("by"))
 
 
 def yc_round_trip(pixels: DataFrame, width: int, height: int) -> DataFrame:

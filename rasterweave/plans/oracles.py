@@ -264,9 +264,7 @@ SELECT w.y, w.x, """
     + " FROM w JOIN rgba i ON i.x = x0 AND i.y = y0 JOIN rgba j ON j.x = x1 AND j.y = y0 JOIN rgba k ON k.x = x0 AND k.y = y1 JOIN rgba l ON l.x = x1 AND l.y = y1",
     "i8_manifest_lines": """SELECT p_partkey % 7 AS manifest, '{' || string_agg('"' || n || '":"' || printf('%08x', p_partkey * 2654435 % 4294967296) || '"', ',' ORDER BY n) || '}' AS json
 FROM (SELECT p_partkey, p_name || '_' || p_partkey AS n FROM part) GROUP BY 1""",
-    "k8_line_order": f"WITH {RASTER}, l AS (SELECT y, round(sum(v), 6) AS s, y // 16 AS chunk FROM raster GROUP BY y) SELECT y, s, chunk, (SELECT max(chunk) FROM l) - chunk AS stored_at FROM l",
     "q5_structure": f"WITH {HEADERS} SELECT mode, tiled, deep, count(*) AS parts, sum(w::BIGINT * h)::BIGINT AS pixels, max(greatest(w, h)) AS largest FROM headers GROUP BY ALL",
-    "q6_recompressed": f"WITH {HEADERS} SELECT id, CASE WHEN deep THEN 2 ELSE 3 END AS compression, CASE WHEN deep THEN 1 ELSE 16 END AS lines FROM headers",
 }
 
 
@@ -331,3 +329,34 @@ ORACLES |= {
     "i3_float_ids": f"WITH {_murmur('SELECT n_name, n_name AS s FROM nation', 'n_name')} SELECT n_name, CASE WHEN (h >> 23) & 255 IN (0, 255) THEN xor(h, 8388608) ELSE h END AS bits FROM hashed",
     "i4_manifest": f"WITH {_murmur('SELECT DISTINCT p_brand, p_type, p_brand || chr(0) || p_type AS s FROM part', 'p_brand, p_type')} SELECT h AS id, string_agg(p_brand || '|' || p_type, '|' ORDER BY p_brand, p_type) AS names FROM hashed GROUP BY h",
 }
+
+
+def _halves(columns: str) -> str:
+    return ", ".join(f"round({_half(c)}, 6) AS {c}" for c in columns.split())
+
+
+_PLANES = f"""q AS (SELECT *, {_YC} AS l FROM rgba), c AS (SELECT y // 2 * 2 AS y, (x // 2 * 2)::INTEGER AS x, avg(r / l - 1) AS cr, avg(b / l - 1) AS cb FROM q GROUP BY 1, 2)"""
+_NAMED = "SELECT '%s' AS channel, y, x, round(%s, 6) AS v FROM %s"
+ORACLES |= {
+    "k1b_tiled_sink": f"WITH {RASTER} SELECT 'Z' AS channel, y, x, round(v::FLOAT::DOUBLE, 6) AS v FROM raster",
+    "k2_rgba_sink": f"WITH {RGBA} SELECT y, x, {_halves('r g b a')} FROM rgba",
+    "k5_luminance_chroma_sink": f"WITH {RGBA}, {_PLANES} " + " UNION ALL ".join(_NAMED % x for x in (("Y", _half("l"), "q"), ("RY", _half("cr"), "c"), ("BY", _half("cb"), "c"))),
+    "a6c_luminance_read": f"WITH {RGBA}, q AS (SELECT *, {_YC} AS l FROM rgba) SELECT y, x, round({_half('l')}, 6) AS r, round({_half('l')}, 6) AS g, round({_half('l')}, 6) AS b, round({_half('a')}, 6) AS a FROM q",
+    "k6_stereo_sink": f"WITH {RGBA} " + " UNION ALL ".join(_NAMED % x for x in (("R", _half("r"), "rgba"), ("right.R", _half("g"), "rgba"))),
+    "k6_stereo_parts_sink": f"WITH {RGBA} " + " UNION ALL ".join(_NAMED % x for x in (("R", _half("g"), "rgba"), ("B", _half("b"), "rgba"))),
+    "k8_line_order": f"SELECT k::INTEGER AS idx, ((n - 1) // 16 - k)::INTEGER AS place, k * 16 AS y0, least(k * 16 + 15, n - 1) AS y1 FROM (SELECT n, unnest(range((n - 1) // 16 + 1)) AS k FROM (SELECT {H} AS n))",
+    "v10_converted": f"WITH {RGBA} " + _NAMED % ("R", _half("g"), "rgba"),
+    "q6_recompressed": f"""WITH {RASTER}, f AS (SELECT printf('band%05d', y // 40) AS path, v FROM raster)
+SELECT path, 'A' AS channel, count(*) AS n, round(sum({_half('v')}), 3) AS s, '04' AS compression FROM f GROUP BY path
+UNION ALL SELECT path, 'Z', count(*), round(sum(v::FLOAT::DOUBLE), 3), '04' FROM f GROUP BY path""",
+}
+
+
+def _aces_halves() -> str:
+    from rasterweave.functions.colour import to_aces
+
+    terms = ["(" + " + ".join(f"{float(k)!r} * {c}" for k, c in zip(row, "rgb", strict=True)) + ")" for row in to_aces()]
+    return f"WITH {RGBA}, q AS (SELECT y, x, {terms[0]} AS r, {terms[1]} AS g, {terms[2]} AS b FROM rgba) " + " UNION ALL ".join(_NAMED % (c.upper(), _half(c), "q") for c in "rgb")
+
+
+ORACLES["k7_aces_sink"] = _aces_halves()

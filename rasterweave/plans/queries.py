@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterweave.functions import colour, halffloat, meta
@@ -20,7 +20,8 @@ from rasterweave.operators import region as S
 from rasterweave.operators import views as V
 from rasterweave.plans import adapters as W
 from rasterweave.session import table
-from rasterweave.sources import codecs, container
+from rasterweave.plans.materialize import shared_path
+from rasterweave.sources import codecs, container, sinks
 
 TIES = ("t1", "t2", "t3", "t4")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,8 +97,7 @@ def d5b_tile_merge(spark, d):
 
 @query
 def d5c_sample_budget(spark, d):
-    deep = W.deep(spark, d)
-    return deep.groupBy("y").agg(F.count("*").alias("n")).withColumn("over", F.col("n") > 500)
+    return D.line_budget(W.deep(spark, d), 500)
 
 
 @query
@@ -573,12 +573,6 @@ def v4_parts_by_view(spark, d):
     return c.groupBy("image", "vw").agg(F.min("part").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p.cast("string")), ",").alias("parts"))
 
 
-@query
-def v9_separated_parts(spark, d):
-    h = W.headers(spark, d)
-    return h.where(F.col("brand") == "Brand#12").select("id", "name", "kind")
-
-
 @query
 def e4_cube_pixels(spark, d):
     g = A.grid(spark, 0, 0, 8, 53)
@@ -587,25 +581,12 @@ def e4_cube_pixels(spark, d):
     return g.withColumn("p", p).select("y", "x", "p.face", "p.u", "p.v", back[0].alias("bx"), back[1].alias("by"))
 
 
-@query
-def k8_line_order(spark, d):
-    lines = W.raster(spark, d).groupBy("y").agg(F.round(F.sum("v"), 6).alias("s"))
-    rank = F.floor(F.col("y") / 16).cast("bigint")
-    last = (height(spark, d) - 1) // 16
-    return lines.withColumn("chunk", rank).withColumn("stored_at", F.lit(last) - F.col("chunk"))
-
-
 @query
 def q5_structure(spark, d):
     h = W.headers(spark, d)
     return h.groupBy("mode", "tiled", "deep").agg(F.count("*").alias("parts"), F.sum(F.col("w").cast("bigint") * F.col("h")).alias("pixels"), F.max(F.greatest("w", "h")).alias("largest"))
 
 
-@query
-def q6_recompressed(spark, d):
-    return W.headers(spark, d).select("id", F.when(F.col("deep"), 2).otherwise(3).alias("compression"), G.lines_per_chunk(F.when(F.col("deep"), 2).otherwise(3)).alias("lines"))
-
-
 # The container: files are built from the raster, then read as any others
 
 
@@ -823,3 +804,84 @@ def q4_chunk_rules(spark, d):
     c = S.catalogue(W.headers(spark, d).where("mode = 'one'"))
     damaged = c.withColumn("offset", F.when(F.col("idx") == 5, 0).otherwise(F.col("offset"))).withColumn("length", F.when(F.col("idx") == 7, 0).otherwise(F.col("length")))
     return Q.chunk_violations(damaged, 200_000)
+
+
+# Sinks: files are written by DataFrame sinks and read back
+
+
+def image_of(spark, d):
+    """The colour raster as one image."""
+    return W.rgba(spark, d).withColumn("path", F.lit("image"))
+
+
+def written(spark, files, **options):
+    return container.read_pixels(spark, files, **options).select("channel", F.col("y").cast("bigint").alias("y"), "x", F.round("v", 6).alias("v"))
+
+
+@query
+def k1b_tiled_sink(spark, d):
+    pixels = W.raster(spark, d).select(F.lit("image").alias("path"), F.lit("Z").alias("channel"), F.col("y").cast("int").alias("y"), "x", "v")
+    return written(spark, sinks.encoded(pixels, [sinks.Layout({"Z": sinks.FLOAT}, codecs.ZIP, (16, 8), container.RANDOM)]))
+
+
+@query
+def k2_rgba_sink(spark, d):
+    return rounded(sinks.read_any(spark, sinks.write_rgba(image_of(spark, d))).drop("path"))
+
+
+@query
+def k5_luminance_chroma_sink(spark, d):
+    return written(spark, sinks.write_yc(image_of(spark, d), "YC"))
+
+
+@query
+def a6c_luminance_read(spark, d):
+    return rounded(sinks.read_any(spark, sinks.write_yc(image_of(spark, d), "YA")).drop("path"))
+
+
+@query
+def k6_stereo_sink(spark, d):
+    left = image_of(spark, d)
+    return written(spark, sinks.write_stereo(left, left.withColumn("r", F.col("g"))), channels=["R", "right.R"])
+
+
+@query
+def k6_stereo_parts_sink(spark, d):
+    left = image_of(spark, d)
+    return written(spark, sinks.write_stereo(left, left.withColumn("r", F.col("g")), multi=True), part=1, channels=["R", "B"])
+
+
+@query
+def k7_aces_sink(spark, d):
+    return written(spark, sinks.write_aces(image_of(spark, d), "RGB"))
+
+
+@query
+def k8_line_order(spark, d):
+    """Where the chunks of a file of decreasing line order lie: place counts chunks from the first byte on."""
+    pixels = W.raster(spark, d).select(F.lit("image").alias("path"), F.lit("Z").alias("channel"), F.col("y").cast("int").alias("y"), "x", "v")
+    found = container.read_chunks(spark, sinks.encoded(pixels, [sinks.Layout({"Z": sinks.FLOAT}, codecs.ZIP, order=container.DECREASING)]))
+    return found.select("idx", (F.row_number().over(Window.partitionBy("path").orderBy("offset")) - 1).alias("place"), "y0", "y1")
+
+
+@query
+def v9_separated_parts(spark, d):
+    """Parts of a brand, each in the folder of its name, and read again."""
+    at = shared_path(spark, "separated")
+    V.separate(W.headers(spark, d).where(F.col("brand") == "Brand#12").select("id", "name", "kind"), at)
+    return spark.read.parquet(at).select("id", "name", "kind")
+
+
+@query
+def v10_converted(spark, d):
+    """Scanlines into tiles, then a part for each view."""
+    left = image_of(spark, d)
+    files = sinks.convert(spark, sinks.write_stereo(left, left.withColumn("r", F.col("g"))), tile=(16, 16))
+    return written(spark, sinks.convert(spark, files, parts="multi"), part=1, channels=["R"])
+
+
+@query
+def q6_recompressed(spark, d):
+    files = sinks.convert(spark, W.files(spark, d, codecs.ZIP), codecs.PIZ)
+    kinds = container.read_headers(spark, files).select("path", F.hex("attrs.compression.value").alias("compression"))
+    return container.read_pixels(spark, files).groupBy("path", "channel").agg(F.count("*").alias("n"), F.round(F.sum("v"), 3).alias("s")).join(kinds, "path")

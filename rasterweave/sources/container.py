@@ -8,7 +8,8 @@ level and window before a byte is decoded; chunks are then dealt evenly over tas
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +25,7 @@ from rasterweave.sources import codecs
 MAGIC, VERSION = 20000630, 2
 TILED, LONG_NAMES, DEEP, MULTI = 0x200, 0x400, 0x800, 0x1000
 ONE, MIP, RIP = range(3)
+INCREASING, DECREASING, RANDOM = range(3)
 DTYPES = {0: "<u4", 1: "<f2", 2: "<f4"}
 NEEDED = ("channels", "compression", "dataWindow", "displayWindow", "lineOrder", "pixelAspectRatio", "screenWindowCenter", "screenWindowWidth")
 
@@ -130,7 +132,7 @@ class File:
             raise codecs.Damaged("not a container")
         if version & 255 != VERSION:
             raise codecs.Damaged("unknown version")
-        self.raw, self.flags = raw, version
+        self.raw, self.flags, self.recover = raw, version, recover
         self.multi = bool(version & MULTI)
         self.headers: list[Header] = []
         at = 8
@@ -242,12 +244,14 @@ class File:
         return x0 + c.tx * tw, y0 + c.ty * th, x0 + min((c.tx + 1) * tw, w) - 1, y0 + min((c.ty + 1) * th, hh) - 1
 
     def chunks(self, part: int) -> Iterator[Chunk]:
-        """Chunks in the order of the table; places that hold none are passed over."""
+        """Chunks in the order of the table. A place that holds none is an error, or, when recovering, a chunk that is lost."""
         for k, place in enumerate(self.offsets[part]):
             if self.start <= place < len(self.raw):
                 c, _ = self.chunk_at(place)
                 c.index = k
                 yield c
+            elif not self.recover:
+                raise codecs.Damaged(f"chunk {k} of part {part} has no place in the file")
 
 
 def decode_chunk(f: File, c: Chunk, wanted: Sequence[str] | None = None) -> dict[str, np.ndarray]:
@@ -417,13 +421,16 @@ def _attr(name: str, kind: str, value: bytes) -> bytes:
     return name.encode() + b"\0" + kind.encode() + b"\0" + struct.pack("<i", len(value)) + value
 
 
-def header_bytes(box: Sequence[int], channels: Sequence[tuple[str, int]], compression: int, tile: tuple[int, int, int, bool] | None = None, deep: bool = False, extra: dict[str, tuple[str, bytes]] | None = None, name: str | None = None) -> bytes:
-    """One header; a name makes it a part of several."""
-    chlist = b"".join(n.encode() + b"\0" + struct.pack("<iIii", k, 0, 1, 1) for n, k in sorted(channels)) + b"\0"
+def header_bytes(
+    box: Sequence[int], channels: Sequence[tuple[str, int]], compression: int, tile: tuple[int, int, int, bool] | None = None, deep: bool = False, extra: Mapping[str, tuple[str, bytes]] | None = None,
+    name: str | None = None, order: int = INCREASING, sampling: Mapping[str, tuple[int, int]] | None = None,
+) -> bytes:
+    """One header; a name makes it a part of several. sampling: (x, y) of the channels that are not at full size."""
+    chlist = b"".join(n.encode() + b"\0" + struct.pack("<iIii", k, 0, *(sampling or {}).get(n, (1, 1))) for n, k in sorted(channels)) + b"\0"
     window = struct.pack("<4i", *box)
     out = [
         _attr("channels", "chlist", chlist), _attr("compression", "compression", bytes([compression])), _attr("dataWindow", "box2i", window), _attr("displayWindow", "box2i", window),
-        _attr("lineOrder", "lineOrder", b"\0"), _attr("pixelAspectRatio", "float", struct.pack("<f", 1)), _attr("screenWindowCenter", "v2f", struct.pack("<2f", 0, 0)), _attr("screenWindowWidth", "float", struct.pack("<f", 1)),
+        _attr("lineOrder", "lineOrder", bytes([order])), _attr("pixelAspectRatio", "float", struct.pack("<f", 1)), _attr("screenWindowCenter", "v2f", struct.pack("<2f", 0, 0)), _attr("screenWindowWidth", "float", struct.pack("<f", 1)),
     ]
     if tile:
         out.append(_attr("tiles", "tiledesc", struct.pack("<IIB", tile[0], tile[1], tile[2] | int(tile[3]) << 4)))
@@ -438,16 +445,27 @@ def header_bytes(box: Sequence[int], channels: Sequence[tuple[str, int]], compre
     return b"".join(out) + b"\0"
 
 
-def _file(headers: Sequence[bytes], chunks: Sequence[Sequence[bytes]], flags: int) -> bytes:
+def _stored(n: int, order: int) -> list[int]:
+    """Chunks in the order in which a line order stores them; a random one is fixed by a hash of the index."""
+    if order == RANDOM:
+        return sorted(range(n), key=lambda i: zlib.crc32(struct.pack("<I", i)))
+    return list(range(n))[:: -1 if order == DECREASING else 1]
+
+
+def _file(headers: Sequence[bytes], chunks: Sequence[Sequence[bytes]], flags: int, orders: Sequence[int] | None = None) -> bytes:
+    """Headers, the table of offsets in the order of the index, and the chunks in the order of each part's line order."""
     multi = len(headers) > 1
     head = struct.pack("<II", MAGIC, VERSION | flags | (MULTI if multi else 0)) + b"".join(headers) + (b"\0" if multi else b"")
     at = len(head) + 8 * sum(map(len, chunks))
-    table = []
-    for part in chunks:
-        for c in part:
-            table.append(at)
-            at += len(c)
-    return head + struct.pack(f"<{len(table)}Q", *table) + b"".join(c for part in chunks for c in part)
+    table, body = [], []
+    for k, part in enumerate(chunks):
+        places = [0] * len(part)
+        for i in _stored(len(part), orders[k] if orders else INCREASING):
+            places[i] = at
+            at += len(part[i])
+            body.append(part[i])
+        table += places
+    return head + struct.pack(f"<{len(table)}Q", *table) + b"".join(body)
 
 
 def scanline_file(planes: dict[str, np.ndarray], kinds: dict[str, int], compression: int = codecs.ZIP, origin: tuple[int, int] = (0, 0), extra: dict | None = None) -> bytes:
