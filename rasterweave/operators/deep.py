@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 KEY = ("y", "x")
 COLOURS = ("r", "g", "b")
+#: Lines of a block whose totals are added up by themselves.
+LINES = 1024
 
 
 def depth_sorted(samples: DataFrame, values: Sequence[str], ties: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
@@ -103,15 +105,18 @@ def sample_counts(samples: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 def count_table(counts: DataFrame, per_line: bool = False) -> DataFrame:
     """counts (y, x, n) with packed: the running sum over the image, or over each line (as chunks store it).
 
-    Over the image, lines are summed first, so that no task orders all pixels: only line
-    totals meet in one.
+    Over the image, lines are summed first, then blocks of LINES lines, so that no task
+    orders all pixels or all lines: only blocks' totals meet in one.
     """
     line = Window.partitionBy("y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     packed = counts.withColumn("packed", F.sum("n").over(line))
     if per_line:
         return packed
-    lines = counts.groupBy("y").agg(F.sum("n").alias("_n"))
-    before = lines.select("y", F.coalesce(F.sum("_n").over(Window.orderBy("y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    lines = counts.groupBy("y").agg(F.sum("n").alias("_n")).withColumn("_block", F.floor(F.col("y") / LINES))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = lines.groupBy("_block").agg(F.sum("_n").alias("_n")).select("_block", earlier(Window.orderBy("_block")).alias("_blocks"))
+    within = lines.select("y", "_block", earlier(Window.partitionBy("_block").orderBy("y")).alias("_lines"))
+    before = within.join(blocks, "_block").select("y", (F.col("_lines") + F.col("_blocks")).alias("_before"))
     return packed.join(before, "y").select("y", "x", "n", (F.col("packed") + F.col("_before")).alias("packed"))
 
 

@@ -34,12 +34,15 @@ RGBA = """rgba AS (SELECT vec_id AS y, x::INTEGER AS x, embedding[4*x+1]::DOUBLE
   embedding[4*x+3]::DOUBLE + 0.55 AS b, embedding[4*x+4]::DOUBLE + 0.55 AS a FROM embeddings, range(16) AS t(x))"""
 
 
-def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deep samples: pixel (y, x) by order, depth by day shipped; t1 to t4 make their order total. src is the source's tag."""
+def deep(spark: SparkSession, sf_dir: str, lines: tuple[int, int] | None = None) -> DataFrame:
+    """Deep samples: pixel (y, x) by order, depth by day shipped; t1 to t4 make their order total. src is the source's tag. lines: first and last y wanted, as a range of keys that Parquet prunes by."""
     z = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
     a = F.least(F.col("l_discount") * 10.7, F.lit(1.0))
+    items = table(spark, sf_dir, "lineitem")
+    if lines:
+        items = items.where(F.col("l_orderkey").between(lines[0] * DEEP_WIDTH, (lines[1] + 1) * DEEP_WIDTH - 1))
     return (
-        table(spark, sf_dir, "lineitem")
+        items
         .select(
             F.floor(F.col("l_orderkey") / DEEP_WIDTH).cast("bigint").alias("y"), (F.col("l_orderkey") % DEEP_WIDTH).alias("x"), z.alias("z"), (z + F.col("l_linenumber")).alias("zback"), a.alias("a"),
             (F.col("l_quantity") / 47 * a).alias("r"), (F.col("l_tax") * a).alias("g"), (F.col("l_extendedprice") / 97531 * a).alias("b"),

@@ -20,6 +20,7 @@ done AS (SELECT y, x, {sums}, round(least(greatest(sum(t * a), 0.0), 1.0), 6) AS
 _PLAIN = f"WITH {DEEP}, {_over('r g b')} SELECT y, x, r, g, b, a FROM done"
 ORACLES |= {
     "d3_over_composite": _PLAIN,
+    "d3_over_composite_in_runs": _PLAIN,
     "d8_volumetric_composite": _PLAIN,
     "d4_all_channel_composite": f"WITH {DEEP}, {_over('r g b z zback').replace('t * z)', 't * z) / 7919').replace('t * zback)', 't * zback) / 7919')} SELECT * FROM done",
     "d5b_tile_merge": f"WITH {DEEP}, {_over('r g b', 'x BETWEEN 32 AND 63 AND y BETWEEN 0 AND 15')} SELECT * FROM done",

@@ -49,6 +49,12 @@ def d3_over_composite(spark, d):
     return rounded(D.composite(W.deep(spark, d), TIES))
 
 
+@query
+def d3_over_composite_in_runs(spark, d):
+    """The same by runs of 100 days of depth, for pixels that hold most of a table."""
+    return rounded(D.composite_runs(W.deep(spark, d), TIES, F.floor(F.col("z") / 100)))
+
+
 @query
 def d1_sample_counts(spark, d):
     return D.sample_counts(W.deep(spark, d))
@@ -92,7 +98,7 @@ def d5_multi_source_merge(spark, d):
 
 @query
 def d5b_tile_merge(spark, d):
-    return rounded(D.composite(W.deep(spark, d).where(F.col("x").between(32, 63) & F.col("y").between(0, 15)), TIES))
+    return rounded(D.composite(W.deep(spark, d, (0, 15)).where(F.col("x").between(32, 63)), TIES))
 
 
 @query

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "rasterweave") -> SparkSession:
-    """A local session with the settings the engine relies on: UTC, AQE, Arrow and the pushdown of filters into Python sources."""
+    """A local session with the settings the engine relies on: UTC, AQE and Arrow."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -14,7 +14,6 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ras
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
