@@ -33,6 +33,13 @@ def channels_of(channels: DataFrame, view: str, views: Sequence[str], default: s
     return channels.where((v == view) | ((v == "") & F.lit(view == default)))
 
 
+def read_view(pixels: DataFrame, view: str, views: Sequence[str], default: str) -> DataFrame:
+    """(path, y, x, r, g, b, a) of a view of long-form pixels (path, channel, y, x, v): its channels by their base names; a missing colour is 0, a missing alpha 1."""
+    own = channels_of(pixels, view, views, default).withColumn("_base", parse(F.col("channel"), views)["base"])
+    wide = own.groupBy("path", "y", "x").agg(*[F.max(F.when(F.col("_base") == c, F.col("v"))).alias(c.lower()) for c in "RGBA"])
+    return wide.select("path", "y", "x", *[F.coalesce(c, F.lit(1.0 if c == "a" else 0.0)).alias(c) for c in "rgba"])
+
+
 def view_list(parts: DataFrame) -> DataFrame:
     """(id, views, default_view, stereo) from rows (id, view) of parts; sorted, so that the default does not depend on order."""
     views = F.array_sort(F.collect_set("view"))

@@ -5,6 +5,8 @@ Each view has its DuckDB SQL beside it, for the oracles.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rasterweave.session import table
 from rasterweave.sources import codecs, container
+from rasterweave.sources.attributes import pack
 
 WIDTH, RGBA_WIDTH, DEEP_WIDTH, SHIFT, BAND = 64, 16, 128, 0.55, 40
 
@@ -118,3 +121,56 @@ def files(spark: SparkSession, sf_dir: str, compression: int = codecs.ZIP, layou
 
     bands = raster(spark, sf_dir).groupBy(F.floor(F.col("y") / BAND).alias("band"))
     return bands.applyInPandas(build, "path string, content binary")
+
+
+def tagged(spark: SparkSession, sf_dir: str, damage: bool = False) -> DataFrame:
+    """(path, content): for each part a file of one pixel whose header has fields of all groups. damage: by the key, a needed attribute is gone, the window is empty or a sampling is 0."""
+
+    def build(parts):
+        for frame in parts:
+            rows = []
+            for key, name, brand, size, price in frame[["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"]].itertuples(index=False):
+                extra = {"owner": pack("string", name), "imageCounter": pack("int", key), "framesPerSecond": pack("rational", (24000, 1001)), "isoSpeed": pack("float", size * 100), "focus": pack("float", price), "cameraMake": pack("string", brand), "cameraColorBalance": pack("v2f", (size, 0.5)), "sensorAcquisitionRectangle": pack("box2i", (0, 0, key, size)), "worldToNDC": pack("m44f", tuple(range(16)))}
+                if key % 3:
+                    extra["latitude"] = pack("float", key * 0.25)
+                if key % 4:
+                    extra["longitude"] = pack("float" if key % 5 else "int", key * 0.5 if key % 5 else key)
+                extra["preview"] = ("preview", struct.pack("<II", 2, 1) + bytes([key % 256, size, 0, 255, 255, 10, key % 7, 51]))
+                raw = container.scanline_file({"Z": np.zeros((1, 1))}, {"Z": 2}, codecs.NONE, extra=extra)
+                if damage:
+                    h = container.headers_of(raw)[0]
+                    if key % 10 < 8:
+                        del h.attrs[container.NEEDED[key % 10]]
+                    elif key % 10 == 8:
+                        h.attrs["dataWindow"] = ("box2i", struct.pack("<4i", 0, 0, -1, 0))
+                    else:
+                        h.attrs["channels"] = ("chlist", b"Z\0" + struct.pack("<iIii", 2, 0, 0, 1) + b"\0")
+                    raw = raw[:8] + b"".join(container._attr(k, t, v) for k, (t, v) in h.attrs.items()) + b"\0"
+                rows.append((f"part{key:06d}", raw))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice").mapInPandas(build, "path string, content binary")
+
+
+def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files() in single lines, of which, by band modulo 4, the second is cut, the third has an offset of 0 and one that comes twice, and the fourth a chunk that says it is another."""
+
+    def harm(parts):
+        for frame in parts:
+            out = []
+            for path, raw in zip(frame["path"], frame["content"], strict=True):
+                raw, k = bytes(raw), int(path[4:]) % 4
+                f = container.File(raw)
+                table, places = f.start - 8 * len(f.offsets[0]), list(f.offsets[0])
+                if k == 1:
+                    raw = raw[: places[-1] + 3]
+                elif k == 2:
+                    places[1], places[3] = 0, places[2]
+                    raw = raw[:table] + struct.pack(f"<{len(places)}Q", *places) + raw[f.start :]
+                elif k == 3:
+                    (y,) = struct.unpack_from("<i", raw, places[4])
+                    raw = raw[: places[4]] + struct.pack("<i", y + 1) + raw[places[4] + 4 :]
+                out.append((path, raw))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return files(spark, sf_dir, codecs.ZIPS).mapInPandas(harm, "path string, content binary")

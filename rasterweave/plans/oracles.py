@@ -150,7 +150,6 @@ SELECT py, px, floor((1.055 * pow(r, 1 / 2.4) - 0.055) * 255 + 0.5)::INTEGER AS
 SELECT y, x, round(CASE WHEN v > 0 THEN 1 - 1 / (1 + v) ELSE 0 END, 6) AS tone,
   round(CASE WHEN v <= 0 THEN 0 WHEN v >= 1 THEN 1 WHEN v <= 0.0031308 THEN v * 12.92 ELSE 1.055 * exp(ln(v) / 2.4) - 0.055 END, 6) AS srgb,
   round(CASE WHEN abs(v) <= 0.04045 THEN abs(v) / 12.92 ELSE pow((abs(v) + 0.055) / 1.055, 2.4) END, 6) AS lin, greatest(0, least(255, floor(v * 255 + 0.5)))::INTEGER AS byte FROM q""",
-    "a7d_preview_decode": f"WITH {HEADERS} SELECT id, round(CASE WHEN id % 256 / 255 <= 0.04045 THEN id % 256 / 255 / 12.92 ELSE pow((id % 256 / 255 + 0.055) / 1.055, 2.4) END, 6) AS v FROM headers",
     "h2_from_half": """WITH b AS (SELECT range::INTEGER AS bits, range // 1024 % 32 AS e, range % 1024 AS m, range >= 32768 AS neg FROM range(65536))
 SELECT bits, CASE WHEN e = 31 THEN CASE WHEN m > 0 THEN 'nan' ELSE 'infinite' END WHEN e = 0 THEN CASE WHEN m = 0 THEN 'zero' ELSE 'subnormal' END ELSE 'normal' END AS kind,
   CASE WHEN e < 31 THEN CASE WHEN neg THEN -1 ELSE 1 END * CASE WHEN e = 0 THEN m ELSE (1024 + m) * (1::BIGINT << (e - 1)) END END AS units FROM b""",
@@ -182,8 +181,6 @@ SELECT id, num::BIGINT AS num, den::BIGINT AS den, den = 1001 AS drop, r.name AS
 p AS (SELECT *, ('0x' || printf('%02d%02d%02d%02d', h, m, s, f))::BIGINT + d AS packed FROM t)
 SELECT event_id, packed, f::INTEGER AS frames, s::INTEGER AS seconds, m::INTEGER AS minutes, h::INTEGER AS hours, packed - d AS film FROM p""",
     "m7_copied_metadata": "SELECT event_id, array_to_string(list_sort(list_append(json_keys(props), 'owner')), ',') AS names FROM events",
-    "m8_header_dump": f"""WITH {HEADERS} SELECT id, unnest(['compression', 'dataWindow', 'type']) AS attribute,
-unnest([compression::VARCHAR, min_x || ' ' || min_y || ' ' || w || ' ' || h, CASE WHEN tiled THEN 'tiledimage' ELSE 'scanlineimage' END]) AS value FROM headers""",
     "v1_parse_views": f"WITH {CHANNELS}, {_NAMES} SELECT id, layer, vw, base FROM named",
     "v2_build_names": f"WITH {CHANNELS} SELECT id, channel AS built, TRUE AS same FROM channels",
     "v3_view_lists": f"WITH {CHANNELS}, {_NAMES}, l AS (SELECT id % 40 AS id, list_sort(list(DISTINCT vw)) AS views FROM named WHERE vw <> '' GROUP BY 1) SELECT id, array_to_string(views, ',') AS views, views[1] AS default_view, len(views) = 2 AS stereo FROM l",
@@ -248,9 +245,7 @@ ORACLES |= {
 SELECT image, array_to_string(names, ',') AS names, array_to_string(list_filter(names, lambda n: regexp_matches(n, '^left\\.[^.]*$')), ',') AS in_left FROM c""",
     "m2e_has_channels": f"""WITH {CHANNELS}, c AS (SELECT id % 30 AS image, string_split(channel, '.')[-1] AS b FROM channels)
 SELECT image, bool_or(b = 'R') AND bool_or(b = 'G') AND bool_or(b = 'B') AS rgb, bool_or(b = 'A') AS a, bool_or(b = 'R') AND bool_or(b = 'G') AND bool_or(b = 'B') AND bool_or(b = 'A') AS rgba FROM c GROUP BY image""",
-    "m6_header_rules": f"WITH {HEADERS} SELECT id, 'error' AS severity, 'tile size is not positive' AS rule FROM headers WHERE tiled AND id % 17 = 0 UNION ALL SELECT id, 'error', 'levels need tiles' FROM headers WHERE NOT tiled AND mode <> 'one'",
     "v4_parts_by_view": f"WITH {CHANNELS}, {_NAMES} SELECT id % 40 AS image, vw, min(id) AS first, string_agg(id::VARCHAR, ',' ORDER BY id) AS parts FROM named WHERE vw <> '' GROUP BY 1, 2",
-    "v6_read_view": f"WITH {RGBA} SELECT y, x, round(r, 6) AS r, round(g, 6) AS g, 0.0::DOUBLE AS b, 1.0::DOUBLE AS a FROM rgba",
     "v9_separated_parts": f"WITH {HEADERS} SELECT id, name, kind FROM headers WHERE brand = 'Brand#12'",
     "e2_lat_long_pixels": f"WITH {RASTER} SELECT y, x, round(pi() / 2 - pi() * y / ({H} - 1), 6) AS lat, round(pi() - 2 * pi() * x / 63, 6) AS lon FROM raster",
     "e4_cube_pixels": """WITH g AS (SELECT y, x::INTEGER AS x, (y // 9)::INTEGER AS face, y % 9 AS r FROM range(54) AS a(y), range(9) AS b(x))
@@ -361,3 +356,24 @@ def _aces_halves() -> str:
 
 
 ORACLES["k7_aces_sink"] = _aces_halves()
+_PART = "printf('part%06d', p_partkey) AS path"
+_LINEAR = "round(CASE WHEN %s / 255 <= 0.04045 THEN %s / 255 / 12.92 ELSE pow((%s / 255 + 0.055) / 1.055, 2.4) END, 6)"
+ORACLES |= {
+    "m3_typed_metadata": f"""SELECT {_PART}, p_name AS owner, p_partkey::INTEGER AS counter, '24000/1001' AS rate, NULL::VARCHAR AS "reelName", p_size * 100.0::DOUBLE AS "isoSpeed", round(p_retailprice::FLOAT::DOUBLE, 6) AS focus,
+NULL::DOUBLE AS aperture, p_brand AS "cameraMake", p_size::DOUBLE AS balance, p_partkey::DOUBLE AS "right" FROM part""",
+    "m3_locations": f"""SELECT {_PART}, CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 5 <> 0 THEN p_partkey * 0.5 ELSE 0 END::DOUBLE AS longitude, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey * 0.25 ELSE 0 END::DOUBLE AS latitude, NULL::DOUBLE AS altitude
+FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 4 <> 0 AND p_partkey % 5 <> 0""",
+    "m8_header_dump": f"""SELECT {_PART}, unnest(list_filter(['channels (chlist): Z:float', 'compression (compression): 0', 'dataWindow (box2i): 0 0 0 0', 'displayWindow (box2i): 0 0 0 0', 'lineOrder (lineOrder): 0', 'pixelAspectRatio (float): 1',
+'screenWindowCenter (v2f): 0 0', 'screenWindowWidth (float): 1', 'owner (string): ' || p_name, 'imageCounter (int): ' || p_partkey, 'framesPerSecond (rational): 24000 1001', 'isoSpeed (float): ' || p_size * 100, 'cameraMake (string): ' || p_brand,
+'cameraColorBalance (v2f): ' || p_size || ' 0.5', 'sensorAcquisitionRectangle (box2i): 0 0 ' || p_partkey || ' ' || p_size, 'worldToNDC (m44f): ' || array_to_string(range(16), ' '), 'preview (preview): ?',
+CASE WHEN p_partkey % 3 <> 0 THEN 'latitude (float): ' || regexp_replace((p_partkey * 0.25)::DECIMAL(18, 2)::VARCHAR, '\\.?0+$', '') END,
+CASE WHEN p_partkey % 4 <> 0 THEN CASE WHEN p_partkey % 5 = 0 THEN 'longitude (int): ' || p_partkey ELSE 'longitude (float): ' || regexp_replace((p_partkey * 0.5)::DECIMAL(18, 1)::VARCHAR, '\\.0+$', '') END END], lambda s: s IS NOT NULL)) AS line FROM part""",
+    "m6_header_rules": f"""SELECT {_PART}, CASE p_partkey % 10 WHEN 8 THEN 'window is empty' WHEN 9 THEN 'sampling below one'
+ELSE 'no ' || ['channels', 'compression', 'dataWindow', 'displayWindow', 'lineOrder', 'pixelAspectRatio', 'screenWindowCenter', 'screenWindowWidth'][p_partkey % 10 + 1] END AS rule FROM part""",
+    "a7d_preview_decode": f"""WITH p AS (SELECT {_PART}, unnest([0, 1])::INTEGER AS x, unnest([p_partkey % 256, 255]) AS r, unnest([p_size, 10]) AS g, unnest([0, p_partkey % 7]) AS b, unnest([255, 51]) AS a FROM part)
+SELECT path, 0::INTEGER AS y, x, {', '.join(_LINEAR % (c, c, c) + f' AS {c}' for c in 'rgb')}, round(a / 255, 6) AS a FROM p""",
+    "q4_file_problems": f"""WITH b AS (SELECT k, printf('band%05d', k) AS path, least(40, {H} - k * 40) AS rows FROM (SELECT unnest(range(({H} - 1) // 40 + 1)) AS k))
+SELECT path, (rows - 1)::INTEGER AS idx, 'a chunk''s head is cut' AS rule FROM b WHERE k % 4 = 1 UNION ALL SELECT path, 1, 'no place in the file' FROM b WHERE k % 4 = 2
+UNION ALL SELECT path, 3, 'place comes twice' FROM b WHERE k % 4 = 2 UNION ALL SELECT path, 4, 'holds another chunk' FROM b WHERE k % 4 = 3""",
+    "v6_read_view": f"WITH {RGBA} SELECT y, x, round({_half('g')}, 6) AS r, round({_half('g')}, 6) AS g, round({_half('b')}, 6) AS b, round({_half('a')}, 6) AS a FROM rgba",
+}

@@ -21,7 +21,7 @@ from rasterweave.operators import views as V
 from rasterweave.plans import adapters as W
 from rasterweave.session import table
 from rasterweave.plans.materialize import shared_path
-from rasterweave.sources import codecs, container, sinks
+from rasterweave.sources import attributes, codecs, container, sinks
 
 TIES = ("t1", "t2", "t3", "t4")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -310,11 +310,6 @@ def a6b_yc_kind(spark, d):
     return names.select("image", meta.has_all(F.col("names"), "RGB").alias("rgb"), has("A").alias("alpha"), (has("Z") & ~has("R")).alias("depth_only"))
 
 
-@query
-def a7d_preview_decode(spark, d):
-    return rounded(W.headers(spark, d).select("id", colour.linear(F.col("id") % 256 / 255.0).alias("v")))
-
-
 # binary16
 
 
@@ -374,13 +369,6 @@ def m2f_bytes_per_pixel(spark, d):
     return W.headers(spark, d).select("id", meta.bytes_per_pixel(kinds).alias("bytes"))
 
 
-@query
-def m3_typed_metadata(spark, d):
-    h = W.headers(spark, d)
-    lat, lon = F.when(F.col("id") % 3 != 0, F.col("id") * 0.25), F.when(F.col("id") % 4 != 0, F.col("id") * 0.5)
-    return h.select("id", F.when(lat.isNotNull() | lon.isNotNull(), F.concat_ws("/", F.coalesce(lat, F.lit(0.0)).cast("decimal(18,2)").cast("string"), F.coalesce(lon, F.lit(0.0)).cast("decimal(18,2)").cast("string"))).alias("geo"))
-
-
 @query
 def m4_rationals(spark, d):
     v = F.round(F.col("p_retailprice") / 37, 4)
@@ -566,13 +554,6 @@ def m2e_has_channels(spark, d):
     return c.select("image", meta.has_all(F.col("names"), "RGB").alias("rgb"), meta.has_all(F.col("names"), "A").alias("a"), meta.has_all(F.col("names"), "RGBA").alias("rgba"))
 
 
-@query
-def m6_header_rules(spark, d):
-    return meta.rule_violations(W.headers(spark, d).withColumn("tw", F.when(F.col("id") % 17 == 0, 0).otherwise(F.col("tw"))), "id", [
-        ("error", "tile size is not positive", F.col("tiled") & (F.col("tw") <= 0)), ("error", "window is empty", (F.col("w") <= 0) | (F.col("h") <= 0)), ("error", "levels need tiles", ~F.col("tiled") & (F.col("mode") != "one")),
-    ])
-
-
 @query
 def v4_parts_by_view(spark, d):
     c = W.channels(spark, d).select((F.col("id") % 40).alias("image"), F.col("id").alias("part"), V.parse(F.col("channel"), ["left", "right"])["view"].alias("vw")).where("vw <> ''")
@@ -733,19 +714,6 @@ def a7c_tone_and_gamma(spark, d):
     return rounded(W.raster(spark, d).select("y", "x", colour.tone(v).alias("tone"), colour.srgb(v).alias("srgb"), colour.linear(F.abs(v)).alias("lin"), colour.to_byte(v).alias("byte")))
 
 
-@query
-def m8_header_dump(spark, d):
-    attrs = F.create_map(F.lit("compression"), F.col("compression").cast("string"), F.lit("dataWindow"), F.concat_ws(" ", F.col("min_x"), F.col("min_y"), F.col("w"), F.col("h")), F.lit("type"), F.when(F.col("tiled"), "tiledimage").otherwise("scanlineimage"))
-    return W.headers(spark, d).select("id", F.explode(attrs).alias("attribute", "value"))
-
-
-@query
-def v6_read_view(spark, d):
-    stereo = W.rgba(spark, d).select("y", "x", F.col("r").alias("left.R"), F.col("g").alias("left.G"), F.col("b").alias("right.R"))
-    own = stereo.select("y", "x", *[F.col(f"`{c}`").alias(c.split(".")[1]) for c in stereo.columns if c.startswith("left.")])
-    return rounded(A.rgba_of(own))
-
-
 @query
 def v8_combine_parts(spark, d):
     h = W.headers(spark, d)
@@ -891,3 +859,48 @@ def q6_recompressed(spark, d):
     files = sinks.convert(spark, W.files(spark, d, codecs.ZIP), codecs.PIZ)
     kinds = container.read_headers(spark, files).select("path", F.hex("attrs.compression.value").alias("compression"))
     return container.read_pixels(spark, files).groupBy("path", "channel").agg(F.count("*").alias("n"), F.round(F.sum("v"), 3).alias("s")).join(kinds, "path")
+
+
+# Headers of files: typed fields, dumps, previews, rules
+
+
+@query
+def m3_typed_metadata(spark, d):
+    heads = container.read_headers(spark, W.tagged(spark, d))
+    production = attributes.typed(heads, "production").select("path", "owner", F.col("imageCounter").cast("int").alias("counter"), F.array_join(F.transform("framesPerSecond", lambda v: v.cast("bigint").cast("string")), "/").alias("rate"), "reelName")
+    exposure = attributes.typed(heads, "exposure").select("path", "isoSpeed", "focus", "aperture")
+    camera = attributes.typed(heads, "camera").select("path", "cameraMake", F.col("cameraColorBalance")[0].alias("balance"))
+    sensor = attributes.typed(heads, "sensor").select("path", F.col("sensorAcquisitionRectangle")[2].alias("right"))
+    return rounded(production.join(exposure, "path").join(camera, "path").join(sensor, "path"))
+
+
+@query
+def m3_locations(spark, d):
+    return rounded(attributes.typed(container.read_headers(spark, W.tagged(spark, d)), "geo").select("path", "longitude", "latitude", "altitude"))
+
+
+@query
+def m8_header_dump(spark, d):
+    return attributes.dump(container.read_headers(spark, W.tagged(spark, d))).where("line NOT LIKE 'focus%'").select("path", "line")
+
+
+@query
+def m6_header_rules(spark, d):
+    return attributes.header_problems(spark, W.tagged(spark, d, damage=True)).select("path", "rule")
+
+
+@query
+def a7d_preview_decode(spark, d):
+    return rounded(attributes.preview_pixels(container.read_headers(spark, W.tagged(spark, d))).drop("part"))
+
+
+@query
+def q4_file_problems(spark, d):
+    return attributes.file_problems(spark, W.broken(spark, d)).select("path", "idx", "rule")
+
+
+@query
+def v6_read_view(spark, d):
+    left = image_of(spark, d)
+    files = sinks.write_stereo(left, left.withColumn("r", F.col("g")))
+    return rounded(V.read_view(container.read_pixels(spark, files), "right", ["left", "right"], "left").drop("path"))

@@ -254,6 +254,25 @@ class File:
                 raise codecs.Damaged(f"chunk {k} of part {part} has no place in the file")
 
 
+def headers_of(raw: bytes) -> list[Header]:
+    """The headers alone, whatever the rules say of them."""
+    if len(raw) < 8 or struct.unpack_from("<I", raw)[0] != MAGIC:
+        raise codecs.Damaged("not a container")
+    f = File.__new__(File)
+    f.raw, (f.flags,) = raw, struct.unpack_from("<I", raw, 4)
+    out, at = [], 8
+    try:
+        while True:
+            h, at = f._header(at)
+            if not h.attrs and f.flags & MULTI:
+                return out
+            out.append(h)
+            if not f.flags & MULTI:
+                return out
+    except (struct.error, IndexError, ValueError) as e:
+        raise codecs.Damaged(str(e)) from e
+
+
 def decode_chunk(f: File, c: Chunk, wanted: Sequence[str] | None = None) -> dict[str, np.ndarray]:
     """Channel planes (lines x samples) of a flat chunk; subsampled channels have their own size."""
     h = f.headers[c.part]

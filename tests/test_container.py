@@ -200,3 +200,26 @@ def test_codes_by_hand():
     assert lengths == {5: 1, 6: 2, 9: 3, 10: 3} and wavelet.canonical(lengths) == {5: 1, 6: 1, 9: 0, 10: 1}
     with pytest.raises(codecs.Damaged):
         wavelet.from_huffman(wavelet.huffman(np.array([5, 5, 6], np.uint16))[:-1], 3)
+
+
+def test_attributes_by_type(spark):
+    """Typed fields, wrong types and sizes, problems of files, and chunks that cannot be decoded."""
+    from rasterweave.sources import attributes as T
+
+    for kind, value, text in [("int", -3, "-3"), ("v2f", (0.5, 2), "0.5 2"), ("rational", (24, 1), "24 1"), ("string", "é", "é"), ("stringvector", ["left", "r"], "left,r"), ("tiledesc", (16, 8, 1), "16 8 1"), ("double", 0.1, "0.1")]:
+        assert T.unpack(*T.pack(kind, value))[1] == text
+    assert T.unpack("int", b"\0") == T.unpack("no such", b"") == T.unpack("stringvector", b"\xff\0\0\0a") == (None, None)
+    smooth = np.add.outer(np.arange(40.0), np.arange(64.0))
+    raw = container.scanline_file({"Z": smooth}, {"Z": FLOAT}, codecs.ZIPS, extra={"latitude": T.pack("float", 2), "altitude": T.pack("string", "high"), "owner": T.pack("string", "me")})
+    f = container.File(raw)
+    at = f.offsets[0][4] + 8
+    assert len(f.chunk_at(f.offsets[0][4])[0].data) < 256
+    data = [("a", bytearray(raw)), ("b", bytearray(raw[:at] + b"\xff\xff" + raw[at + 2 :])), ("c", bytearray(b"no container")), ("d", bytearray(raw[: f.start - 9]))]
+    files = spark.createDataFrame(data, "path string, content binary")
+    heads = container.read_headers(spark, files)
+    geo = {r["path"]: r for r in T.typed(heads, "geo").collect()}
+    assert geo["a"]["latitude"] == 2 and geo["a"]["longitude"] == 0 and geo["a"]["altitude"] is None
+    assert {r["owner"] for r in T.typed(heads, "production").collect()} == {"me"}
+    found = {(r["path"], r["idx"]): r["rule"] for r in T.file_problems(spark, files).collect()}
+    assert found[("b", 4)] == "cannot be decoded" and ("c", None) in found and ("d", None) in found and not any(p == "a" for p, _ in found)
+    assert {r["path"] for r in T.header_problems(spark, files).collect()} == {"c"}
