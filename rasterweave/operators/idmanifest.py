@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +93,29 @@ def decode(blob: bytes) -> dict[int, list[str]]:
         return out
     except (struct.error, zlib.error, UnicodeDecodeError) as e:
         raise ValueError("damaged manifest") from e
+
+
+def write_binary(entries: DataFrame) -> DataFrame:
+    """(manifest, blob): the entries (manifest, name, id) of each manifest by encode(); a manifest is put together in one task."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        by: dict[int, list[str]] = {}
+        for i, name in sorted(zip(frame["id"], frame["name"], strict=True)):
+            by.setdefault(int(i), []).append(name)
+        return pd.DataFrame([(key[0], encode(by))], columns=["manifest", "blob"])
+
+    kind = entries.schema["manifest"].dataType.simpleString()
+    return entries.select("manifest", "name", "id").groupBy("manifest").applyInPandas(run, f"manifest {kind}, blob binary")
+
+
+def read_binary(manifests: DataFrame) -> DataFrame:
+    """(manifest, name, id) of blobs by decode(); ids of 64 bits are signed. Damaged bytes are an error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in parts:
+            for key, blob in zip(frame["manifest"], frame["blob"], strict=True):
+                rows = [(key, name, i - (1 << 64) if i >> 63 else i) for i, names in decode(bytes(blob)).items() for name in names]
+                yield pd.DataFrame(rows, columns=["manifest", "name", "id"])
+
+    kind = manifests.schema["manifest"].dataType.simpleString()
+    return manifests.select("manifest", "blob").mapInPandas(run, f"manifest {kind}, name string, id bigint")

@@ -377,3 +377,11 @@ SELECT path, (rows - 1)::INTEGER AS idx, 'a chunk''s head is cut' AS rule FROM b
 UNION ALL SELECT path, 3, 'place comes twice' FROM b WHERE k % 4 = 2 UNION ALL SELECT path, 4, 'holds another chunk' FROM b WHERE k % 4 = 3""",
     "v6_read_view": f"WITH {RGBA} SELECT y, x, round({_half('g')}, 6) AS r, round({_half('g')}, 6) AS g, round({_half('b')}, 6) AS b, round({_half('a')}, 6) AS a FROM rgba",
 }
+_FLAT = f"WITH {RASTER} SELECT 'A' AS channel, y + k // 4 AS y, (x + k % 4)::INTEGER AS x, round({_half('v')}, 6) AS v FROM raster, range(16) AS t(k) WHERE y % 4 = 0 AND x % 4 = 0"
+ORACLES |= {
+    "i10_binary_manifest": ORACLES["i7_manifest_json"],
+    "c7_flat_blocks": _FLAT,
+    "c8_flat_blocks": _FLAT,
+    # fixed values: published results of the hash
+    "i2_murmur_128_vectors": """SELECT * FROM (VALUES ('', '0000000000000000'), ('hello', 'cbd8a7b341bd9b02'), ('hello, world', '342fac623a5ebc8e'), ('The quick brown fox jumps over the lazy dog', 'e34bbc7bbc071b6c')) AS t(text, id)""",
+}

@@ -904,3 +904,34 @@ def v6_read_view(spark, d):
     left = image_of(spark, d)
     files = sinks.write_stereo(left, left.withColumn("r", F.col("g")))
     return rounded(V.read_view(container.read_pixels(spark, files), "right", ["left", "right"], "left").drop("path"))
+
+
+@query
+def i10_binary_manifest(spark, d):
+    entries = table(spark, d, "part").select((F.col("p_partkey") % 10).alias("manifest"), F.concat_ws("_", "p_name", "p_partkey").alias("name"), (F.col("p_partkey") * 2654435 % 4294967296).alias("id"))
+    return I.read_binary(I.write_binary(entries))
+
+
+@query
+def i2_murmur_128_vectors(spark, d):
+    """Published values of the 128-bit hash, its first half; the seed is 0."""
+    texts = spark.createDataFrame([("",), ("hello",), ("hello, world",), ("The quick brown fox jumps over the lazy dog",)], "text string")
+    return texts.select("text", F.lower(F.lpad(F.hex(I.hashed([F.col("text")], "murmur64")), 16, "0")).alias("id"))
+
+
+def flat_blocks(spark, d, compression):
+    """The raster with one value for each 4 x 4 block, which the block codecs keep."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(15)))
+    corners = W.raster(spark, d).where("y % 4 = 0 AND x % 4 = 0").select("y", "x", "v", at.alias("k"))
+    rows = corners.select(F.lit("image").alias("path"), F.lit("A").alias("channel"), (F.col("y") + F.floor(F.col("k") / 4)).cast("int").alias("y"), (F.col("x") + F.col("k") % 4).cast("int").alias("x"), "v")
+    return written(spark, sinks.encoded(rows, [sinks.Layout({"A": sinks.HALF}, compression)]))
+
+
+@query
+def c7_flat_blocks(spark, d):
+    return flat_blocks(spark, d, codecs.B44)
+
+
+@query
+def c8_flat_blocks(spark, d):
+    return flat_blocks(spark, d, codecs.B44A)
