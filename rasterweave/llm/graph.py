@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a local one of this session. A cluster without one is an error: its executors share no local folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="rasterweave-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+from rasterweave.plans.materialize import shared_path
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """frame, written as a table in the shared folder and read again: its lineage ends there, and lost executors don't matter."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/rasterweave-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     schema = frame.schema
     frame.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
