@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterweave.llm.graph import whole_id
+
 #: Bins of a fingerprint; at most 128.
 SLOTS = 128
 #: Rows of a range of ids that one task orders, ranges up to which their first ids are broadcast (16 bytes each; beyond it they are joined by shuffle), and quantiles that lay them out.
@@ -104,7 +106,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     that one exchange by range brings every row and its next together. The first ids of
     ranges are broadcast if there are BROADCAST_RANGES at most.
     """
-    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    docs = docs.select(whole_id(docs, id_col).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     ids = docs.select("doc_id")
     wanted = [k / (QUANTILES + 1) for k in range(1, QUANTILES + 1)]
     found = ids.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", wanted, 20_000).alias("q")).first()

@@ -1,8 +1,8 @@
-"""Shared files, joins on hot keys, and connected components of large graphs."""
+"""Ids, shared files, joins on hot keys, and connected components of large graphs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.plans.materialize import shared_path
@@ -28,6 +28,14 @@ def discard(frame: DataFrame | None) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def whole_id(frame: DataFrame, name: str) -> Column:
+    """The column of a whole-number id as bigint; an id of another type is an error, as a cast could make different ones alike."""
+    kind = frame.schema[name].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids have to be whole numbers, not {kind}")
+    return F.col(f"`{name}`").cast("bigint")
+
+
 def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """left joined with right on the bigint column key, which left keeps.
 

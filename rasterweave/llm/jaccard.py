@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterweave.llm.graph import components, discard, split_join, stored
+from rasterweave.llm.graph import components, discard, split_join, stored, whole_id
 from rasterweave.llm.tokens import TokenTable, bounded_batches, fresh, mix64
 
 #: Words of a shingle, similarity in hundredths, least ratio of a band's ends, shingles of a block, and candidate texts up to which their hashes are broadcast (8 bytes each).
@@ -190,10 +190,7 @@ def sets_of(docs: DataFrame, size: int, similarity: int, id_col: str, text_col:
             yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": sizes, "node": nodes, "text_hash": part["text_hash"], "keys": keys})
         table.done()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("_text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
-    if kind != "bigint":
-        raise ValueError(f"ids have to be bigint, not {kind}")
+    rows = docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").alias("_text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
     return rows.mapInPandas(run, "doc_id bigint, n_shingles bigint, node bigint, text_hash bigint, keys binary")
 
 

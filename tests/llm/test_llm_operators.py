@@ -558,3 +558,13 @@ def test_leaks_of_the_table(spark, docs, rows):
     whole = {(d, i) for d, t, _ in rows for i, w in items if f" {' '.join(w)} " in f" {' '.join(decontam.words_of(t))} "}
     got = {(r["doc_id"], x["item_id"]) for r in decontam.with_leaks(spark, docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect() for x in r["_leaks"]}
     assert whole and whole <= got
+
+
+def test_ids_are_whole_numbers(spark):
+    small = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (None, "x")], "doc_id int, text string")
+    assert sorted(r["component_id"] or 0 for r in jaccard.join(spark, small).collect()) == [0, 1, 1]
+    assert fingerprints.fingerprints(small).count() == 3
+    names = small.withColumn("doc_id", F.lit("007"))
+    for run in (lambda: jaccard.join(spark, names), lambda: fingerprints.fingerprints(names)):
+        with pytest.raises(ValueError):
+            run()
