@@ -14,9 +14,9 @@
    there make up a candidate group.
 4. Tiles. A group that is small is one tile. A larger one is cut into blocks by size band and
    hash, each of about BLOCK shingles (or four sets, if they are large); a tile is a block and the leaders of its band and the
-   band below, which connect the blocks. Nodes that are not in the group's largest component
-   then visit the other blocks of near bands. So a group of many near copies is neither
-   compared pair by pair nor copied from block to block. Within a tile, bitmaps of hashed
+   band below, which connect the blocks. Then the group is cut into larger blocks, MEETING
+   shingles each, and nodes that are not in its largest component visit all of them. So a
+   group of many near copies is neither compared pair by pair nor copied from block to block. Within a tile, bitmaps of hashed
    shingles bound the overlap from above by bit counts; pairs that pass, and are not yet
    connected, are intersected exactly as sorted arrays. A tile returns a spanning forest.
 5. Components of the forests' links, by aggregations and joins.
@@ -38,12 +38,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterweave.llm.graph import components, discard, split_join, stored, whole_id
-from rasterweave.llm.tokens import TokenTable, bounded_batches, fresh, mix64
+from rasterweave.llm.tokens import TokenTable, bounded_batches, fresh, mix64, release
 
 #: Words of a shingle, similarity in hundredths, least ratio of a band's ends, shingles of a block, and candidate texts up to which their hashes are broadcast (8 bytes each).
 SHINGLE, SIMILARITY, BAND, BLOCK, BROADCAST_TEXTS = 3, 90, 1.2, 20_000, 500_000
 #: Ratio of the size bands of blocks, hundredths of common hashes that the first cover asks for, postings that a task combines at once, and dealings of a set into segments.
 FINE, SHARED, CHUNK, DEALS = 1.05, 10, 2_000_000, 6
+#: Blocks of the first tiles that make up a block that guests visit.
+MEETING = 10
 
 
 def _hash_words(words: list[bytes]) -> np.ndarray:
@@ -245,6 +247,7 @@ def covered(rows: DataFrame, least) -> DataFrame:
             value = np.concatenate([np.full(len(key) - len(nodes), np.nan), gain])
             for piece in _pieces(key=key, node=node, gain=value):
                 yield piece.astype({"gain": "Int32"})
+        release()
 
     posted = rows.mapInPandas(emit, "key bigint, node bigint, gain int")
     own = Window.partitionBy("key")
@@ -276,6 +279,7 @@ def _chained(rows: DataFrame, similarity: int) -> DataFrame:
             key = np.concatenate([keys[start].view(np.int64), nodes[below]])
             node = np.concatenate([nodes[top[who[start]]], nodes[below]])
             yield from _pieces(key=key, node=node, to=np.concatenate([np.full(len(start), -1), nodes[top[below]]]))
+        release()
 
     posted = rows.mapInPandas(emit, "key bigint, node bigint, to bigint")
     least = F.min(F.when(F.col("to") < 0, F.col("node"))).over(Window.partitionBy("key"))
@@ -321,13 +325,18 @@ def _forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: int, labels:
     return out
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if there are BROADCAST_TEXTS at most. rows: stored, or cheap to count."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TEXTS else rows
+
+
 def _candidates(spark: SparkSession, docs: DataFrame, sets: DataFrame, size: int, similarity: int, text_col: str) -> DataFrame:
     """node, n and keys (bytes of all its hashes) of the nodes that other nodes cover."""
     held = sets.where("keys IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "keys")
     first = stored(covered(held, lambda n: least_shared(n, similarity)), "covered")
     wanted = stored(sets.where("keys IS NOT NULL").join(first, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash")), "wanted")
     discard(first)
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    side = _few(wanted)
     texts = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").alias("_text")).join(side, "text_hash")
 
     def arrays(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -345,10 +354,10 @@ def _candidates(spark: SparkSession, docs: DataFrame, sets: DataFrame, size: int
         table.done()
 
     found = stored(texts.select("node", "_text").mapInPandas(arrays, "node bigint, n bigint, keys binary").dropDuplicates(["node"]), "arrays")
-    second = covered(found, lambda n: max(1, _share(n, similarity)))
-    kept = stored(found.join(second, "node"), "elements")
-    discard(found)
-    discard(wanted)
+    second = stored(covered(found, lambda n: max(1, _share(n, similarity))), "covered")
+    kept = stored(found.join(_few(second), "node"), "elements")
+    for done in (found, wanted, second):
+        discard(done)
     return kept
 
 
@@ -369,7 +378,7 @@ def _linked(spark: SparkSession, docs: DataFrame, size: int, similarity: int, id
     plans = bands.groupBy("root").agg(F.sum("elements").alias("elements"), F.max("widest").alias("widest"), F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
     placed = split_join(cand, plans, "root").withColumn("large", F.col("elements") > F.greatest(F.lit(block), 4 * F.col("widest")))
     at = F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.element_at("blocks", F.col("band"))).cast("int")).otherwise(-1)
-    placed = stored(placed.select("node", "n", "root", "large", "blocks", "band", F.when(F.col("large"), F.col("band")).otherwise(-1).alias("x"), at.alias("y")), "placed")
+    placed = stored(placed.select("node", "n", "root", "large", "elements", "widest", "blocks", "band", F.when(F.col("large"), F.col("band")).otherwise(-1).alias("x"), at.alias("y")), "placed")
     every = lambda b: F.transform(F.sequence(F.lit(0), F.element_at("blocks", b) - 1), lambda k: F.struct(b.alias("x"), k.cast("int").alias("y")))
     has = lambda b: F.array_contains(F.map_keys("blocks"), b)
     is_leader = placed.where("large").join(bands.select(F.col("leader").alias("node")), "node")
@@ -381,34 +390,36 @@ def _linked(spark: SparkSession, docs: DataFrame, size: int, similarity: int, id
         found = _forest(part["node"].to_numpy(), [np.frombuffer(e, np.uint64) for e in part["keys"]], similarity)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    tiles = placed.select("node", "root", "x", "y").unionByName(leaders).join(elements.select("node", "keys"), "node")
+    tiles = elements.select("node", "keys").join(_few(placed.select("node", "root", "x", "y").unionByName(leaders)), "node")
     links = stored(tiles.groupBy("root", "x", "y").applyInPandas(compare, "a bigint, b bigint"), "links")
     linked = components(links)
     big = placed.where("large")
     if not big.head(1):
         return sets, nodes, linked
 
-    # nodes of large groups that are not in their group's largest component visit the other blocks of near bands
+    # nodes of large groups that are not in their group's largest component visit the blocks of the group
     labelled = big.join(linked.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = stored(labelled, "labelled")
     sums = labelled.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("most"))
-    marked = stored(split_join(labelled, sums, "root").withColumn("guest", F.col("label") != F.col("most")).drop("most"), "marked")
+    room = F.greatest(F.lit(block), 4 * F.col("widest")) * MEETING
+    most = split_join(labelled, sums, "root").select("node", "n", "root", "label", (F.col("label") != F.col("most")).alias("guest"), room.alias("room"), F.ceil(F.col("elements") / room).cast("int").alias("z"))
+    marked = stored(most, "marked")
     discard(labelled)
-    packs = marked.where("guest").groupBy("root").agg(F.ceil(F.sum("n") / F.greatest(F.lit(block), 4 * F.max("n"))).cast("int").alias("packs"))
-    guests = split_join(marked.where("guest"), packs, "root").withColumn("pack", F.pmod(F.xxhash64(F.lit("pack"), "node"), F.col("packs")).cast("int"))
-    reach = int(math.log(100 / similarity) / math.log(FINE)) + 2
-    near = F.filter(F.sequence(F.col("band") - reach, F.col("band") + reach), has)
-    visits = guests.select("node", "root", "label", "pack", F.explode(F.flatten(F.transform(near, every))).alias("t"), F.struct("x", "y").alias("own")).where("t <> own")
-    visits = stored(visits.select("node", "root", "label", "pack", "t.x", "t.y", F.lit(1).alias("guest")), "visits")
+    packs = marked.where("guest").groupBy("root").agg(F.ceil(F.sum("n") / F.max("room")).cast("int").alias("packs"))
+    some = split_join(marked, packs, "root")
+    deal = lambda what, n: F.pmod(F.xxhash64(F.lit(what), "node"), F.col(n)).cast("int")
+    count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    visits = some.where("guest").select("node", "root", "label", F.lit(1).alias("guest"), deal("pack", "packs").alias("pack"), count("z").alias("z"))
+    hosts = some.select("node", "root", "label", F.when(F.col("guest"), -1).otherwise(0).alias("guest"), count("packs").alias("pack"), deal("host", "z").alias("z"))
+    visits = stored(hosts.unionByName(visits), "visits")
     if visits.head(1):
-        hosts = marked.join(visits.select("root", "x", "y", "pack").distinct(), ["root", "x", "y"]).select("node", "root", "label", "pack", "x", "y", F.when(F.col("guest"), -1).otherwise(0).alias("guest"))
-        pairs = hosts.unionByName(visits).join(elements.select("node", "keys"), "node")
+        pairs = elements.select("node", "keys").join(_few(visits), "node")
 
         def meet(part: pd.DataFrame) -> pd.DataFrame:
             found = _forest(part["node"].to_numpy(), [np.frombuffer(e, np.uint64) for e in part["keys"]], similarity, part["label"].to_numpy(), part["guest"].to_numpy())
             return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-        more = stored(pairs.groupBy("root", "x", "y", "pack").applyInPandas(meet, "a bigint, b bigint"), "more")
+        more = stored(pairs.groupBy("root", "z", "pack").applyInPandas(meet, "a bigint, b bigint"), "more")
         if more.head(1):
             discard(linked)
             linked = components(links.union(more))
