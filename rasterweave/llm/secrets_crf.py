@@ -298,8 +298,16 @@ def _harmless(r: random.Random) -> str:
     ])()
 
 
+def _open_question(token: str) -> bool:
+    """Whether a token is long and has both letters and digits."""
+    return len(token) >= 16 and any(map(str.isdigit, token)) and any(map(str.isalpha, token))
+
+
 def training_windows(texts: list[str], seed: int = 17, made: int = 1200, formats: tuple[str, ...] = tuple(FORMATS)) -> list[tuple[list[str], str, list[int]]]:
-    """Windows of texts tagged by the base patterns, and made windows of their words with made secrets of the formats and harmless strings among them."""
+    """Windows of texts tagged by the base patterns, and made windows of their words with made secrets of the formats and harmless strings among them.
+
+    A text's window that has a token which could be a secret the patterns miss is left out: it would be learned as harmless.
+    """
     r = random.Random(seed)
     out = []
     pool = ["the", "of", "and", "a", "to", "in"]
@@ -313,11 +321,13 @@ def training_windows(texts: list[str], seed: int = 17, made: int = 1200, formats
             tags.append(O if not value else I if tags and tags[-1] != O and m.start() > 0 and not text[m.start() - 1].isspace() else B)
         if not tokens:
             continue
-        pool += tokens[:20]
+        pool += [t for t in tokens[:20] if not _open_question(t)]
         hits = [i for i, t in enumerate(tags) if t]
         at = sorted({max(0, h - WINDOW // 2) for h in hits[:3]} | {r.randrange(max(1, len(tokens) - WINDOW + 1)) for _ in range(2)})
         for a in at:
             tail = tags[a : a + WINDOW]
+            if any(not tag and _open_question(t) for t, tag in zip(tokens[a : a + WINDOW], tail, strict=True)):
+                continue
             if tail[0] == I:
                 tail[0] = B
             out.append((tokens[a : a + WINDOW], text, tail))
