@@ -14,8 +14,8 @@
    there make up a candidate group.
 4. Tiles. A group that is small is one tile. A larger one is cut into blocks by size band and
    hash, each of about BLOCK shingles (or four sets, if they are large); a tile is a block and the leaders of its band and the
-   band below, which connect the blocks. Then the group is cut into larger blocks, MEETING
-   shingles each, and nodes that are not in its largest component visit all of them. So a
+   band below, which connect the blocks. Then the group is cut into larger blocks, VISITS of
+   them or of CHUNK shingles each, and nodes that are not in its largest component visit all of them. So a
    group of many near copies is neither compared pair by pair nor copied from block to block. Within a tile, bitmaps of hashed
    shingles bound the overlap from above by bit counts; pairs that pass, and are not yet
    connected, are intersected exactly as sorted arrays. A tile returns a spanning forest.
@@ -44,8 +44,8 @@ from rasterweave.llm.tokens import TokenTable, bounded_batches, fresh, mix64, re
 SHINGLE, SIMILARITY, BAND, BLOCK, BROADCAST_TEXTS = 3, 90, 1.2, 20_000, 500_000
 #: Ratio of the size bands of blocks, hundredths of common hashes that the first cover asks for, postings that a task combines at once, and dealings of a set into segments.
 FINE, SHARED, CHUNK, DEALS = 1.05, 10, 2_000_000, 6
-#: Blocks of the first tiles that make up a block that guests visit.
-MEETING = 10
+#: Blocks of the first tiles that make up a block that guests visit, at least; blocks of a group that a guest visits, as long as such a block has CHUNK shingles at most.
+MEETING, VISITS = 10, 4
 
 
 def _hash_words(words: list[bytes]) -> np.ndarray:
@@ -401,7 +401,8 @@ def _linked(spark: SparkSession, docs: DataFrame, size: int, similarity: int, id
     labelled = big.join(linked.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = stored(labelled, "labelled")
     sums = labelled.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("most"))
-    room = F.greatest(F.lit(block), 4 * F.col("widest")) * MEETING
+    # a guest is copied to each block and a host to each pack: with blocks of a fixed size their copies would grow with the square of the group
+    room = F.greatest(F.greatest(F.lit(block), 4 * F.col("widest")) * MEETING, F.least(F.lit(CHUNK), F.ceil(F.col("elements") / VISITS)))
     most = split_join(labelled, sums, "root").select("node", "n", "root", "label", (F.col("label") != F.col("most")).alias("guest"), room.alias("room"), F.ceil(F.col("elements") / room).cast("int").alias("z"))
     marked = stored(most, "marked")
     discard(labelled)
