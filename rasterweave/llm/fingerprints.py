@@ -30,30 +30,45 @@ _DIGEST = 16
 PIECE = 2
 
 
-def _uniforms(h: Column, seed: int) -> tuple[Column, Column]:
-    """Two uniform numbers in (0, 1) of 32 bits each."""
+def _product(h: Column, seed: int) -> Column:
+    """The product of two uniform numbers in (0, 1) of 32 bits each."""
     x = F.xxhash64(h, F.lit(seed))
-    unit = F.lit(float(1 << 32))
-    return (F.shiftrightunsigned(x, 32).cast("double") + 0.5) / unit, (x.bitwiseAND(F.lit((1 << 32) - 1)).cast("double") + 0.5) / unit
+    return (F.shiftrightunsigned(x, 32).cast("double") + 0.5) * (x.bitwiseAND(F.lit((1 << 32) - 1)).cast("double") + 0.5) * 2.0**-64
+
+
+def _draws(h: Column) -> tuple[Column, Column, Column]:
+    """r, ln c and b of a term."""
+    b = (F.shiftrightunsigned(F.xxhash64(h, F.lit(3)), 32).cast("double") + 0.5) * 2.0**-32
+    return -F.log(_product(h, 1)), F.log(-F.log(_product(h, 2))), b
+
+
+def _packed(h: Column, rank: Column, t: Column) -> Column:
+    """bin (7 bits), rank (34 bits) and digest of (term, t) (22 bits) as one number that sorts by bin and rank. With draws of 32 bits and a weight of PIECE at most, ranks lie between -70 and 4."""
+    high = F.shiftleft(F.pmod(F.xxhash64(h, F.lit(4)), F.lit(SLOTS)).cast("bigint"), 56)
+    middle = F.shiftleft(((rank + 96.0) * float(1 << 27)).cast("bigint"), 22)
+    return high.bitwiseOR(middle).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit((1 << 22) - 1)))
+
+
+def _bound(make, **values: Column) -> Column:
+    """make(x), x with each of values computed once."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), make)[0]
 
 
 def _sample(h: Column, weight: Column) -> Column:
-    """bin (7 bits), rank (34 bits) and digest of (term, t) (22 bits) as one number that sorts by bin and rank."""
-    u1, u2 = _uniforms(h, 1)
-    u3, u4 = _uniforms(h, 2)
-    b, _ = _uniforms(h, 3)
+    """The sample of a term, packed."""
+    r, c, b = _draws(h)
+
+    def value(x: Column) -> Column:
+        t = F.floor(F.log(weight.cast("double")) / x["r"] + x["b"])
+        return _bound(lambda y: _packed(h, x["c"] - x["r"] * (y["t"].cast("double") - x["b"]) - x["r"], y["t"]), t=t)
 
-    def value(x: Column) -> Column:  # x has r, ln c, b once
-        def ranked(y: Column) -> Column:
-            rank = y["c"] - y["r"] * (y["t"] - y["b"]) - y["r"]
-            high = F.shiftleft(F.pmod(F.xxhash64(h, F.lit(4)), F.lit(SLOTS)).cast("bigint"), 56)
-            middle = F.shiftleft(F.floor((F.least(F.greatest(rank, F.lit(-95.0)), F.lit(31.0)) + 96.0) * float(1 << 27)).cast("bigint"), 22)
-            return high + middle + F.xxhash64(h, y["t"].cast("bigint")).bitwiseAND(F.lit((1 << 22) - 1))
+    return _bound(value, r=r, c=c, b=b)
 
-        t = F.floor(F.log(weight.cast("double")) / x["r"] + x["b"]).cast("double")
-        return F.transform(F.array(F.struct(x["r"].alias("r"), x["c"].alias("c"), x["b"].alias("b"), t.alias("t"))), ranked)[0]
 
-    return F.transform(F.array(F.struct((-F.log(u1 * u2)).alias("r"), F.log(-F.log(u3 * u4)).alias("c"), b.alias("b"))), value)[0]
+def _single(h: Column) -> Column:
+    """The same for a weight of 1, as most have, in fewer steps, for each is interpreted: t is 0, as ln 1 is 0 and b is below 1."""
+    r, c, b = _draws(h)
+    return F.transform(F.array(r), lambda x: _packed(h, c + x * b - x, F.lit(0).cast("bigint")))[0]
 
 
 def with_signature(rows: DataFrame, text: str, out: str) -> DataFrame:
@@ -70,7 +85,7 @@ def with_signature(rows: DataFrame, text: str, out: str) -> DataFrame:
     def pieces(a: Column, b: Column) -> Column:
         h, weight = F.get(F.col(s), a), F.coalesce(b, F.col(n)) - a
         part = lambda j: _sample(F.when(j == 0, h).otherwise(F.xxhash64(h, j)), F.least(weight - PIECE * j, F.lit(PIECE)))
-        return F.when(weight <= PIECE, F.array(_sample(h, weight))).otherwise(F.transform(F.sequence(F.lit(0), F.floor((weight - 1) / PIECE).cast("int")), part))
+        return F.when(weight == 1, F.array(_single(h))).when(weight <= PIECE, F.array(_sample(h, weight))).otherwise(F.transform(F.sequence(F.lit(0), F.floor((weight - 1) / PIECE).cast("int")), part))
 
     rows = rows.withColumn(v, F.sort_array(F.flatten(F.zip_with(i, rest, pieces)))).drop(s, n, i)
     least = F.filter(F.col(v), lambda x, k: (k == 0) | (F.shiftright(x, 56) != F.shiftright(F.get(F.col(v), k - 1), 56)))
