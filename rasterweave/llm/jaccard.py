@@ -11,7 +11,7 @@
    shingles at most, so of D + 1 + E segments, into which hashes are dealt, E + 1 are the same
    in both; if one of the sets has E empty segments or fewer, a full one is among them. Sets
    with more are dealt again. Each node is posted under its full segments, and nodes that meet
-   there make up a candidate group.
+   there make up a candidate group. Large groups are parted again, by the rarest hashes of their sets.
 4. Tiles. A group that is small is one tile. A larger one is cut into blocks by size band and
    hash, each of about BLOCK shingles (or four sets, if they are large); a tile is a block and the leaders of its band and the
    band below, which connect the blocks. Then the group is cut into larger blocks, VISITS of
@@ -255,12 +255,12 @@ def covered(rows: DataFrame, least) -> DataFrame:
     return met.where("node >= 0").groupBy("node").agg(F.sum(F.coalesce("gain", "other")).alias("above")).where("above >= 0").select("node")
 
 
-def _chained(rows: DataFrame, similarity: int) -> DataFrame:
-    """Edges (a, b) that connect the nodes that share a posting. rows: node, n, keys (bytes of all hashes)."""
+def _chained(rows: DataFrame, similarity: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect the nodes that share a posting. rows: node, n, keys (bytes of all hashes; without a similarity, of the postings)."""
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bands = Bands(similarity)
-        for nodes, _, keys, who in _chunks(parts, lambda h: postings(h, bands)):
+        bands = Bands(similarity) if similarity else None
+        for nodes, _, keys, who in _chunks(parts, lambda h: postings(h, bands) if bands else h):
             if not len(keys):
                 continue
             start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -361,13 +361,59 @@ def _candidates(spark: SparkSession, docs: DataFrame, sets: DataFrame, size: int
     return kept
 
 
+def _narrowed(elements: DataFrame, groups: DataFrame, similarity: int, block: int) -> DataFrame:
+    """groups (node, root), but large ones are parted again: by the rarest hashes of each set, as the prefix filter has it.
+
+    In one order of all hashes, two similar sets have one in common among the first
+    n - (the threshold's share of n) + 1 of each. With the rarest first, that parts texts that
+    are chained by passages which many texts have; such a chain would grow faster than the
+    input, and its members that are like none would visit all of it. Nodes that share no such
+    hash with another node are linked with none, and go.
+    """
+    held = stored(elements.select("node", "n").join(groups, "node"), "held")
+    total = held.groupBy("root").agg((F.sum("n") > F.greatest(F.lit(block), 4 * F.max("n"))).alias("large"))
+    large = stored(split_join(held, total.where("large"), "root").select("node", "root"), "large")
+    if not large.head(1):
+        discard(large)
+        discard(held)
+        return groups
+
+    def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for node, n, root, keys in part[["node", "n", "root", "keys"]].itertuples(index=False):
+                own = mix64(np.frombuffer(keys, np.uint64) ^ mix64(np.array([root], np.int64).view(np.uint64)))
+                yield from _pieces(node=np.full(n, node), n=np.full(n, n), key=own.view(np.int64))
+
+    def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"node": part["node"], "n": part["n"], "keys": [np.asarray(k, np.int64).tobytes() for k in part["keys"]]})
+
+    pairs = stored(elements.select("node", "n", "keys").join(_few(large), "node").mapInPandas(spread, "node bigint, n bigint, key bigint"), "pairs")
+    often = pairs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = split_join(pairs, often, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("keys"))
+    # hashes of one set alone come first in the order, and count in the prefix without being posted
+    length = F.size("keys") - F.ceil(F.col("n") * similarity / 100).cast("int") + 1
+    posted = shared.where(length > 0).select("node", "n", F.slice("keys", F.lit(1), length)["key"].alias("keys"))
+    prefixes = stored(posted.mapInPandas(first, "node bigint, n bigint, keys binary"), "prefixes")
+    discard(pairs)
+    parted = components(_chained(prefixes))
+    small = split_join(held, total.where("NOT large"), "root").select("node", "root")
+    found = stored(small.unionByName(parted), "groups")
+    for done in (prefixes, parted, large, held, groups):
+        discard(done)
+    return found
+
+
 def _linked(spark: SparkSession, docs: DataFrame, size: int, similarity: int, id_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, nodes, (node, root) of nodes with links)."""
     bounded_batches(spark)
-    sets = stored(sets_of(docs, size, similarity, id_col, text_col), "sets")
+    posted = stored(sets_of(docs, size, similarity, id_col, text_col), "posted")
+    elements = _candidates(spark, docs, posted, size, similarity, text_col)
+    sets = stored(posted.drop("keys"), "sets")
+    discard(posted)
     nodes = sets.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    elements = _candidates(spark, docs, sets, size, similarity, text_col)
     groups = components(_chained(elements, similarity))
+    groups = _narrowed(elements, groups, similarity, block)
 
     # blocks of each group, by size band and hash
     fine = F.floor(F.log(F.col("n").cast("double")) / math.log(FINE)).cast("int")

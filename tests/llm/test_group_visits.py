@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from rasterweave.llm import jaccard
 from tests_llm_brute import brute_components, sets_of
 
@@ -32,3 +34,30 @@ def test_copies_of_guests_do_not_grow_with_the_square_of_a_group(spark, monkeypa
     assert [got[k] for k, _ in rows] == brute_components(sets_of(rows, 5), 80)
     assert found["marked_rows"] > 500
     assert found["visits_rows"] <= 2 * (jaccard.VISITS + 1) * found["marked_rows"]
+
+
+def test_a_chain_of_shared_passages_is_no_group(spark):
+    """Texts with lines of their own that come once more elsewhere, and passages that all have: one group by segments, pairs by rarest hashes."""
+    r = random.Random(3)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    common = [words(12) for _ in range(4)]
+    own = [[w for line in (*common, words(60)) for w in line] for _ in range(120)]
+    texts = [" ".join(t) for t in own] + [" ".join([*t[:-1], "end"]) for t in own]
+    sets = [jaccard.shingles(t, jaccard.word_table(), 5) for t in texts]
+    rows = spark.createDataFrame([(k + 1, len(s), s.tobytes()) for k, s in enumerate(sets)], "node bigint, n bigint, keys binary")
+    chained = jaccard.stored(spark.createDataFrame([(k + 1, 1) for k in range(len(texts))], "node bigint, root bigint"), "components")
+    parted = {x["node"]: x["root"] for x in jaccard._narrowed(rows, chained, 80, 50).collect()}
+    assert len(set(parted.values())) == 120 and all(parted[k + 1] == parted[k + 121] for k in range(120))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import glob
+    import os
+
+    from rasterweave.llm.graph import stored
+
+    files = lambda: set(glob.glob(f"{os.environ.get('SPARK_LOCAL_DIRS', '/tmp')}/blockmgr-*/*/shuffle_*.data"))
+    before = files()
+    out = stored(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "kept")
+    assert files() <= before
+    assert out.count() == 1000
