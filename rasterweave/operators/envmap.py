@@ -19,6 +19,8 @@ FACES = ("+X", "-X", "+Y", "-Y", "+Z", "-Z")
 COLOURS = ("r", "g", "b", "a")
 #: Target directions that a task blurs at once, and source cells up to which the source is broadcast (it is shrunk to six faces of BLUR_FACE before).
 BLUR_ROWS, BLUR_FACE = 256, 40
+#: Cells of a map up to which it is sent to the points of a lookup (6 numbers each).
+SENT_CELLS = 100_000
 
 
 def _vec(x: Column, y: Column, z: Column) -> Column:
@@ -136,10 +138,13 @@ def sample(points: DataFrame, image: DataFrame, width: int, height: int, key: Se
     """Bilinear samples of image at points (key..., px, py, weight): the weighted mean for each key.
 
     Each point is sent to its four cells, which meet the image in one join on (y, x); what a
-    key gets is added up, so that filtered lookups are the same plan with more points.
+    key gets is added up, so that filtered lookups are the same plan with more points. Which side
+    is small is said here: Spark guesses it from the files' sizes, knows nothing of the points
+    that a row becomes, and would gather them all on the driver to broadcast them.
     """
     sent = points.withColumn("_c", F.explode(_corners(F.col("px"), F.col("py"), width, height))).select(*key, F.col("_c.y").alias("_cy"), F.col("_c.x").alias("_cx"), (F.col("_c.w") * F.col("weight")).alias("_w"))
-    met = sent.where("_w <> 0").join(image.select(F.col("y").cast("bigint").alias("_cy"), F.col("x").cast("int").alias("_cx"), *COLOURS), ["_cy", "_cx"])
+    cells = image.select(F.col("y").cast("bigint").alias("_cy"), F.col("x").cast("int").alias("_cx"), *COLOURS)
+    met = sent.where("_w <> 0").join(F.broadcast(cells) if width * height <= SENT_CELLS else cells.hint("merge"), ["_cy", "_cx"])
     return met.groupBy(*key).agg(*[(F.sum(F.col("_w") * F.col(c)) / F.sum("_w")).alias(c) for c in COLOURS])
 
 
