@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from rasterweave.functions import geometry as G
 
+#: Tasks for each core, at least, over which headers are dealt before they become chunks, and headers of a task.
+DEALT, DEALT_HEADERS = 4, 1500
+
 
 def levels(headers: DataFrame) -> DataFrame:
     """headers (id, w, h, mode one/mipmap/ripmap, up) with a row for each level: lx, ly, lw, lh."""
@@ -34,15 +37,26 @@ def chunk_count(w: Column, h: Column, compression: Column) -> Column:
 
 
 def catalogue(headers: DataFrame, sample_bytes: int = 4, head: int = 20) -> DataFrame:
-    """(id, idx, lx, ly, tx, ty, x0, y0, x1, y1, offset, length): every tile of every level, stored raw one after another behind a head of fixed length."""
-    t = level_tiles(headers).withColumn("ty", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ny") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nx") - 1)))
+    """(id, idx, lx, ly, tx, ty, x0, y0, x1, y1, offset, length): every tile of every level, stored raw one after another behind a head of fixed length.
+
+    A tile's offset has a closed form, so chunks are neither dealt nor sorted. Headers are dealt
+    by id over tasks by their number before they become chunks: a few bytes of headers are
+    hundreds of chunks each, and what counts partitions by bytes would put all into a few tasks.
+    """
+    spark = headers.sparkSession
+    tasks = max(DEALT * spark.sparkContext.defaultParallelism, -(-headers.count() // DEALT_HEADERS))
+    t = level_tiles(headers.repartition(tasks, "id"))
+    before = Window.partitionBy("id").orderBy("ly", "lx").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("at", F.coalesce(F.sum(F.col("nx") * F.col("ny") * head + F.col("lw") * F.col("lh") * sample_bytes).over(before), F.lit(0)))
+    t = t.withColumn("ty", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ny") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nx") - 1)))
     x0, x1 = G.tile_span(F.lit(0), F.col("lw") - 1, F.col("tw"), F.col("tx"))
     y0, y1 = G.tile_span(F.lit(0), F.col("lh") - 1, F.col("th"), F.col("ty"))
-    t = t.select("id", (F.col("first") + F.col("ty") * F.col("nx") + F.col("tx")).alias("idx"), "lx", "ly", "tx", "ty", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    # before a tile: the levels before, whole rows of tiles, and tiles of its own row, which are all of full width
+    rows, lines = F.col("ty") * (F.col("lw") * F.col("th") * sample_bytes + F.col("nx") * head), y1 - y0 + 1
+    offset = F.col("at") + rows + F.col("tx") * (F.col("tw") * lines * sample_bytes + head)
+    t = t.select("id", (F.col("first") + F.col("ty") * F.col("nx") + F.col("tx")).alias("idx"), "lx", "ly", "tx", "ty", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), offset.alias("offset"))
     size = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) * sample_bytes + head
-    t = t.withColumn("length", size)
-    before = Window.partitionBy("id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return t.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    return t.withColumn("length", size)
 
 
 def for_scanlines(chunks: DataFrame, first: int, last: int) -> DataFrame:

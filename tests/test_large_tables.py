@@ -32,3 +32,25 @@ def test_a_lookup_gathers_no_points(spark):
 def test_a_last_band_of_odd_length(spark, tmp_path, name):
     d = embeddings_of(tmp_path, 175)
     assert oracle.differences(QUERIES[name](spark, d), ORACLES[name], d) == []
+
+
+def test_chunks_are_not_dealt_or_sorted(spark):
+    """Only headers are exchanged, over a fixed number of tasks; levels are sorted, chunks are not."""
+    from rasterweave.operators import inspect, region
+
+    chunks = region.catalogue(adapters.headers(spark, SF).where("mode = 'one'"))
+    plan = inspect.chunk_violations(chunks, 200_000)._jdf.queryExecution().executedPlan().toString().split("+- Generate")
+    assert not any(k in plan[0] for k in ("Exchange", "Sort ", "Window")) and "REPARTITION_BY_NUM" in plan[-1]
+    assert chunks.columns[-2:] == ["offset", "length"]
+
+
+def test_offsets_are_sums_of_lengths(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from rasterweave.operators import region
+
+    chunks = region.catalogue(adapters.headers(spark, SF).where("tiled AND id % 7 = 1"))
+    before = Window.partitionBy("id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    assert chunks.withColumn("sum", F.coalesce(F.sum("length").over(before), F.lit(0))).where("sum <> offset").count() == 0
+    assert chunks.where("lx > 0 AND ly <> lx").count() > 0
