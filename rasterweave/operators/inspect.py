@@ -52,11 +52,10 @@ def validate(headers: DataFrame) -> DataFrame:
 
 
 def chunk_violations(chunks: DataFrame, file_size: int | None = None) -> DataFrame:
-    """(id, rule, n) over a catalogue: offsets that come twice, empty chunks, ends past the file."""
-    twice = chunks.groupBy("id", "offset").agg(F.count("*").alias("n")).where("n > 1").groupBy("id").agg(F.sum("n").alias("n")).withColumn("rule", F.lit("offset comes twice"))
-    empty = chunks.where("length <= 0").groupBy("id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("empty chunk"))
-    out = twice.unionByName(empty)
-    if file_size is not None:
-        past = chunks.where(F.col("offset") + F.col("length") > file_size).groupBy("id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("chunk ends past the file"))
-        out = out.unionByName(past)
-    return out.select("id", "rule", "n")
+    """(id, rule, n) over a catalogue: offsets that come twice, empty chunks, ends past the file. One pass over the chunks."""
+    count = lambda broken: F.sum(F.when(broken, 1).otherwise(0))
+    past = F.lit(False) if file_size is None else F.col("offset") + F.col("length") > file_size
+    places = chunks.groupBy("id", "offset").agg(F.count("*").alias("n"), count(F.col("length") <= 0).alias("empty"), count(past).alias("past"))
+    sums = places.groupBy("id").agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("twice"), F.sum("empty").alias("empty"), F.sum("past").alias("past"))
+    rules = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(c).alias("n")) for rule, c in (("offset comes twice", "twice"), ("empty chunk", "empty"), ("chunk ends past the file", "past"))])
+    return sums.select("id", F.explode(rules).alias("r")).select("id", "r.rule", "r.n").where("n > 0")
