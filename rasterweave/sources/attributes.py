@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -66,9 +66,10 @@ def unpack(kind: str, raw: bytes) -> tuple[list[float] | None, str | None]:
     return None, None
 
 
-def attributes(headers: DataFrame) -> DataFrame:
-    """(path, part, name, type, numbers, text) of each attribute of container.read_headers()."""
-    each = headers.where("attrs IS NOT NULL").select("path", "part", F.explode("attrs").alias("name", "a")).select("path", "part", "name", "a.type", "a.value")
+def attributes(headers: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """(path, part, name, type, numbers, text) of each attribute of container.read_headers(), or of those of some names; others are not decoded."""
+    each = headers.where("attrs IS NOT NULL").select("path", "part", F.explode("attrs").alias("name", "a"))
+    each = (each if names is None else each.where(F.col("name").isin(*names))).select("path", "part", "name", "a.type", "a.value")
 
     @F.pandas_udf("numbers array<double>, text string")
     def decode(kinds: pd.Series, values: pd.Series) -> pd.DataFrame:
@@ -77,13 +78,13 @@ def attributes(headers: DataFrame) -> DataFrame:
     return each.withColumn("_d", decode("type", "value")).select("path", "part", "name", "type", "_d.numbers", "_d.text")
 
 
-def typed(headers: DataFrame, group: str) -> DataFrame:
-    """(path, part, one column for each field of a group): null where the header lacks it, or has it as another type. A location without longitude or latitude takes 0 for it, and is null only without both.
+def typed(headers: DataFrame, *groups: str) -> DataFrame:
+    """(path, part, one column for each field of some groups): null where the header lacks it, or has it as another type. A location without longitude or latitude takes 0 for it, and is null only without both. Parts that have no field of the groups are left out.
 
-    One aggregation over the attributes of a part.
+    One aggregation over the attributes of a part, however many groups.
     """
-    fields = GROUPS[group]
-    rows = attributes(headers).where(F.col("name").isin(*fields))
+    fields = {n: k for g in groups for n, k in GROUPS[g].items()}
+    rows = attributes(headers, list(fields))
 
     def one(name: str, kind: str) -> Column:
         mine = (F.col("name") == name) & (F.col("type") == kind)
@@ -91,9 +92,10 @@ def typed(headers: DataFrame, group: str) -> DataFrame:
         return F.max(F.when(mine, value)).alias(name)
 
     found = rows.groupBy("path", "part").agg(*[one(n, k) for n, k in fields.items()])
-    if group == "geo":
+    if "geo" in groups:
         there = F.col("longitude").isNotNull() | F.col("latitude").isNotNull()
-        found = found.where(there).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("longitude", "latitude")})
+        found = found if len(groups) > 1 else found.where(there)
+        found = found.withColumns({c: F.when(there, F.coalesce(c, F.lit(0.0))) for c in ("longitude", "latitude")})
     return found
 
 
@@ -106,14 +108,27 @@ def preview_pixels(headers: DataFrame) -> DataFrame:
     """(path, part, y, x, r, g, b, a) of the preview in a header: bytes made linear, alpha only scaled."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # many small previews make one frame, a large one its own
+        def joined(held: list[tuple]) -> pd.DataFrame:
+            n = [w * h for _, _, w, h, _ in held]
+            at = np.concatenate([np.arange(k) for k in n])
+            across = np.repeat([max(1, w) for _, _, w, _, _ in held], n)
+            v = np.frombuffer(b"".join(raw[8:] for *_, raw in held), np.uint8).reshape(-1, 4)
+            return pd.DataFrame({"path": np.repeat(np.array([p for p, *_ in held], object), n), "part": np.repeat([k for _, k, *_ in held], n), "y": at // across, "x": at % across, **{c: v[:, i].astype(np.int32) for i, c in enumerate("rgba")}})
+
         for frame in parts:
+            held, total = [], 0
             for path, part, raw in zip(frame["path"], frame["part"], frame["raw"], strict=True):
                 w, h = struct.unpack_from("<II", raw)
                 if len(raw) != 8 + 4 * w * h:
                     raise codecs.Damaged("a preview of another size")
-                v = np.frombuffer(raw, np.uint8, 4 * w * h, 8).reshape(-1, 4)
-                at = np.arange(w * h)
-                yield pd.DataFrame({"path": path, "part": part, "y": at // max(1, w), "x": at % max(1, w), **{c: v[:, i].astype(np.int32) for i, c in enumerate("rgba")}})
+                held.append((path, part, w, h, raw))
+                total += w * h
+                if total > 100_000:
+                    yield joined(held)
+                    held, total = [], 0
+            if held:
+                yield joined(held)
 
     has = headers.where("attrs.preview IS NOT NULL").select("path", "part", F.col("attrs.preview.value").alias("raw"))
     rows = has.mapInPandas(run, "path string, part int, y int, x int, r int, g int, b int, a int")

@@ -54,3 +54,33 @@ def test_offsets_are_sums_of_lengths(spark):
     before = Window.partitionBy("id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     assert chunks.withColumn("sum", F.coalesce(F.sum("length").over(before), F.lit(0))).where("sum <> offset").count() == 0
     assert chunks.where("lx > 0 AND ly <> lx").count() > 0
+
+
+def test_files_of_headers_are_dealt(spark):
+    """One row group of a table becomes files in many tasks."""
+    assert adapters.tagged(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_several_groups_of_fields_are_one_aggregation(spark):
+    from rasterweave.sources import attributes, container
+
+    heads = container.read_headers(spark, adapters.tagged(spark, SF))
+    got = attributes.typed(heads, "camera", "geo")
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Scan parquet") == 1
+    one = attributes.typed(heads, "geo").select("path", "longitude", "latitude")
+    assert got.where("longitude IS NOT NULL").select("path", "longitude", "latitude").exceptAll(one).count() == 0 and got.count() == adapters.tagged(spark, SF).count() > one.count()
+
+
+def test_previews_of_several_sizes_come_in_few_frames(spark):
+    import struct
+
+    from pyspark.sql import functions as F
+
+    from rasterweave.sources import attributes
+
+    sizes = [(3, 2), (0, 0), (1, 4), (2, 1)] * 300
+    rows = [(f"f{k:04d}", 0, struct.pack("<II", w, h) + bytes((k + i) % 256 for i in range(4 * w * h))) for k, (w, h) in enumerate(sizes)]
+    frame = spark.createDataFrame(rows, "path string, part int, raw binary").coalesce(1)
+    heads = frame.select("path", "part", F.create_map(F.lit("preview"), F.struct(F.lit("preview").alias("type"), F.col("raw").alias("value"))).alias("attrs"))
+    got = {(r["path"], r["y"], r["x"]): round(r["a"] * 255) for r in attributes.preview_pixels(heads).collect()}
+    assert got == {(p, i // w, i % w): raw[8 + 4 * i + 3] for (p, _, raw), (w, h) in zip(rows, sizes, strict=True) for i in range(w * h)}
