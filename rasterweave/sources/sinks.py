@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from rasterweave.functions import colour
 from rasterweave.functions.geometry import LINES_PER_CHUNK
 from rasterweave.operators.image import ALIASES, chroma, rgba_of, upsample_chroma
+from rasterweave.plans.materialize import checkpointed
 from rasterweave.sources import codecs, container
 from rasterweave.sources.container import INCREASING
 
@@ -26,6 +27,8 @@ from rasterweave.sources.container import INCREASING
 UINT, HALF, FLOAT = range(3)
 ACES_COMPRESSIONS = (codecs.NONE, codecs.PIZ, codecs.B44A)
 ACES_MODES = ("RGB", "RGBA", "YC", "YCA")
+#: Parts of files up to which their windows are broadcast.
+SENT_WINDOWS = 100_000
 YC_MODES: Mapping[str, tuple[str, ...]] = {"Y": ("Y",), "YA": ("Y", "A"), "YC": ("Y", "RY", "BY"), "YCA": ("Y", "RY", "BY", "A"), "RGBA": ("R", "G", "B", "A")}
 
 
@@ -85,15 +88,20 @@ class Layout:
         return container.header_bytes(box, list(self.kinds.items()), self.compression, tile, extra=self.extra, name=self.name, order=self.order, sampling=self.sampling)
 
 
-def encoded(pixels: DataFrame, layouts: Sequence[Layout]) -> DataFrame:
-    """(path, content): a file of each path of (path, channel, y, x, v), and part if there are several. A part's window is the box around its pixels."""
+def encoded(pixels: DataFrame, layouts: Sequence[Layout], windows: DataFrame | None = None) -> DataFrame:
+    """(path, content): a file of each path of (path, channel, y, x, v), and part if there are several. A part's window is the box around its pixels, or its row of windows (path, part, x0, y0, x1, y1).
+
+    Windows of SENT_WINDOWS parts at most are sent to the pixels; a join by path would gather all
+    pixels of an image in one task.
+    """
     multi = len(layouts) > 1
     if multi and len({x.name for x in layouts}) < len(layouts):
         raise ValueError("parts need names of their own")
     pixels = pixels if "part" in pixels.columns else pixels.withColumn("part", F.lit(0))
-    boxes = pixels.groupBy("path", "part").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     # a subsampled last row or column says nothing of the full size, which another channel has
-    rows = pixels.join(boxes, ["path", "part"])
+    boxes = pixels.groupBy("path", "part").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")) if windows is None else windows
+    boxes = checkpointed(boxes)
+    rows = pixels.join(F.broadcast(boxes) if boxes.count() <= SENT_WINDOWS else boxes, ["path", "part"])
     cx, cy = F.lit(0), F.lit(0)
     for k, x in enumerate(layouts):
         down = x.tile[1] if x.tile else LINES_PER_CHUNK[x.compression]
@@ -211,30 +219,45 @@ def layouts_of(spark: SparkSession, files: DataFrame) -> list[tuple[list[str], l
     return out
 
 
+def windows_of(files: DataFrame) -> DataFrame:
+    """(path, part, x0, y0, x1, y1) of the data windows in files' headers."""
+
+    def run(parts):
+        for part in parts:
+            yield pd.DataFrame([(path, k, *h.box()) for path, raw in zip(part["path"], part["content"], strict=True) for k, h in enumerate(container.File(raw).headers)], columns=["path", "part", "x0", "y0", "x1", "y1"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, part int, x0 int, y0 int, x1 int, y1 int")
+
+
 def convert(spark: SparkSession, files: DataFrame, compression: int | None = None, tile: tuple[int, int] | None = None, scanlines: bool = False, parts: str = "") -> DataFrame:
     """(path, content) of files in another compression, as tiles or as scanlines, or with their views as parts ('multi') or their parts as one ('single', channels named by part).
 
-    Pixels are decoded and encoded again chunk by chunk over all tasks.
+    Pixels are decoded and encoded again chunk by chunk over all tasks. Windows come from the
+    headers, and files are stored first, as each use of a plan would make them again.
     """
     out = []
+    files = checkpointed(files.select("path", "content"))
     for paths, layouts in layouts_of(spark, files):
         own = files.where(F.col("path").isin(paths))
         rows = None
         for k in range(len(layouts)):
             part = container.read_pixels(spark, own, part=k).withColumn("part", F.lit(k))
             rows = part if rows is None else rows.unionByName(part)
+        windows = windows_of(own)
         if parts == "multi" and len(layouts) == 1:
             view = lambda c: c.rpartition(".")[0]
             names = sorted({view(c) for c in layouts[0].kinds})
             at = F.create_map(*[x for c in layouts[0].kinds for x in (F.lit(c), F.lit(names.index(view(c))))])
             rows = rows.withColumn("part", F.element_at(at, F.col("channel"))).withColumn("channel", F.element_at(F.split("channel", r"\."), -1))
+            windows = windows.drop("part").withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(len(names))])))
             layouts = [replace(layouts[0], name=n or "main", kinds={c.rpartition(".")[2]: t for c, t in layouts[0].kinds.items() if view(c) == n}) for n in names]
         elif parts == "single" and len(layouts) > 1:
             name = F.create_map(*[x for k, y in enumerate(layouts) for x in (F.lit(k), F.lit("" if y.name == "main" else f"{y.name}."))])
+            windows = windows.groupBy("path").agg(F.lit(0).alias("part"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
             rows = rows.withColumn("channel", F.concat(F.element_at(name, F.col("part")), F.col("channel"))).withColumn("part", F.lit(0))
             layouts = [replace(layouts[0], name=None, kinds={("" if y.name == "main" else f"{y.name}.") + c: t for y in layouts for c, t in y.kinds.items()})]
         layouts = [replace(x, compression=x.compression if compression is None else compression, tile=None if scanlines else tile or x.tile) for x in layouts]
-        out.append(encoded(rows, layouts))
+        out.append(encoded(rows, layouts, windows))
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)

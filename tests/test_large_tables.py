@@ -84,3 +84,11 @@ def test_previews_of_several_sizes_come_in_few_frames(spark):
     heads = frame.select("path", "part", F.create_map(F.lit("preview"), F.struct(F.lit("preview").alias("type"), F.col("raw").alias("value"))).alias("attrs"))
     got = {(r["path"], r["y"], r["x"]): round(r["a"] * 255) for r in attributes.preview_pixels(heads).collect()}
     assert got == {(p, i // w, i % w): raw[8 + 4 * i + 3] for (p, _, raw), (w, h) in zip(rows, sizes, strict=True) for i in range(w * h)}
+
+
+def test_a_sink_does_not_gather_an_image_by_its_path(spark):
+    from rasterweave.plans.queries import image_of
+    from rasterweave.sources import sinks
+
+    plan = sinks.write_rgba(image_of(spark, SF))._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
