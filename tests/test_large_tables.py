@@ -87,8 +87,14 @@ def test_previews_of_several_sizes_come_in_few_frames(spark):
 
 
 def test_a_sink_does_not_gather_an_image_by_its_path(spark):
-    from rasterweave.plans.queries import image_of
+    from pyspark.sql import functions as F
+
     from rasterweave.sources import sinks
 
-    plan = sinks.write_rgba(image_of(spark, SF))._jdf.queryExecution().sparkPlan().toString()
+    pixels = adapters.rgba(spark, SF).withColumn("path", F.concat(F.lit("image"), (F.col("x") < 0).cast("string")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sinks.write_rgba(pixels)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
